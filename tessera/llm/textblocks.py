@@ -52,14 +52,20 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tup
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, bounds)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each span, from one running sum over all bytes."""
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the hash base modulo 2**64, and of its inverse."""
     global _POWERS, _INVERSES
-    n = len(data) + 1
     if len(_POWERS) < n:
         size = 1 << max(16, int(n - 1).bit_length())
         _POWERS, _INVERSES = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 2**64)))
+    return _POWERS, _INVERSES
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each span, from one running sum over all bytes."""
+    n = len(data) + 1
+    powers, inverses = power_table(n)
     total = np.zeros(n, np.uint64)
-    np.cumsum(_TABLE[data] * _POWERS[: n - 1], out=total[1:])
-    h = (total[ends] - total[starts]) * _INVERSES[starts]
+    np.cumsum(_TABLE[data] * powers[: n - 1], out=total[1:])
+    h = (total[ends] - total[starts]) * inverses[starts]
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
