@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SYMBOLS = b"#*$%&|<>"
@@ -164,19 +163,6 @@ def train(texts: list[bytes], good: list[int], lines: int = 24, steps: int = 50,
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, doc_id: str = "doc_id", text: str = "text") -> list:
-    """At most about `most` (text, quality) rows, the same in every run: those of the smallest hashes of doc_id.
-
-    labels is pruned to the sample first, so the join sends at most that many ids to the tasks that scan docs.
-    """
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = known.count()
-    share = 1.0 if n <= most else most / n
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * most)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id")
-    return rows.where("text is not null").select("text", "quality").limit(2 * most).collect()
-
-
 def _rules(model: LineModel | None, least_share: float):
     def judge(text: bytes) -> tuple:
         n, chars, symbols, dup, repeated = base_counts(text)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, quality_rules, simhash, token_store
+from tessera.llm import decontaminate, factorisation, language, mixing, quality_rules, simhash, token_store
+from tessera.llm.samples import fold, labelled_texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,22 +45,40 @@ LINE_SAMPLE = 800
 
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = quality_rules.labelled_sample(docs, _table(spark, sf_dir, "labels"), LINE_SAMPLE)
-    model = quality_rules.train([r["text"].encode() for r in rows], [r["quality"] for r in rows])
-    return quality_rules.judged(docs, model)
+    return quality_rules.judged(docs, line_model(docs, _table(spark, sf_dir, "labels")))
+
+
+def line_model(docs: DataFrame, labels: DataFrame) -> quality_rules.LineModel | None:
+    rows = sorted(labelled_texts(docs, labels, LINE_SAMPLE))
+    return quality_rules.train([r["text"].encode() for r in rows], [r["label"] for r in rows])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, fold(F.col("doc_id")) != 0)
+    return language.predicted(docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "text"), model)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sorted(labelled_texts(docs, _table(spark, sf_dir, "labels"), factorisation.SAMPLE, learn=fold(F.col("doc_id")) != 0))
+    machine = factorisation.train([r["text"] for r in rows], [r["label"] for r in rows])
+    return factorisation.scored(docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "text"), machine)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_token_store": op2_token_store,
         "op4_simhash": op4_simhash,
+        "op6_language": op6_language,
         "op8_line_quality": op8_line_quality,
         "op9_mixing": op9_mixing,
+        "op10_quality": op10_quality,
     }
 
 
