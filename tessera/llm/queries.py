@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, factorisation, language, mixing, quality_rules, simhash, token_store
+from tessera.llm import decontaminate, factorisation, language, mixing, quality_rules, simhash, token_store, url_rules
 from tessera.llm.samples import fold, labelled_texts
 
 
@@ -63,6 +63,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "text"), model)
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), url="url").drop("url")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = sorted(labelled_texts(docs, _table(spark, sf_dir, "labels"), factorisation.SAMPLE, learn=fold(F.col("doc_id")) != 0))
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_store": op2_token_store,
         "op4_simhash": op4_simhash,
         "op6_language": op6_language,
+        "op7_url_rules": op7_url_rules,
         "op8_line_quality": op8_line_quality,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
