@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, factorisation, language, mixing, quality_rules, simhash, token_store, url_rules
+from tessera.llm import decontaminate, factorisation, language, licenses, line_dedup, mixing, quality_rules, simhash, token_store, url_rules
 from tessera.llm.samples import fold, labelled_texts
 
 
@@ -34,6 +34,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -57,6 +61,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chunks", "n_removed", "removed_bytes", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs, fold(F.col("doc_id")) != 0)
@@ -78,7 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_token_store": op2_token_store,
+        "op3_licenses": op3_licenses,
         "op4_simhash": op4_simhash,
+        "op5_line_dedup": op5_line_dedup,
         "op6_language": op6_language,
         "op7_url_rules": op7_url_rules,
         "op8_line_quality": op8_line_quality,
