@@ -28,7 +28,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     Sources in code point order, null last, take the weights in turn. A target stops at epochs times its source's size
     and what it can't take goes to the others by weight, until none is above. The end of that process is one level L:
     each target is least(weight * L, cap). With sources sorted by cap / weight, L is the first at which the next source
-    is not full, so running sums over the table of sources give it at once.
+    is not full, so running sums over the table of sources give it at once; for the sources after it the same sums only fall.
     """
     n = len(weights)
     order = Window.orderBy(F.col("source").isNull(), "source")
@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    open_at = base.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything))
+    open_at = base.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything))
     # no such source: every one is full
     return open_at.select("source", "source_size", F.least(F.coalesce(F.col("weight") * F.col("level"), F.col("cap")), F.col("cap")).alias("target"))
 
@@ -115,7 +115,8 @@ def mix(docs: DataFrame, quality: Column | None = None, doc_id: str = "doc_id",
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, text, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents
 ), k AS (
   SELECT doc_id, source, size,
     -ln((CAST(('0x' || substr(md5('20|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
@@ -129,7 +130,7 @@ WITH d AS (
     (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2.0::DOUBLE) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM s WINDOW b AS (ORDER BY source_size * 2.0::DOUBLE / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, least(coalesce(weight * min(CASE WHEN level <= cap / weight THEN level END) OVER (), cap), cap) AS target FROM f
+  SELECT source, source_size, least(coalesce(weight * max(CASE WHEN level <= cap / weight THEN level END) OVER (), cap), cap) AS target FROM f
 ), w AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
 ), p AS (
