@@ -24,16 +24,19 @@ from pyspark.sql import functions as F
 from tessera.llm.scratch import cut, scratch_path
 from tessera.llm.textblocks import power_table
 
+#: Marks that never share a token with a letter before them.
+_MARKS = ".,;:!?*$%&#|\""
+
 #: Ids in a chunk: none has fewer, but a document's last; about MEAN more on average; none has more.
 LEAST, MEAN, MOST = 128, 512, 2048  # MEAN: a power of two
 #: Ids under the rolling hash.
 SPAN = 16
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 #: White space around a space: only there does a space not begin a token of its own or of the next word.
 _AMBIGUOUS = re.compile(r"\s \s|\s \Z")
-_SPACED = re.compile(r"\s")
+_PAIRS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]  # the first ten are ASCII
 
 
 class Encoder:
@@ -61,8 +64,26 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_with_marks(self, words: list[str]) -> None:
+        """Learn words; of letters with marks after them, a token of their own, the letters are learnt or known alone."""
+        marked, plain = [], {}
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if stem is not w and stem.isalpha():
+                marked.append((w, stem, w[len(stem) :]))
+                w = stem
+            if w not in self.spaced:
+                plain[w] = self.older.get(w)
+        self.spaced.update((w, x) for w, x in plain.items() if x is not None)
+        self._learn([w for w, x in plain.items() if x is None])
+        marks = list({m for _, _, m in marked if m not in self.heads})
+        self.heads.update(zip(marks, self._whole(marks), strict=True))
+        self.spaced.update((w, self.spaced[stem] + self.heads[m]) for w, stem, m in marked)
+
     def _learn(self, words: list[str]) -> None:
-        easy = [w for w in words if w and not _SPACED.match(w)]
+        easy, hard = [], []
+        for w in words:
+            (hard if not w or w[0].isspace() else easy).append(w)
         for k in range(0, len(easy), 500):
             part = easy[k : k + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
@@ -73,23 +94,41 @@ class Encoder:
                 self.spaced.update(zip(part, (data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
             else:
                 self.spaced.update(zip(part, self._whole([" " + w for w in part]), strict=True))
-        hard = [w for w in words if not w or _SPACED.match(w)]
         self.spaced.update(zip(hard, self._whole([" " + w for w in hard]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.spaced) + len(self.heads) > REMEMBERED:  # words met since the last time stay for another
             self.older, self.spaced = self.spaced, {}
             self.heads.clear()
-        split = [None if _AMBIGUOUS.search(t) else t.split(" ") for t in texts]
+        split = [None if _ambiguous(t) else t.split(" ") for t in texts]
         heads = list({s[0] for s in split if s and s[0] not in self.heads})
         self.heads.update(zip(heads, self._whole(heads), strict=True))
         known, older = self.spaced, self.older
-        new = set().union(*[s[1:] for s in split if s]).difference(known)
-        again = {w for w in new if w in older}
-        known.update((w, older[w]) for w in again)
-        self._learn(list(new - again))
+        new: dict[str, None] = {}
+        found = []
+        for s in split:
+            ids = list(map(known.get, s)) if s else []
+            gaps = [i for i, x in enumerate(ids) if x is None and i]
+            new.update((s[i], None) for i in gaps)
+            found.append((ids, gaps))
+        again = {w: older[w] for w in new if w in older}
+        known.update(again)
+        self._learn_with_marks([w for w in new if w not in again])
         whole = iter(self._whole([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [next(whole) if s is None else b"".join([self.heads[s[0]], *[known[w] for w in s[1:]]]) for s in split]
+        out = []
+        for s, (ids, gaps) in zip(split, found, strict=True):
+            if s is None:
+                out.append(next(whole))
+                continue
+            ids[0] = self.heads[s[0]]
+            for i in gaps:
+                ids[i] = known[s[i]]
+            out.append(b"".join(ids))
+        return out
+
+
+def _ambiguous(text: str) -> bool:
+    return any(x in text for x in (_PAIRS[:10] if text.isascii() else _PAIRS)) and bool(_AMBIGUOUS.search(text))
 
 
 def chunk_bounds(ids: np.ndarray) -> list[int]:
@@ -135,7 +174,6 @@ def merkle_root(leaves: Iterable[bytes]) -> bytes:
 
 
 _ENCODERS: dict[str, Encoder] = {}
-_CHUNK = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
 
 
 def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
@@ -148,18 +186,20 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                sizes, chunks = [], []
+                sizes, counts, digests, lengths, pieces = [], [0], [], [], []
+                width = encoder.kind.itemsize
                 for data in encoder.encode([x or "" for x in part.column(1).to_pylist()]):
                     data += end
-                    ids = np.frombuffer(data, encoder.kind)
-                    ends, found, a = chunk_bounds(ids), [], 0
-                    for b in ends:
-                        piece = data[a * encoder.kind.itemsize : b * encoder.kind.itemsize]
-                        found.append((hashlib.sha256(piece).digest(), b - a, piece))
-                        a = b
-                    sizes.append(len(ids))
-                    chunks.append([{"digest": d, "n": n, "ids": p} for d, n, p in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(chunks, pa.list_(_CHUNK))], ["doc_id", "n_tokens", "chunks"])
+                    ends = chunk_bounds(np.frombuffer(data, encoder.kind))
+                    own = [data[a * width : b * width] for a, b in zip([0, *ends], ends, strict=False)]
+                    sizes.append(ends[-1])
+                    counts.append(len(own))
+                    pieces += own
+                    digests += [hashlib.sha256(p).digest() for p in own]
+                    lengths += [len(p) // width for p in own]
+                chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(pieces, pa.binary())], ["digest", "n", "ids"])
+                chunks = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), chunks)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), chunks], ["doc_id", "n_tokens", "chunks"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, chunks array<struct<digest: binary, n: int, ids: binary>>")
@@ -193,7 +233,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_i
     each have a recipe.
     """
     spark = docs.sparkSession
-    staged = cut(encoded(docs, tokenizer, doc_id, text, end_id), "encoded")
+    staged = cut(encoded(docs, tokenizer, doc_id, text, end_id), "encoded", "zstd")
     pieces = staged.select(F.explode("chunks").alias("c")).select("c.digest", "c.n", "c.ids")
     pieces.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.select("doc_id", "n_tokens", F.col("chunks.digest").alias("digests"))
@@ -233,17 +273,15 @@ def _through(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
 _SHIFTS = _shift_tables()
 
 
-def combined_crc(crcs: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
-    """CRC-32 of each document from those of its chunks and their sizes in bytes."""
-    out = np.zeros(len(crcs), np.uint64)
-    count = np.array([len(c) for c in crcs])
+def combined_crc(first: np.ndarray, count: np.ndarray, crcs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of each document from those of its chunks and their sizes in bytes; chunks lie from first on, count of them."""
+    out = np.zeros(len(first), np.uint64)
     for k in range(int(count.max(initial=0))):
         at = np.flatnonzero(count > k)
-        size = np.array([sizes[i][k] for i in at], np.int64)
-        head = out[at]
+        size, head = sizes[first[at] + k], out[at]
         for bit in range(int(size.max(initial=0)).bit_length()):
             head = np.where(size >> bit & 1, _through(_SHIFTS[bit], head), head)
-        out[at] = head ^ np.array([crcs[i][k] for i in at], np.uint64)
+        out[at] = head ^ crcs[first[at] + k]
     return out
 
 
@@ -294,18 +332,27 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError(f"shard {shard} doesn't fit its manifest")
 
         for batch in batches:
-            parts = batch.column(6).to_pylist()
-            for own, root, size, k in zip(parts, *(batch.column(i).to_pylist() for i in (5, 4, 0)), strict=True):
+            lists = batch.column(6)
+            bounds = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+            parts = lists.values
+            digests = parts.field("digest").to_pylist()
+            n, crc = (parts.field(x).fill_null(-1).to_numpy(zero_copy_only=False) for x in ("n", "crc"))
+            first, count = bounds[:-1], np.diff(bounds)
+            total = np.concatenate([[0], np.cumsum(n)])
+            sizes = total[bounds[1:]] - total[first]
+            of = batch.column(0).to_numpy()
+            if (n < 0).any() or (sizes != batch.column(4).to_numpy()).any():
+                raise ValueError("a document's chunks are missing or of other sizes")
+            for k, root, a, b in zip(of.tolist(), batch.column(5).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
                 if k != shard:
                     ended()
                     shard, roots = k, []
-                if any(p["n"] is None for p in own) or merkle_root([p["digest"] for p in own]) != root or sum(p["n"] for p in own) != size:
+                if merkle_root(digests[a:b]) != root:
                     raise ValueError(f"a document of shard {k} can't be rebuilt from its chunks")
                 roots.append(root)
-            crc = combined_crc([np.array([p["crc"] for p in own], np.uint64) for own in parts], [np.array([4 * p["n"] for p in own], np.int64) for own in parts])
-            before = np.array([shards[k][1] for k in batch.column(0).to_pylist()], np.int64)
-            sizes = pa.array([sum(p["n"] for p in own) for own in parts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(batch.column(3).to_numpy() + before), sizes, pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            own = combined_crc(first, count, crc.astype(np.uint64), 4 * n).astype(np.int64)
+            before = np.array([shards[k][1] for k in of.tolist()], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(batch.column(3).to_numpy() + before), pa.array(sizes), pa.array(own)], ["doc_id", "start", "n_tokens", "ids_crc32"])
         ended()
 
     dealt = docs.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "row")
