@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tessera.plans import detection
+from tessera.plans import detection, titles
 
-QUERIES = {**detection.QUERIES}
+QUERIES = {**detection.QUERIES, **titles.QUERIES}
