@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and word lists, in the order in which they apply.
@@ -92,14 +92,17 @@ def ordinal(title: Column) -> Column:
     return F.coalesce(*[F.when(n.between(1, 20), n) for n in (*numbers, roman)]).cast("int")
 
 
-def normalized(title: Column) -> dict[str, Column]:
-    """cleaned, edition_markers, country_code, event_type, franchise_hint, ordinal of a raw title."""
-    bare = without_promotions(title)
-    name = without_formats(bare)
-    rest = without_country(name)
-    return {
-        "cleaned": _edges(rest), "edition_markers": edition_markers(bare), "country_code": country_code(name), "event_type": event_type(rest), "franchise_hint": franchise(rest), "ordinal": ordinal(rest),
-    }
+def with_normal_form(rows: DataFrame, title: str = "raw") -> DataFrame:
+    """rows with cleaned, edition_markers, country_code, event_type, franchise_hint, ordinal of a raw title.
+
+    Each step is a projection of its own, so a form that several columns need is made once for each row.
+    """
+    rows = rows.withColumn("_bare", without_promotions(F.col(title)))
+    rows = rows.withColumn("_name", without_formats(F.col("_bare")))
+    rows = rows.withColumn("_rest", without_country(F.col("_name")))
+    bare, name, rest = map(F.col, ("_bare", "_name", "_rest"))
+    out = {"cleaned": _edges(rest), "edition_markers": edition_markers(bare), "country_code": country_code(name), "event_type": event_type(rest), "franchise_hint": franchise(rest), "ordinal": ordinal(rest)}
+    return rows.withColumns(out).drop("_bare", "_name", "_rest")
 
 
 def conflicting_ordinal(title: Column, wanted: Column) -> Column:

@@ -66,7 +66,7 @@ def decided(candidates: DataFrame, catalog: DataFrame, queries: DataFrame) -> Da
     out = queries.select("query_id", "event_type").join(won, "query_id", "left").join(with_parent(catalog).select(F.col("id").alias("_id"), "canonical"), F.col("w.id") == F.col("_id"), "left")
     sure = F.least(F.lit(1.0), F.col("w.composite") + F.when(F.col("event_type") == "MOVIE", F.col("w.recent")).otherwise(0.0))
     odd = F.col("event_type").isin("MULTI_FILM", "NON_MOVIE")
-    return out.withColumn("_sure", F.coalesce(sure, F.lit(0.0))).select(
+    return out.withColumn("_sure", F.when(F.col("w").isNotNull(), sure).otherwise(0.0)).select(
         "query_id", F.coalesce("w.id", F.lit(0)).alias("movie_id"), F.coalesce("w.title", F.lit("Unknown")).alias("title"), F.coalesce("canonical", "w.id", F.lit(0)).alias("canonical_id"),
         F.round("_sure", 4).alias("confidence"), F.coalesce("w.date_window", F.lit("NONE")).alias("date_window"),
         F.when(F.col("w").isNull(), "REVIEW").when(odd, F.concat(F.lit("REVIEW_"), "event_type")).when(F.col("_sure") >= 0.9, "AUTO_ACCEPT").otherwise("REVIEW").alias("decision"),

@@ -37,7 +37,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = inputs.titled(spark, sf_dir).groupBy("raw").agg(F.min("query_id").alias("query_id"))  # each distinct title once
-    return raw.select("query_id", "raw", *[c.alias(k) for k, c in ti.normalized(F.col("raw")).items()])
+    return ti.with_normal_form(raw).select("query_id", "raw", "cleaned", "edition_markers", "country_code", "event_type", "franchise_hint", "ordinal")
 
 
 def _re(p: str) -> str:
