@@ -1,4 +1,4 @@
-"""Removal of globally repeated passages by content-defined chunks of lines."""
+"""Removal of globally repeated passages by content-defined chunks and by shortest runs of lines."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessera.llm.scratch import cut
+from tessera.llm.textblocks import power_table
 
 #: Lines in a chunk: none but the last of a text has fewer or more.
 LEAST, MOST = 2, 12
@@ -19,61 +20,133 @@ LEAST, MOST = 2, 12
 EVERY = 2
 #: Words of a chunk that is removed, at least.
 LEAST_WORDS = 12
+#: Words of a run of lines that is removed wherever it stands, at least.
+PASSAGE_WORDS = 25
 #: Hashes that are broadcast at most, 8 bytes each; more of them are joined by document.
 BROADCAST_HASHES = 1 << 22
+#: Bytes of texts whose runs are looked up at once.
+_SLICE = 1 << 22
 
 _CUT = re.compile(rb"\n|(?<=[.!?]) ")
+#: The same with the full stops of scripts that set no space after them.
+_WIDE_CUT = re.compile(rb"\n|(?<=[.!?]) |(?<=\xe3\x80\x82)|(?<=\xef\xbc[\x81\x9f])|(?<=\xe0\xa5\xa4)")
+_WIDE_STOPS = (b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f", b"\xe0\xa5\xa4")
+#: First bytes of characters that are written without spaces between words.
+_UNSPACED = bytes(range(0xE3, 0xEA))
 _MASK = (1 << 64) - 1
 
 
 def units(text: bytes) -> list[tuple[int, int]]:
     """Spans of the lines of a text; a long line ends at each sentence, so that passages within one are lines too."""
-    ends = [m.end() for m in _CUT.finditer(text)]
+    wide = not text.isascii() and any(x in text for x in _WIDE_STOPS)
+    ends = [m.end() for m in (_WIDE_CUT if wide else _CUT).finditer(text)]
     if not ends or ends[-1] != len(text):
         ends.append(len(text))
     return list(zip([0, *ends], ends, strict=False))
 
 
-def chunks(text: bytes) -> list[tuple[int, int, int, int]]:
+def _lines(text: bytes, seed: int = 7) -> list[tuple[int, int, int, int]]:
+    """(start, end, hash, words) of each line that is not blank; two letters without spaces between words count as a word."""
+    out = []
+    for a, b in units(text):
+        line = text[a:b].strip()
+        if line:
+            words = line.count(b" ") + 1
+            if not line.isascii():
+                words += (len(line) - len(line.translate(None, _UNSPACED)) + line.count(b"\xe0\xb8") + line.count(b"\xe0\xb9")) // 2
+            out.append((a, b, xxh64_intdigest(line, seed), words))
+    return out
+
+
+def chunks(text: bytes, lines: list[tuple[int, int, int, int]] | None = None) -> list[tuple[int, int, int, int]]:
     """(hash, start, end, words) of each chunk of a text.
 
     A hash that rolls over the last two lines' hashes ends a chunk after about one line in EVERY, so the same passage
     is cut alike wherever it stands, but for its margins. White space around lines does not count.
     """
-    out, start, lines, before, h, words = [], 0, 0, 0, 0, 0
-    for a, b in units(text):
-        line = text[a:b].strip()
-        if line:
-            own = xxh64_intdigest(line, 7)
-            h = (h * 0x9E3779B97F4A7C15 + own) & _MASK
-            lines += 1
-            words += line.count(b" ") + 1
-            roll = ((own * 0xD6E8FEB86659FD93) ^ (before * 0xC2B2AE3D27D4EB4F)) & _MASK
-            before = own
-            if lines >= LEAST and ((roll >> 40) % EVERY == 0 or lines >= MOST):
-                out.append((h, start, b, words))
-                start, lines, h, words = b, 0, 0, 0
-    if lines:
+    out, start, n, before, h, words = [], 0, 0, 0, 0, 0
+    for _, b, own, size in _lines(text) if lines is None else lines:
+        h = (h * 0x9E3779B97F4A7C15 + own) & _MASK
+        n += 1
+        words += size
+        roll = ((own * 0xD6E8FEB86659FD93) ^ (before * 0xC2B2AE3D27D4EB4F)) & _MASK
+        before = own
+        if n >= LEAST and ((roll >> 40) % EVERY == 0 or n >= MOST):
+            out.append((h, start, b, words))
+            start, n, h, words = b, 0, 0, 0
+    if n:
         out.append((h, start, len(text), words))
     return out
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def runs(owns: np.ndarray, words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line after the last, hash) of each text's shortest runs of `least` words that start or end at a line.
+
+    Of a run of lines of at least so many words, the shortest ones within it cover all its lines; so where all shortest
+    runs are compared, repeated passages are found whole, whatever stands around them. bounds: the lines of each text.
+    """
+    n = len(owns)
+    upto = np.concatenate([[0], np.cumsum(words)])
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    lines = np.arange(n)
+    ahead = np.searchsorted(upto, upto[:-1] + least, "left")
+    behind = np.searchsorted(upto, upto[1:] - least, "right") - 1
+    f, g = ahead <= bounds[text + 1], behind >= bounds[text]
+    both = np.unique(np.concatenate([lines[f] * (n + 1) + ahead[f], behind[g] * (n + 1) + lines[g] + 1]))
+    a, b = both // (n + 1), both % (n + 1)
+    powers, inverses = power_table(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(owns * powers[:n], out=total[1:])
+    h = (total[b] - total[a]) * inverses[a]
+    return a, b, (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _signed(values: list[int]) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
 
+def _sliced(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of its first text, texts) of slices of about _SLICE bytes."""
+    a, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= _SLICE or i + 1 == len(texts):
+            yield a, [t or b"" for t in texts[a : i + 1]]
+            a, size = i + 1, 0
 
-def _pieces(text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
-    for k, (h, a, b, words) in enumerate(chunks(text)):
-        yield k, h, a, b, words
 
+def _found(texts: list[bytes], least_words: int, passage_words: int, seed: int) -> tuple:
+    """Each text's lines and chunks of least_words words, and the runs of all: first and next line, hash; bounds, hashes of lines."""
+    lines = [_lines(t, seed) for t in texts]
+    own = [[c for c in chunks(t, x if seed == 7 else None) if c[3] >= least_words] for t, x in zip(texts, lines, strict=True)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+    flat = [x for y in lines for x in y]
+    owns = np.array([x[2] for x in flat], np.uint64)
+    a, b, h = runs(owns, np.array([x[3] for x in flat], np.int64), bounds, passage_words)
+    return flat, own, a, b, h.view(np.int64), bounds, owns
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with text cut down to what is not a repeat, and with n_chunks, n_removed and removed_bytes.
 
-    Of equal chunks of at least two lines and least_words words, anywhere in the table, the first by doc_id stays (then
-    by a hash of its text, then by place); later ones are removed, once their bytes are found equal too, but for white
-    space around the chunk. Only hashes are shuffled for the search. Chunks whose hash repeats are then fetched and
-    grouped by their bytes; a group of any size meets in partial aggregates. Documents meet their removals in one join.
+def _among(values: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    if known is None:
+        return np.ones(len(values), bool)
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+_CHUNK, _RUN, _LINE = 0, 1, 2
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, passage_words: int = PASSAGE_WORDS, seed: int = 7) -> DataFrame:
+    """docs with text cut down to what is not a repeat, and with n_chunks, n_removed, removed_bytes, n_passages, cut_bytes.
+
+    Of equal runs of lines with passage_words words, anywhere in the table, and of equal chunks of at least two lines and
+    least_words words, the first by doc_id stays (then by a hash of its text, then by place); later ones are removed.
+    Equal means equal bytes, but for white space around lines of a run and around a chunk. What is removed always has an
+    equal line before it in that order, so one of each stays. Only hashes are shuffled for the search. Chunks whose hash
+    repeats are then fetched and grouped by their bytes, runs by the hashes of their lines; the bytes of those lines are
+    compared once per task and distinct line. A group of any size meets in partial aggregates. Documents meet their
+    removals in one join. n_removed and removed_bytes count chunks, n_passages and cut_bytes all that is cut.
     A null text stays null; rows that share id and text are one document and are cleaned alike.
     """
     spark = docs.sparkSession
@@ -83,11 +156,13 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [h for t in batch.column(2).cast(pa.binary()).to_pylist() for h, _, _, words in chunks(t) if words >= least_words]
-            yield pa.RecordBatch.from_arrays([_signed(found)], ["hash"])
+            for _, texts in _sliced(batch.column(2).cast(pa.binary()).to_pylist()):
+                _, own, _, _, h, _, _ = _found(texts, least_words, passage_words, seed)
+                values, n = np.unique(np.concatenate([_signed([c[0] for x in own for c in x]), h]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n, pa.int64())], ["hash", "n"])
 
-    # hashes of all chunks, with their number: partial sums first, so copies cross the shuffle once a task
-    repeated = slim.mapInArrow(hashed, "hash long").groupBy("hash").count().where("count > 1").select("hash")
+    # hashes of all chunks and runs, with their number: partial sums first, so copies cross the shuffle once a task
+    repeated = slim.mapInArrow(hashed, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     repeated = cut(repeated, "repeated")
     n = repeated.count()
     sought = None
@@ -95,52 +170,112 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sought = spark.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in repeated.toLocalIterator()], np.int64)))
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if sought is None else sought.value
         for batch in batches:
-            rows, places, hashes, starts, ends, bodies = [], [], [], [], [], []
-            for i, t in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                own = [p for p in _pieces(t) if p[4] >= least_words]
-                if sought is not None and own:
-                    have = np.array([p[1] for p in own], np.uint64).view(np.int64)
-                    at = np.minimum(np.searchsorted(sought.value, have), max(len(sought.value) - 1, 0))
-                    own = [p for p, ok in zip(own, sought.value[at] == have, strict=True) if ok] if len(sought.value) else []
-                for k, h, a, b, _ in own:
-                    rows.append(i)
-                    places.append(k)
-                    hashes.append(h)
-                    starts.append(a)
-                    ends.append(b)
-                    bodies.append(t[a:b].strip())
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(places, pa.int32()), _signed(hashes), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(bodies, pa.binary())], ["_id", "_h", "place", "hash", "start", "end", "body"])
-
-    pieces = slim.mapInArrow(fetched, f"_id {kind}, _h long, place int, hash long, start long, end long, body binary")
+            for base, texts in _sliced(batch.column(2).cast(pa.binary()).to_pylist()):
+                flat, own, a, b, h, bounds, owns = _found(texts, least_words, passage_words, seed)
+                rows, kinds, hashes, starts, ends, bodies = [], [], [], [], [], []
+                pieces = [(i, c) for i, x in enumerate(own) for c in x]
+                for (i, (_, p, q, _)), x, ok in zip(pieces, (sig := _signed([c[0] for _, c in pieces])).tolist(), _among(sig, known), strict=True):
+                    if ok:
+                        rows.append(base + i)
+                        kinds.append(_CHUNK)
+                        hashes.append(x)
+                        starts.append(p)
+                        ends.append(q)
+                        bodies.append(texts[i][p:q].strip())
+                ok = _among(h, known)
+                a, b, h = a[ok], b[ok], h[ok]
+                places = np.searchsorted(bounds, a, "right") - 1
+                for i, p, q, x in zip(places.tolist(), a.tolist(), b.tolist(), h.tolist(), strict=True):
+                    rows.append(base + i)
+                    kinds.append(_RUN)
+                    hashes.append(x)
+                    starts.append(flat[p][0])
+                    ends.append(flat[q - 1][1])
+                    bodies.append(owns[p:q].tobytes())
+                if known is not None:
+                    for i, x, body in _distinct_lines(texts, flat, a, b, bounds, owns):
+                        rows.append(base + i)
+                        kinds.append(_LINE)
+                        hashes.append(x)
+                        starts.append(0)
+                        ends.append(0)
+                        bodies.append(body)
+                take = pa.array(rows, pa.int64())
+                columns = [pa.array(x, t) for x, t in ((kinds, pa.int8()), (hashes, pa.int64()), (starts, pa.int32()), (ends, pa.int32()), (bodies, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns], ["_id", "_h", "kind", "hash", "start", "end", "body"])
+
+    pieces = slim.mapInArrow(fetched, f"_id {kind}, _h long, kind byte, hash long, start int, end int, body binary")
     if sought is None:
         pieces = pieces.join(repeated, "hash", "left_semi")
-    pieces = cut(pieces, "pieces")
-    first = pieces.groupBy("hash", "body").agg(F.min(F.struct("_id", "_h", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = pieces.join(first, ["hash", "body"]).where(~F.struct("_id", "_h", "place").eqNullSafe(F.col("first")))
-    removals = later.groupBy("_id", "_h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts")).select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "_cuts")
+    pieces = cut(pieces, "pieces", "zstd")
+    lines = pieces.where(F.col("kind") == _LINE).select("hash", "body")
+    if sought is None:
+        spans = pieces.where(F.col("kind") == _RUN).groupBy("_id", "_h").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "_spans")
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = {}
+                for t, spans in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    at = _merged([(x["start"], x["end"]) for x in spans])
+                    found |= {(x, t[a:b].strip()): None for a, b, x, _ in _lines(t, seed) if any(p <= a and b <= q for p, q in at)}
+                yield pa.RecordBatch.from_arrays([pa.array(_signed([x for x, _ in found])), pa.array([y for _, y in found], pa.binary())], ["hash", "body"])
+
+        lines = slim.join(spans, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("_text", "_spans").mapInArrow(read, "hash long, body binary")
+    # two lines of one hash: all that is known of runs is void, so it is sought by another hash
+    if lines.groupBy("hash").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").limit(1).count():
+        return without_repeats(docs, doc_id, text, least_words, passage_words, seed + 1)
+    pieces = pieces.where(F.col("kind") != _LINE)
+    first = pieces.groupBy("kind", "hash", "body").agg(F.min(F.struct("_id", "_h", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = pieces.join(first, ["kind", "hash", "body"]).where(~F.struct("_id", "_h", "start").eqNullSafe(F.col("first")))
+    removals = later.groupBy("_id", "_h").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("_cuts")).select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "_cuts")
     joined = docs.withColumns({"_id": key[0], "_h": key[1]}).join(removals.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
-    names = [c for c in docs.columns if c not in ("n_chunks", "n_removed", "removed_bytes")]
+    added = ["n_chunks", "n_removed", "removed_bytes", "n_passages", "cut_bytes"]
+    names = [c for c in docs.columns if c not in added]
     fields = [docs.schema[c] for c in names]
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index
-            texts, counts, removed, sizes = [], [], [], []
+            texts, counts = [], []
             for t, cuts in zip(batch.column(at(text)).cast(pa.binary()).to_pylist(), batch.column(at("_cuts")).to_pylist(), strict=True):
-                counts.append(len(chunks(t)) if t else 0)
-                removed.append(len(cuts or ()))
-                sizes.append(sum(c["end"] - c["start"] for c in cuts or ()))
-                if cuts:
+                own = [c["end"] - c["start"] for c in cuts or () if c["kind"] == _CHUNK]
+                spans = _merged([(c["start"], c["end"]) for c in cuts or ()])
+                counts.append((len(chunks(t)) if t else 0, len(own), sum(own), len(spans), sum(b - a for a, b in spans)))
+                if spans:
                     left, parts = 0, []
-                    for c in cuts:
-                        parts.append(t[left : c["start"]])
-                        left = c["end"]
+                    for a, b in spans:
+                        parts.append(t[left:a])
+                        left = b
                     t = b"".join([*parts, t[left:]])
                 texts.append(None if t is None else t.decode())
             columns = [pa.array(texts, batch.schema.field(text).type) if c == text else batch.column(at(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (counts, removed, sizes))], [*names, "n_chunks", "n_removed", "removed_bytes"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in counts], pa.int64()) for k in range(len(added)))], [*names, *added])
 
-    schema = docs.select(*(f"`{f.name}`" for f in fields)).schema.add("n_chunks", "long").add("n_removed", "long").add("removed_bytes", "long")
+    schema = docs.select(*(f"`{f.name}`" for f in fields)).schema
+    for c in added:
+        schema = schema.add(c, "long")
     return joined.select(*(f"`{c}`" for c in names), "_cuts").mapInArrow(cleaned, schema)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _distinct_lines(texts: list[bytes], flat: list, a: np.ndarray, b: np.ndarray, bounds: np.ndarray, owns: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(text, hash, bytes) of each distinct line of runs [a, b)."""
+    depth = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(depth, a, 1)
+    np.add.at(depth, b, -1)
+    at = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+    found = {}
+    for k, i, x in zip(at.tolist(), (np.searchsorted(bounds, at, "right") - 1).tolist(), owns[at].view(np.int64).tolist(), strict=True):
+        found.setdefault((x, texts[i][flat[k][0] : flat[k][1]].strip()), i)
+    return [(i, x, body) for (x, body), i in found.items()]
