@@ -132,3 +132,20 @@ def hybrid(lexical: DataFrame, near: DataFrame, k: int = 10) -> DataFrame:
     both = both.withColumn("raw", raw).withColumn("score", F.least("raw", F.lit(1.0)) * 0.6)
     order = Window.partitionBy("query_id").orderBy(F.round("raw", 9).desc(), "id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "raw", "score", "rank")
+
+
+def generated(queries: DataFrame, catalog: DataFrame, aliases: DataFrame, near: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, id, score, source, gen: the first k candidates of each of queries (query_id, q, franchise_hint, ordinal), as
+    alias, franchise, fuzzy and hybrid hits give them in that order; fuzzy and hybrid hits leave out ids that are there.
+
+    near: query_id, id, cosine of the nearest catalog rows, twice k of each query, for the hybrid search with BM25.
+    """
+    both = hybrid(bm25(queries, catalog, 2 * k), near, 2 * k).select("query_id", "id", "score", F.lit("hybrid").alias("source"), "rank")
+    parts = [by_alias(queries, aliases, catalog).withColumn("rank", F.lit(1)), by_franchise(queries, catalog).withColumn("rank", F.lit(1)), by_fuzzy(queries, catalog, k).select("query_id", "id", "score", "source", "rank"), both]
+    rows = None
+    for i, part in enumerate(parts):
+        part = part.withColumn("_o", F.lit(i))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("_o"))).where("_n = 1 or _o < 2")
+    rows = rows.withColumn("gen", F.row_number().over(Window.partitionBy("query_id").orderBy("_o", "rank", "id")))
+    return rows.where(F.col("gen") <= k).select("query_id", "id", "score", "source", "gen")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import similarity as sim
 from tessera.functions import text as t
 from tessera.functions import titles as ti
-from tessera.functions.fuzzy import ratio
+from tessera.functions.fuzzy import ratio, wratio
 from tessera.operators import decide, retrieve
 from tessera.plans import inputs
 
@@ -118,8 +118,11 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    known = c.where("id < 15").select(F.upper("title").alias("alias"), "id").unionByName(c.where("id < 10").select(F.lower("title").alias("alias"), (F.col("id") + 1).alias("id")))
-    return retrieve.by_alias(_queries(spark, sf_dir), known, c)
+    return retrieve.by_alias(_queries(spark, sf_dir), _aliases(c), c)
+
+
+def _aliases(c: DataFrame) -> DataFrame:
+    return c.where("id < 15").select(F.upper("title").alias("alias"), "id").unionByName(c.where("id < 10").select(F.lower("title").alias("alias"), (F.col("id") + 1).alias("id")))
 
 
 ALIAS_SQL = f"""WITH {NORMAL_SQL}, {CATALOG_SQL}, a AS (SELECT lower(title) AS a, id FROM catalog WHERE id < 15 UNION ALL SELECT lower(title), id + 1 FROM catalog WHERE id < 10), k AS (SELECT a, max(id) AS id FROM a GROUP BY a)
@@ -296,6 +299,74 @@ def title_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
 REASONING_SQL = f"""{CANDIDATES_SQL} SELECT query_id, 'The title ''' || title || ''' most closely matches ''' || title || ''' (id ' || id || ') with confidence ' || CAST(round_even(100 * score, 0) AS INTEGER) || '%. ' ||
   CASE date_window WHEN 'EXACT' THEN 'Release date matches show date exactly.' WHEN 'NEAR' THEN 'Release date is within 30 days of show date.' WHEN 'YEAR' THEN 'Release date is within one year of show date.' ELSE 'No date proximity signal available.' END AS reasoning FROM placed WHERE place = 1"""
 
+
+#: Queries whose vectors are broadcast at once.
+_VECTOR_BLOCK = 5_000
+
+
+def _nearest_titles(spark: SparkSession, sf_dir: str, queries: DataFrame, c: DataFrame, k: int) -> DataFrame:
+    """The nearest catalog rows of each query that has a vector, by blocks of queries; the vector of a part's title is that of its number."""
+    v = inputs.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    titles = c.join(v, F.col("id") == F.col("vec_id") + 200000).select("id", "v")
+    asked = queries.join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "v")
+    blocks = -(-asked.count() // _VECTOR_BLOCK)
+    # a hash deals unevenly: blocks hold half of what nearest() takes
+    parts = [retrieve.nearest(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), titles, k) for b in range(blocks)]
+    out = spark.createDataFrame([], "query_id long, id long, cosine double, rank int")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every query from all ways of retrieval over the whole catalog."""
+    c, q = catalog(spark, sf_dir), _queries(spark, sf_dir)
+    return retrieve.generated(q, c, _aliases(c), _nearest_titles(spark, sf_dir, q, c, 20))
+
+
+def hybrid_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by BM25 and vectors together."""
+    c, q = catalog(spark, sf_dir), _queries(spark, sf_dir)
+    return retrieve.hybrid(retrieve.bm25(q, c), _nearest_titles(spark, sf_dir, q, c, 10)).withColumns({"raw": F.round("raw", 6), "score": F.round("score", 6)})
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """candidates with the columns that are judged."""
+    rows = candidates(spark, sf_dir).join(catalog(spark, sf_dir).select("id", "title", "release_date"), "id").join(_queries(spark, sf_dir).select("query_id", "q", "ordinal", "edition_markers", "event_type"), "query_id")
+    shift = F.element_at(F.array(*map(F.lit, (0, 3, 45, 400))), (F.col("query_id") % 4 + 1).cast("int"))
+    return rows.withColumn("show_date", F.date_format(F.date_add(F.to_date(F.lit("2016-11-23")), shift), "yyyy-MM-dd"))
+
+
+def candidate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(spark, sf_dir).select("query_id", "id", "source", F.round(sim.coverage(F.col("q"), F.col("title")), 6).alias("coverage"))
+
+
+def candidate_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that pass the guards of the fuzzy search, by their weighted ratio."""
+    return retrieve.plausible(_dated(spark, sf_dir).withColumn("score", wratio("q", "title"))).select("query_id", "id", "source", F.round("score", 6).alias("score"))
+
+
+def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.composite(_dated(spark, sf_dir)).select("query_id", "id", "source", "date_window", F.round("composite", 6).alias("composite"), "place")
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.decided(_dated(spark, sf_dir), catalog(spark, sf_dir), _queries(spark, sf_dir))
+
+
+def candidate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).drop("fuzzy_top", "eliminated")
+
+
+def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).select("query_id", "fuzzy_top", "eliminated")
+
+
+def candidate_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decide.composite(_dated(spark, sf_dir)).where("place = 1")
+    return rows.select("query_id", decide.reasoning(F.col("q"), F.col("title"), F.col("id"), F.col("score"), F.col("date_window")).alias("reasoning"))
+
+
 _W = f"WITH {NORMAL_SQL}, {CATALOG_SQL}, "
 QUERIES = {
     **{k: (_field(f), _field_sql(f)) for k, f in {"title_normalize": "cleaned", "edition_markers": "edition_markers", "event_type": "event_type", "country_code": "country_code", "franchise": "franchise_hint", "ordinal": "ordinal"}.items()},
@@ -322,4 +393,6 @@ QUERIES = {
     "parent_resolve": (parent_resolve, f"WITH {CATALOG_SQL} SELECT c.id, coalesce(p.id, c.id) AS canonical FROM catalog c LEFT JOIN catalog p ON p.id = c.parent_id AND c.parent_id <> c.id"),
     "present_in_db": (present_in_db, f"{_W}r AS (SELECT query_id, CASE WHEN query_id % 5 = 0 THEN 0 ELSE query_id % 40 END AS ci, query_id % 25 AS mi FROM normal) SELECT query_id, coalesce(title, '') AS mapped_title, CASE WHEN id IS NULL THEN 'No' ELSE 'Yes' END AS present_in_db FROM r LEFT JOIN catalog ON id = nullif(CASE WHEN ci > 0 THEN ci ELSE mi END, 0)"),
     "title_reasoning": (title_reasoning, REASONING_SQL),
+    # retrieval and decisions over the whole catalog; the queries above, on pairs made by arithmetic, hold the same operators against SQL
+    **{f.__name__: (f, None) for f in (candidates, hybrid_titles, candidate_coverage, candidate_plausible, candidate_rank, candidate_decision, candidate_evidence, candidate_reasoning)},
 }
