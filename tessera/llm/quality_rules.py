@@ -92,74 +92,107 @@ class LineModel:
         return np.array(path[::-1])
 
 
-def _fit(features: np.ndarray, mask: np.ndarray, states: np.ndarray, weights: np.ndarray, steps: int, l2: float) -> LineModel:
-    """Penalised maximum likelihood by Adam; gradients by forward-backward over all texts at once.
+#: Lines of a piece of a training text, and lines whose gradients are computed at once.
+_PIECE, _BLOCK = 256, 1 << 16
 
-    features (texts, lines, len(SIZES)), mask (texts, lines), states (texts, lines), weights (texts).
+
+def _blocks(sizes: np.ndarray) -> list[np.ndarray]:
+    """Places of pieces of like size, so that padding stays small, in blocks of about _BLOCK lines."""
+    out, block = [], []
+    for i in np.argsort(sizes, kind="stable").tolist():
+        if block and (len(block) + 1) * sizes[i] > _BLOCK:
+            out.append(np.array(block))
+            block = []
+        block.append(i)
+    return [*out, np.array(block)] if block else out
+
+
+def _gradient(params: list[np.ndarray], features: np.ndarray, mask: np.ndarray, states: np.ndarray, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of emit, move and start by forward-backward over a block of pieces at once.
+
+    features (pieces, lines, len(SIZES)), mask and states (pieces, lines), w and first, whether a text starts, (pieces).
     """
     d, length = mask.shape
-    params = [np.zeros((_WIDTH, 2)), np.zeros((2, 2)), np.zeros(2)]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    emit, move, start = params
     gold = np.eye(2)[states] * mask[..., None]
+    scores = emit[features].sum(axis=2)
+    forward = np.zeros((length, d, 2))
+    forward[0] = scores[:, 0] + start * first[:, None]
+    for t in range(1, length):
+        new = np.logaddexp(forward[t - 1][:, 0, None] + move[0], forward[t - 1][:, 1, None] + move[1]) + scores[:, t]
+        forward[t] = np.where(mask[:, t, None], new, forward[t - 1])
+    total = np.logaddexp(forward[-1][:, 0], forward[-1][:, 1])
+    backward = np.zeros((length, d, 2))
+    pair = np.zeros((2, 2))
+    for t in range(length - 1, 0, -1):
+        ahead = scores[:, t] + backward[t]
+        both = forward[t - 1][:, :, None] + move + ahead[:, None, :] - total[:, None, None]
+        use = mask[:, t]
+        seen = gold[:, t - 1][:, :, None] * gold[:, t][:, None, :]
+        pair += ((seen - np.exp(both)) * (w * use)[:, None, None]).sum(axis=0)
+        new = np.logaddexp(move[:, 0] + ahead[:, 0, None], move[:, 1] + ahead[:, 1, None])
+        backward[t - 1] = np.where(use[:, None], new, backward[t])
+    # a piece's last line keeps a zero backward score: pads only copy it
+    odds = np.exp(forward + backward - total[None, :, None]).transpose(1, 0, 2) * mask[..., None]
+    gap = (gold - odds) * w[:, None, None]
+    by_bucket = np.zeros((_WIDTH, 2))
+    for k in range(features.shape[2]):
+        for s in (0, 1):
+            by_bucket[:, s] += np.bincount(features[:, :, k].ravel(), gap[:, :, s].ravel(), _WIDTH)
+    return by_bucket, pair, (gap[:, 0] * first[:, None]).sum(axis=0)
+
+
+def _fit(texts: list[np.ndarray], states: list[np.ndarray], weights: np.ndarray, steps: int, l2: float) -> LineModel:
+    """Penalised maximum likelihood by Adam, over all lines of all texts.
+
+    texts: the features (lines, len(SIZES)) of each, states (lines) of each, weights (texts). Texts of over _PIECE lines
+    go as consecutive pieces that all take part.
+    """
+    pieces = [(i, a) for i, x in enumerate(texts) for a in range(0, len(x), _PIECE)]
+    sizes = np.array([min(_PIECE, len(texts[i]) - a) for i, a in pieces])
     w = weights / weights.sum()
+    blocks = []
+    for at in _blocks(sizes):
+        length = sizes[at].max()
+        features, mask, gold = np.zeros((len(at), length, len(SIZES)), np.uint8), np.zeros((len(at), length), bool), np.zeros((len(at), length), np.uint8)
+        for j, (i, a) in enumerate(pieces[k] for k in at):
+            n = min(_PIECE, len(texts[i]) - a)
+            features[j, :n], mask[j, :n], gold[j, :n] = texts[i][a : a + n], True, states[i][a : a + n]
+        blocks.append((features, mask, gold, np.array([w[pieces[k][0]] for k in at]), np.array([pieces[k][1] == 0 for k in at])))
+    params = [np.zeros((_WIDTH, 2)), np.zeros((2, 2)), np.zeros(2)]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        emit, move, start = params
-        scores = emit[features].sum(axis=2)
-        forward = np.zeros((length, d, 2))
-        forward[0] = scores[:, 0] + start
-        for t in range(1, length):
-            new = np.logaddexp(forward[t - 1][:, 0, None] + move[0], forward[t - 1][:, 1, None] + move[1]) + scores[:, t]
-            forward[t] = np.where(mask[:, t, None], new, forward[t - 1])
-        total = np.logaddexp(forward[-1][:, 0], forward[-1][:, 1])
-        backward = np.zeros((length, d, 2))
-        pair = np.zeros((2, 2))
-        for t in range(length - 1, 0, -1):
-            ahead = scores[:, t] + backward[t]
-            both = forward[t - 1][:, :, None] + move + ahead[:, None, :] - total[:, None, None]
-            use = mask[:, t]
-            seen = gold[:, t - 1][:, :, None] * gold[:, t][:, None, :]
-            pair += ((seen - np.exp(both)) * (w * use)[:, None, None]).sum(axis=0)
-            new = np.logaddexp(move[:, 0] + ahead[:, 0, None], move[:, 1] + ahead[:, 1, None])
-            backward[t - 1] = np.where(use[:, None], new, backward[t])
-        # a text's last line keeps a zero backward score: pads only copy it
-        odds = np.exp(forward + backward - total[None, :, None]).transpose(1, 0, 2) * mask[..., None]
-        gap = (gold - odds) * w[:, None, None]
-        by_bucket = np.zeros((_WIDTH, 2))
-        for k in range(features.shape[2]):
-            for s in (0, 1):
-                by_bucket[:, s] += np.bincount(features[:, :, k].ravel(), gap[:, :, s].ravel(), _WIDTH)
-        for i, g in enumerate((by_bucket - l2 * emit, pair - l2 * move, gap[:, 0].sum(axis=0) - l2 * start)):
+        gradients = [-l2 * p for p in params]
+        for block in blocks:
+            gradients = [g + x for g, x in zip(gradients, _gradient(params, *block), strict=True)]
+        for i, g in enumerate(gradients):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
             params[i] = params[i] + 0.1 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
     return LineModel(*params)
 
 
-def train(texts: list[bytes], good: list[int], lines: int = 24, steps: int = 50, rounds: int = 2) -> LineModel | None:
-    """A model from texts labelled 1 (good) or 0; None if a class is missing.
+def train(texts: list[bytes], good: list[int], steps: int = 50, rounds: int = 2) -> LineModel | None:
+    """A model from all lines of texts labelled 1 (good) or 0; None if a class is missing.
 
     Lines of good texts are content. Lines of others start as boilerplate and are decoded anew in each later round,
-    so that clean lines of a mixed text become content. A training text counts with its first `lines` lines; decoding
-    has no such bound.
+    so that clean lines of a mixed text become content.
     """
-    found = [(line_features(t)[0][:lines], int(y)) for t, y in zip(texts, good, strict=True)]
+    found = [(line_features(t)[0].astype(np.uint8), int(y)) for t, y in zip(texts, good, strict=True)]
     found = [(x, y) for x, y in found if len(x)]
     labels = np.array([y for _, y in found])
     if len(set(labels.tolist())) < 2:
         return None
-    length = max(len(x) for x, _ in found)
-    features, mask = np.zeros((len(found), length, len(SIZES)), np.int64), np.zeros((len(found), length), bool)
-    for i, (x, _) in enumerate(found):
-        features[i, : len(x)], mask[i, : len(x)] = x, True
+    features = [x for x, _ in found]
     weights = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
-    states = np.repeat(labels[:, None], length, axis=1)
+    states = [np.full(len(x), y) for x, y in found]
     model = None
     for _ in range(rounds):
         if model:
             for i in np.flatnonzero(labels == 0):
-                path = model.decode(features[i][mask[i]])
-                states[i, : len(path)] = path if (path == 0).any() else 0
-        model = _fit(features, mask, states, weights, steps, 1e-3)
+                path = model.decode(features[i])
+                states[i] = path if (path == 0).any() else np.zeros_like(path)
+        model = _fit(features, states, weights, steps, 1e-3)
     return model
 
 
