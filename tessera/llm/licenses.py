@@ -110,23 +110,48 @@ class Templates:
         return equal, missing, extra
 
 
-def found_in(text: bytes, templates: Templates, least_saved: float = 0.25, most_changed: float = 0.4, tried: int = 3) -> list[dict]:
-    """Licenses of a text's candidate blocks. Of the best `tried` templates by size reduction, the one with the fewest
-    wording differences wins, if at most most_changed of the words differ."""
+def parts(text: bytes, a: int, b: int) -> list[tuple[int, int]]:
+    """Spans of the lines of a block that have a cue, and of their sentences that have one, where those are not all of it."""
+    low, out = text[a:b].lower(), []
+    for m in re.finditer(rb"[^\n]+", low):
+        ends = [m.start() + x.end() for x in _SENTENCE.finditer(m[0])]
+        sentences = list(zip([m.start(), *ends], [*ends, m.end()], strict=True))
+        for c, d in dict.fromkeys([m.span(), *sentences]):
+            if (c, d) != (0, b - a) and any(x in low[c:d] for x in CUES):
+                out.append((a + c, a + d))
+    return out
+
+
+def _best(block: bytes, templates: Templates, least_saved: float, most_changed: float) -> list[tuple]:
+    """(share of changed words, -saved, license, equal, missing, extra) of each template that passes, fewest changes first."""
+    out = []
+    for saved, name in templates.ranked(block):
+        if saved < least_saved:
+            break
+        equal, missing, extra = templates.differences(block, name)
+        changed = (len(missing) + len(extra)) / max(1, equal + len(missing) + len(extra))
+        if changed <= most_changed:
+            out.append((changed, -saved, name, equal, missing, extra))
+    return sorted(out, key=lambda x: x[:3])
+
+
+def found_in(text: bytes, templates: Templates, least_saved: float = 0.25, most_changed: float = 0.4) -> list[dict]:
+    """Licenses of a text's candidate blocks, and of the lines and sentences with a cue in them.
+
+    Of the templates that save enough, the one with the fewest wording differences wins, if at most most_changed of the
+    words differ. A part counts where its winner is no license of what holds it, or fits strictly better than that one.
+    """
     out = []
     for a, b in blocks(text):
-        block = text[a:b].strip()
-        best = None
-        for saved, name in templates.ranked(block)[:tried]:
-            if saved < least_saved:
-                break
-            equal, missing, extra = templates.differences(block, name)
-            changed = (len(missing) + len(extra)) / max(1, equal + len(missing) + len(extra))
-            if changed <= most_changed and (best is None or (changed, -saved) < best[0]):
-                best = ((changed, -saved), name, equal, missing, extra)
-        if best:
-            (_, saved), name, equal, missing, extra = best
-            out.append({"first_byte": a, "end_byte": b, "license": name, "saved": -saved, "n_equal": equal, "missing": " ".join(missing), "extra": " ".join(extra), "verbatim": not missing and not extra})
+        taken: list[tuple[int, int, str]] = []
+        for c, d in [(a, b), *parts(text, a, b)]:
+            best = _best(text[c:d].strip(), templates, least_saved, most_changed)
+            around = {name for p, q, name in taken if p <= c and d <= q}
+            if not best or any(x[0] == best[0][0] and x[2] in around for x in best):
+                continue
+            _, saved, name, equal, missing, extra = best[0]
+            taken.append((c, d, name))
+            out.append({"first_byte": c, "end_byte": d, "license": name, "saved": -saved, "n_equal": equal, "missing": " ".join(missing), "extra": " ".join(extra), "verbatim": not missing and not extra})
     return out
 
 
