@@ -82,14 +82,14 @@ def plausible(pairs: DataFrame) -> DataFrame:
 def by_fuzzy(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, score, rank: the best plausible titles by weighted ratio, out of the k + 5 best; score is at most 0.5.
 
-    Texts that share no trigram are not compared: their ratio is far below any that is kept.
+    The ratio has no key, so each distinct text meets every title: texts are dealt over tasks by their hash, and each
+    task keeps the k + 5 best of a text before the shuffle.
     """
-    texts, titles = queries.select("q").distinct(), catalog.select("title").distinct()
-    grams = lambda df, c: df.select(c, F.explode(sim.trigrams(F.col(c))).alias("gram"))
-    pairs = grams(texts, "q").join(grams(titles, "title"), "gram").select("q", "title").distinct().withColumn("score", wratio("q", "title"))
-    hits = queries.select("query_id", "q", "ordinal").join(pairs, "q").join(catalog.select("id", "title"), "title")
+    texts = queries.select("q").where("q is not null").distinct().repartition("q")
+    pairs = texts.crossJoin(catalog.select("id", "title").where("title is not null")).withColumn("score", wratio("q", "title"))
+    near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= k + 5)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = plausible(hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 5))
+    best = plausible(queries.select("query_id", "q", "ordinal").join(near, "q"))
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "id", (F.col("score") / 100 * 0.5).alias("score"), "rank", F.lit("fuzzy").alias("source"))
 
