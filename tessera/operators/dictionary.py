@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
+from tessera.llm.scratch import cut
 
 
 def approved(mappings: DataFrame) -> DataFrame:
@@ -30,10 +31,16 @@ def first_writer(mappings: DataFrame, *key: str) -> DataFrame:
 def fill_down(sheet: DataFrame, order: str = "row_no", cell: str = "cell", marker: str = "AMENITIES_PRIORITY_([0-9]+)") -> DataFrame:
     """Rows below a tier marker get its tier; of equal (normal form, tier) the first row stays; rows above any marker go.
 
-    The running value needs the sheet's order, so a sheet is one window; sheets are small by nature.
+    The sheet is dealt into ranges of its order and written once; each range's last marker, one small row a range, is
+    carried forward over the ranges, and the running value is taken within each.
     """
-    tier = F.nullif(F.regexp_extract(cell, marker, 1), F.lit("")).try_cast("int")
-    rows = sheet.withColumn("_mark", tier).withColumn("tier", F.last("_mark", ignorenulls=True).over(Window.orderBy(order)))
+    mark = F.nullif(F.regexp_extract(cell, marker, 1), F.lit("")).try_cast("int")
+    rows = cut(sheet.withColumn("_mark", mark).repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "sheet")
+    last = F.max(F.when(F.col("_mark").isNotNull(), F.struct(F.col(order).alias("o"), "_mark")))["_mark"]
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("_range").agg(last.alias("_last")).select("_range", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    within = F.last("_mark", ignorenulls=True).over(Window.partitionBy("_range").orderBy(order))
+    rows = rows.join(F.broadcast(carried), "_range").withColumn("tier", F.coalesce(within, "_carried")).drop("_range", "_carried")
     rows = rows.where("_mark is null and tier is not null").withColumn("norm", t.plain(t.clean_cell(F.col(cell)))).where("norm <> ''")
     first = Window.partitionBy("norm", "tier").orderBy(order)
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_mark")
