@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -22,29 +21,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import cut, scratch_path
-from tessera.llm.textblocks import power_table
-
-#: Marks that never share a token with a letter before them.
-_MARKS = ".,;:!?*$%&#|\""
+from tessera.llm.textblocks import power_table, slices, text_buffer
 
 #: Ids in a chunk: none has fewer, but a document's last; about MEAN more on average; none has more.
 LEAST, MEAN, MOST = 128, 512, 2048  # MEAN: a power of two
 #: Ids under the rolling hash.
 SPAN = 16
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
-
-#: White space around a space: only there does a space not begin a token of its own or of the next word.
-_AMBIGUOUS = re.compile(r"\s \s|\s \Z")
-_PAIRS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]  # the first ten are ASCII
+#: Ids whose rolling hashes are computed at once.
+_BLOCK = 1 << 20
+#: Bytes of text that are encoded at once; a longer text is by itself.
+SLICE_BYTES = 1 << 20
+#: Bytes of a unit that the table holds under its bytes themselves; longer units are kept in a dictionary.
+_SHORT = 15
+#: Units whose ids a worker remembers; beyond that it starts anew.
+REMEMBERED = 1 << 21
+#: Slots of the table of short units, at least twice as many as it may hold.
+_SLOTS = 1 << 22
+#: Units that are looked up at once.
+_UNITS = 1 << 19
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True  # or the first byte of a wider blank
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xE1, 0xE2, 0xE3]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_MARK = ~_ALNUM
+_MARK[:33] = _MARK[127:] = False
+_OPENS = np.zeros(256, bool)  # what may begin a unit: a space, a line break or a mark
+_OPENS[[10, 32]] = True
+_OPENS |= _MARK
+
+
+def unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places at which a token starts whatever stands around them, those where a text starts among them.
+
+    By the pattern of the tokenizer a token starts at a space or line break between two characters that are not white
+    space, and at an ASCII mark after a letter or digit. bounds: offsets of the texts in data, which has 3 bytes more.
+    """
+    at = np.flatnonzero(_OPENS[data[: bounds[-1]]])
+    own, before = data[at], data[at - 1]
+    mark = _MARK[own] & (_ALNUM[before] | ((data[at - 2] == 0xC3) & (before != 0x97) & (before != 0xB7)))
+    gap = ~_MARK[own] & ~_BLANK[before] & ~_BLANK[data[at + 1]] & ~_WIDE[data[at - 3]] & (data[at - 2] != 0xC2)
+    first = bounds[:-1][np.diff(bounds) > 0]
+    flags = np.zeros(int(bounds[-1]), bool)
+    flags[at[mark | gap]] = flags[first] = True
+    return np.flatnonzero(flags)
 
 
 class Encoder:
-    """Whole texts to ids by a byte-level BPE file of the tokenizers library, each distinct word encoded once.
+    """Whole texts to ids by a byte-level BPE file of the tokenizers library, each distinct unit encoded once.
 
-    In the tokenizer's pattern a token never runs from other characters into a space, so a space that isn't surrounded
-    by white space starts a token: what stands from one such space to the next has the same ids in any text. Texts
-    with other spaces are encoded in one piece.
+    A unit stands between two places at which a token always starts, so it has the same ids in any text. Short units
+    are found by an open-addressed table of their bytes, so a lookup is exact; no word is handled one by one.
     """
 
     def __init__(self, path: str):
@@ -52,109 +81,204 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values(), default=0) + 1
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.opens = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.opens[i] = token.startswith("Ġ")
-        self.spaced: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_with_marks(self, words: list[str]) -> None:
-        """Learn words; of letters with marks after them, a token of their own, the letters are learnt or known alone."""
-        marked, plain = [], {}
-        for w in words:
-            stem = w.rstrip(_MARKS)
-            if stem is not w and stem.isalpha():
-                marked.append((w, stem, w[len(stem) :]))
-                w = stem
-            if w not in self.spaced:
-                plain[w] = self.older.get(w)
-        self.spaced.update((w, x) for w, x in plain.items() if x is not None)
-        self._learn([w for w, x in plain.items() if x is None])
-        marks = list({m for _, _, m in marked if m not in self.heads})
-        self.heads.update(zip(marks, self._whole(marks), strict=True))
-        self.spaced.update((w, self.spaced[stem] + self.heads[m]) for w, stem, m in marked)
-
-    def _learn(self, words: list[str]) -> None:
-        easy, hard = [], []
-        for w in words:
-            (hard if not w or w[0].isspace() else easy).append(w)
-        for k in range(0, len(easy), 500):
-            part = easy[k : k + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(part) and cuts[0] == 0:
-                data, width = ids.tobytes(), self.kind.itemsize
-                bounds = (np.append(cuts, len(ids)) * width).tolist()
-                self.spaced.update(zip(part, (data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
-            else:
-                self.spaced.update(zip(part, self._whole([" " + w for w in part]), strict=True))
-        self.spaced.update(zip(hard, self._whole([" " + w for w in hard]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.heads) > REMEMBERED:  # words met since the last time stay for another
-            self.older, self.spaced = self.spaced, {}
-            self.heads.clear()
-        split = [None if _ambiguous(t) else t.split(" ") for t in texts]
-        heads = list({s[0] for s in split if s and s[0] not in self.heads})
-        self.heads.update(zip(heads, self._whole(heads), strict=True))
-        known, older = self.spaced, self.older
-        new: dict[str, None] = {}
-        found = []
-        for s in split:
-            ids = list(map(known.get, s)) if s else []
-            gaps = [i for i, x in enumerate(ids) if x is None and i]
-            new.update((s[i], None) for i in gaps)
-            found.append((ids, gaps))
-        again = {w: older[w] for w in new if w in older}
-        known.update(again)
-        self._learn_with_marks([w for w in new if w not in again])
-        whole = iter(self._whole([t for t, s in zip(texts, split, strict=True) if s is None]))
-        out = []
-        for s, (ids, gaps) in zip(split, found, strict=True):
-            if s is None:
-                out.append(next(whole))
-                continue
-            ids[0] = self.heads[s[0]]
-            for i in gaps:
-                ids[i] = known[s[i]]
-            out.append(b"".join(ids))
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.width = np.zeros(size, np.int64)  # bytes of a token: it is spelt with a letter for each
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots = np.full(_SLOTS, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.rows = 0
+        self.low, self.high = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+        self.ids, self.used = np.zeros(1 << 18, self.kind), 0
+        self.first = np.zeros((1 << 16) + 1, np.int64)  # row k has ids first[k] to first[k + 1]
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, units: list[bytes]) -> list[np.ndarray]:
+        """Ids of each unit. Those after a space or line break go in one text as far as they can be told apart in it."""
+        out: list[np.ndarray | None] = [None] * len(units)
+        chained = [k for k, u in enumerate(units) if _chains(u)]
+        for a in range(0, len(chained), 500):
+            part = chained[a : a + 500]
+            ids = self._whole([b"".join(units[k] for k in part).decode()])[0]
+            ends = np.cumsum([len(units[k]) for k in part])
+            upto = np.cumsum(self.width[ids])
+            cuts = np.searchsorted(upto, ends)
+            if len(upto) and upto[-1] == ends[-1] and (upto[cuts] == ends).all():
+                for k, x, y in zip(part, [0, *(cuts[:-1] + 1).tolist()], (cuts + 1).tolist(), strict=True):
+                    out[k] = ids[x:y]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(rest, self._whole([units[k].decode() for k in rest]), strict=True):
+            out[k] = ids
         return out
 
+    def _learn(self, units: list[bytes]) -> int:
+        """New rows of the table, in the units' order; the first of them."""
+        found = self._encoded(units)
+        begin, n = self.rows, len(units)
+        sizes = np.array([len(x) for x in found], np.int64)
+        ids = np.concatenate([*found, np.zeros(0, self.kind)])
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.low) < begin + n:
+            self.low, self.high = (np.concatenate([x, np.zeros_like(x)]) for x in (self.low, self.high))
+            self.first = np.concatenate([self.first, np.zeros(len(self.first) - 1, np.int64)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[begin + 1 : begin + n + 1] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.rows += n
+        return begin
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        out = np.full(len(low), -1, np.int32)
+        slot = _slot(low, high)
+        row = self.slots[slot]
+        hit = (row >= 0) & (self.low[row] == low) & (self.high[row] == high)
+        out[hit] = row[hit]
+        open_ = np.flatnonzero(~hit & (row >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (_SLOTS - 1)
+            row = self.slots[slot[open_]]
+            hit = (row >= 0) & (self.low[row] == low[open_]) & (self.high[row] == high[open_])
+            out[open_[hit]] = row[hit]
+            open_ = open_[~hit & (row >= 0)]
+        return out
 
-def _ambiguous(text: str) -> bool:
-    return any(x in text for x in (_PAIRS[:10] if text.isascii() else _PAIRS)) and bool(_AMBIGUOUS.search(text))
+    def _place(self, low: np.ndarray, high: np.ndarray, begin: int) -> None:
+        """Put new, distinct keys into the table as rows from begin on."""
+        rows = np.arange(begin, begin + len(low), dtype=np.int32)
+        self.low[rows], self.high[rows] = low, high
+        slot = _slot(low, high)
+        while len(rows):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = rows[free]
+            left = self.slots[slot] != rows
+            rows, slot = rows[left], (slot[left] + 1) & (_SLOTS - 1)
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin and end; bounds: their offsets in data, from 0 on."""
+        size = int(bounds[-1])
+        padded = np.zeros(size // 8 * 8 + 32, np.uint8)
+        padded[:size] = data[:size]
+        raw = padded[:size].tobytes()
+        starts = unit_starts(padded, bounds)
+        if any(x in raw for x in self.added):  # a text with one of these is a unit
+            odd = np.array([any(x in raw[a:b] for x in self.added) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)])
+            of = np.searchsorted(bounds, starts, "right") - 1
+            starts = starts[~odd[of] | np.isin(starts, bounds)]
+        ends = np.append(starts[1:], size)[: len(starts)]
+        found = [self._units(padded, raw, starts[k : k + _UNITS], ends[k : k + _UNITS]) for k in range(0, len(starts), _UNITS)]
+        counts = np.concatenate([np.zeros(1, np.int64), *(c for _, c in found)])
+        return np.concatenate([np.zeros(0, self.kind), *(x for x, _ in found)]), np.cumsum(counts)[np.searchsorted(starts, bounds)]
+
+    def _units(self, padded: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units in a row, and how many each has."""
+        if self.rows > REMEMBERED:
+            self._forget()
+        sizes = ends - starts
+        row = np.empty(len(starts), np.int32)
+        short = np.flatnonzero(sizes <= _SHORT)
+        low, high = _keys(padded, starts[short], sizes[short])
+        found = self._find(low, high)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            order = new[np.lexsort((low[new], high[new]))]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+            one = order[fresh]
+            at = short[one]
+            begin = self._learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self._place(low[one], high[one], begin)
+            found[order] = begin + np.cumsum(fresh) - 1
+        row[short] = found
+        wide = np.flatnonzero(sizes > _SHORT)
+        units = [raw[a:b] for a, b in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True)]
+        unknown = list(dict.fromkeys(u for u in units if u not in self.long))
+        begin = self._learn(unknown)
+        self.long.update(zip(unknown, range(begin, begin + len(unknown)), strict=True))
+        row[wide] = [self.long[u] for u in units]
+        first = self.first[row]
+        count = self.first[row + 1] - first
+        upto = np.concatenate([[0], np.cumsum(count)])
+        return self.ids[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])], count
+
+
+def _chains(unit: bytes) -> bool:
+    """True if the unit's tokens stand apart from those of others of this kind before and after it."""
+    return len(unit) > 1 and unit[0] in (10, 32) and not _BLANK[unit[1]] and (33 <= unit[-1] < 127 or unit[-2] == 0xC3)
+
+
+def _keys(padded: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of units of up to _SHORT bytes as two numbers; the second has the number of bytes on top."""
+    words = padded.view(np.uint64)
+    at, shift = starts >> 3, ((starts & 7) * 8).astype(np.uint64)
+    a, b, c = words[at], words[at + 1], words[at + 2]
+    back = np.uint64(63) - shift  # a shift by 64 in two steps
+    low = (a >> shift) | (b << np.uint64(1) << back)
+    high = (b >> shift) | (c << np.uint64(1) << back)
+    n = sizes.astype(np.int64)
+    low &= _HEADS[np.minimum(n, 8)]
+    high &= _HEADS[np.maximum(n - 8, 0)]
+    return low, high | (n.astype(np.uint64) << np.uint64(56))
+
+
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _slot(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    h = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(42)).astype(np.int64)
+
+
+def chunk_ends(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of all documents' chunks, and how many each document has; document k has the ids from bounds[k] to bounds[k + 1].
+
+    A chunk ends where a hash of the last SPAN ids is rare, at LEAST to MOST ids from the last end, and with its document.
+    """
+    rare = []
+    powers, inverse = power_table(_BLOCK + SPAN)
+    for a in range(0, len(ids) - SPAN + 1, _BLOCK):
+        mixed = (ids[a : a + _BLOCK + SPAN - 1].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        total = np.zeros(len(mixed) + 1, np.uint64)
+        np.cumsum(mixed * powers[: len(mixed)], out=total[1:])
+        rolling = (total[SPAN:] - total[:-SPAN]) * inverse[: len(mixed) + 1 - SPAN]
+        rolling = (rolling ^ (rolling >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
+        rare.append(np.flatnonzero(rolling & np.uint64(MEAN - 1) == 0) + (a + SPAN))
+    places = np.concatenate([np.zeros(0, np.int64), *rare])
+    own = np.searchsorted(places, bounds).tolist()
+    all_places = places.tolist()
+    ends: list[int] = []
+    counts = []
+    for last, end, x, y in zip(bounds.tolist(), bounds[1:].tolist(), own, own[1:], strict=False):
+        before = len(ends)
+        for place in all_places[x:y] if end - last > LEAST else ():
+            while place - last > MOST:
+                last += MOST
+                ends.append(last)
+            if place - last >= LEAST:
+                last = place
+                ends.append(place)
+        while end - last > MOST:
+            last += MOST
+            ends.append(last)
+        if last < end:
+            ends.append(end)
+        counts.append(len(ends) - before)
+    return np.array(ends, np.int64), np.array(counts, np.int64)
 
 
 def chunk_bounds(ids: np.ndarray) -> list[int]:
-    """Ends of a document's chunks: where a hash of the last SPAN ids is rare, at LEAST to MOST ids from the last end."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    powers, inverse = power_table(n + 1)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mixed * powers[:n], out=total[1:])
-    rolling = (total[SPAN:] - total[:-SPAN]) * inverse[: n + 1 - SPAN]
-    rolling = (rolling ^ (rolling >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
-    ends, last = [], 0
-    for x in (np.flatnonzero(rolling & np.uint64(MEAN - 1) == 0) + SPAN).tolist():
-        while x - last > MOST:
-            last += MOST
-            ends.append(last)
-        if x - last >= LEAST:
-            last = x
-            ends.append(x)
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    return ends if last == n else [*ends, n]
+    """Ends of the chunks of one document."""
+    return chunk_ends(ids, np.array([0, len(ids)]))[0].tolist()
 
 
 def merkle_root(leaves: Iterable[bytes]) -> bytes:
@@ -182,24 +306,23 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
         _ENCODERS[tokenizer] = encoder
-        end = np.array([end_id], encoder.kind).tobytes()
+        width = encoder.kind.itemsize
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                sizes, counts, digests, lengths, pieces = [], [0], [], [], []
-                width = encoder.kind.itemsize
-                for data in encoder.encode([x or "" for x in part.column(1).to_pylist()]):
-                    data += end
-                    ends = chunk_bounds(np.frombuffer(data, encoder.kind))
-                    own = [data[a * width : b * width] for a, b in zip([0, *ends], ends, strict=False)]
-                    sizes.append(ends[-1])
-                    counts.append(len(own))
-                    pieces += own
-                    digests += [hashlib.sha256(p).digest() for p in own]
-                    lengths += [len(p) // width for p in own]
-                chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(pieces, pa.binary())], ["digest", "n", "ids"])
-                chunks = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), chunks)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), chunks], ["doc_id", "n_tokens", "chunks"])
+            data, offsets = text_buffer(batch.column(1))
+            for a, b in slices(offsets, SLICE_BYTES):
+                plain, at = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                bounds = at + np.arange(b - a + 1)
+                ids = np.full(bounds[-1], end_id, encoder.kind)
+                inner = np.ones(len(ids), bool)
+                inner[bounds[1:] - 1] = False
+                ids[inner] = plain
+                ends, counts = chunk_ends(ids, bounds)
+                raw, cuts = memoryview(ids.tobytes()), (np.append(0, ends) * width).tolist()
+                digests = [hashlib.sha256(raw[x:y]).digest() for x, y in zip(cuts, cuts[1:], strict=False)]
+                pieces = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.array(cuts, np.int32)), pa.py_buffer(raw)])
+                chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(np.diff(ends, prepend=0), pa.int32()), pieces], ["digest", "n", "ids"])
+                chunks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), chunks)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), chunks], ["doc_id", "n_tokens", "chunks"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, chunks array<struct<digest: binary, n: int, ids: binary>>")
