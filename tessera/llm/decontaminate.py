@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +29,32 @@ _LAST = (1 << 21) - 1
 _MASK = np.uint64(_SLOTS - 1)
 
 
-def _hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Spelling:
+    """Words as they are spelt, lower-cased: data from starts to ends."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def same(self, own: np.ndarray, other: Spelling, theirs: np.ndarray) -> np.ndarray:
+        """True where word own[k] has the bytes of the other spelling's word theirs[k]."""
+        size = self.ends[own] - self.starts[own]
+        equal = size == other.ends[theirs] - other.starts[theirs]
+        at = np.flatnonzero(equal)
+        if not len(at):
+            return equal
+        n = size[at]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = self.data[np.repeat(self.starts[own[at]], n) + inner] != other.data[np.repeat(other.starts[theirs[at]], n) + inner]
+        equal[at] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        return equal
+
+
+def _hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, Spelling]:
     folded = _FOLD[data]
     starts, ends, upto = word_spans(folded, bounds, _WORD)
-    return span_hashes(folded, starts, ends), upto
+    return span_hashes(folded, starts, ends), upto, Spelling(folded, starts, ends)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -52,12 +74,13 @@ class QueryBlock:
     widths: np.ndarray  # its words: WINDOW, or all of a shorter item
     first: np.ndarray  # slots of the first words of one-word windows
     pairs: np.ndarray  # slots of the first two words of the others
+    spelling: Spelling  # a word at a place is that of the place less the number of its item
 
     @staticmethod
     def of(texts: list[str], names: list[str], window: int = WINDOW) -> QueryBlock:
         column = pa.array(texts, pa.string())
         data, offsets = text_buffer(column)
-        hashes, upto = _hashed_words(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+        hashes, upto, spelling = _hashed_words(data[offsets[0] : offsets[-1]], offsets - offsets[0])
         vocabulary = np.unique(hashes)
         sizes = np.diff(upto)
         n = len(hashes) + len(texts)
@@ -77,7 +100,7 @@ class QueryBlock:
         first[spread[one] & _MASK] = True
         two = begins[widths > 1]
         pairs[_pair(spread[two], spread[two + 1])] = True
-        return QueryBlock(vocabulary, words, ends, item, names, begins, widths, first, pairs)
+        return QueryBlock(vocabulary, words, ends, item, names, begins, widths, first, pairs, spelling)
 
 
 @dataclass
@@ -92,10 +115,11 @@ class Shard:
     suffixes: np.ndarray
     keys: np.ndarray
     upto: np.ndarray
+    spelling: Spelling
 
     @staticmethod
     def of(data: np.ndarray, bounds: np.ndarray, block: QueryBlock) -> Shard:
-        hashes, upto = _hashed_words(data, bounds)
+        hashes, upto, spelling = _hashed_words(data, bounds)
         n = len(hashes)
         docs = len(bounds) - 1
         able = block.first[hashes & _MASK]
@@ -136,7 +160,7 @@ class Shard:
             group = np.cumsum(breaks)
             tail[tied] = more & _LAST
             depth += 3
-        return Shard(words, at, keys, upto)
+        return Shard(words, at, keys, upto, spelling)
 
     def matches(self, block: QueryBlock) -> tuple[np.ndarray, np.ndarray]:
         """Binary search of every window of the test set: pairs of (index into block.begins, place in words)."""
@@ -161,6 +185,18 @@ class Shard:
         rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
         return np.repeat(live, many), self.suffixes[rank]
 
+    def verbatim(self, block: QueryBlock, window: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """True for the matches whose words have the same bytes, not only the same hashes."""
+        width = block.widths[window]
+        of = np.repeat(np.arange(len(window)), width)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
+        theirs, own = block.begins[window][of] + inner, place[of] + inner
+        pair, back = np.unique(theirs * len(self.words) + own, return_inverse=True)
+        theirs, own = pair // len(self.words), pair % len(self.words)
+        doc = np.searchsorted(self.upto[:-1] + np.arange(len(self.upto) - 1), own, "right") - 1
+        equal = self.spelling.same(own - doc, block.spelling, theirs - block.item[theirs])
+        return np.logical_and.reduceat(equal[back], np.cumsum(width) - width)
+
     def _bisect(self, low: np.ndarray, high: np.ndarray, want: np.ndarray, depth: int, after: bool) -> np.ndarray:
         low, high = low.copy(), high.copy()
         last = len(self.words) - 1
@@ -213,6 +249,8 @@ def scan(column: pa.Array, block: QueryBlock) -> Iterator[tuple[int, np.ndarray,
         hits: dict[int, tuple[list[tuple[int, int]], dict[str, tuple[int, int]]]] = {}
         window, place = shard.matches(block)
         if len(window):
+            same = shard.verbatim(block, window, place)
+            window, place = window[same], place[same]
             starts = upto[:-1] + np.arange(b - a)
             doc = np.searchsorted(starts, place, "right") - 1
             first = place - starts[doc]
@@ -235,8 +273,9 @@ def scan(column: pa.Array, block: QueryBlock) -> Iterator[tuple[int, np.ndarray,
 def query_blocks(spark: SparkSession, items: DataFrame, item_id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS, window: int = WINDOW) -> list:
     """The test set as broadcast blocks of at most about block_words words, however many there are.
 
-    Long items are cut into pieces that overlap by window - 1 words, so each window stands whole in one piece; running
-    sums in Spark deal pieces to blocks, and the driver holds one block at a time.
+    Long items are cut into pieces that overlap by window - 1 words, so each window stands whole in one piece. Equal
+    pieces of an item are one; running sums of words, first over the parts of the table, deal pieces to blocks, so no
+    block grows with the set, and the driver holds one block at a time.
     """
     folded = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(folded, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda x: x != "")
@@ -245,11 +284,14 @@ def query_blocks(spark: SparkSession, items: DataFrame, item_id: str = "item_id"
     step = piece - window + 1
     rows = rows.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1), F.lit(step))).alias("at"))
     rows = rows.select("item", F.array_join(F.slice("w", F.col("at"), F.lit(piece)), " ").alias("text"), F.least(F.size("w") - F.col("at") + 1, F.lit(piece)).alias("n"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-int(total) * 2 // block_words))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    if blocks > 1:
-        dealt = cut(dealt, "test-set")
+    rows = cut(rows.distinct().withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftright("row", 33)), "test-set")
+    # words before each piece: those of earlier parts of the table, then those before it in its own part
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg(F.sum("n").alias("words")).withColumn("skip", F.coalesce(F.sum("words").over(upto), F.lit(0))).select("part", "skip")
+    own = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.floor((F.col("skip") + F.coalesce(F.sum("n").over(own), F.lit(0))) / F.lit(max(1, block_words - piece)))
+    dealt = cut(rows.join(parts, "part").select("item", "text", block.cast("long").alias("block")), "test-blocks")
+    blocks = 1 + (dealt.agg(F.max("block")).first()[0] or 0)
     out = []
     for k in range(blocks):
         found = dealt.where(F.col("block") == k).collect()
@@ -306,8 +348,11 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     consecutive words of an item, or all of a shorter one; items without a word have none. A document is contaminated
     if a twentieth of its words or more are hit. Each task sorts the suffixes of shards of its own documents and
     searches them for every window of the test set, which is broadcast in blocks of proven size: a set beyond one block
-    goes over the documents once for each, so nothing is shuffled and neither side has a limit. Null and blank texts
-    have no words; null item ids are listed as an empty string; equal ids are one item; repeated rows each get a row.
+    goes over the documents once for each, so nothing is shuffled and neither side has a limit; between two passes the
+    documents are written with what was found so far. Search goes by word hashes, and the words of each match are then
+    compared byte by byte. Null and blank texts have no words, long ones are searched whole; null item ids are listed
+    as an empty string; equal ids are one item; repeated rows each get a row. Columns of docs with the name of a result
+    are replaced by it, all others are kept.
     """
     blocks = query_blocks(docs.sparkSession, items, item_id, item_text, block_words, window)
     out = docs

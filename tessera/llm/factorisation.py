@@ -133,8 +133,8 @@ def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 def scored(docs: DataFrame, machine: Machine | None, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs without the text, with score (0 to 1: how likely label 1 is) and predicted (1 from threshold on).
 
-    Null texts are scored as empty ones. Without a machine every score is 0.5. Result columns replace columns of the
-    same name; nothing but the text and its length is an input.
+    Null texts are scored as empty ones, long ones whole. Without a machine every score is 0.5. Columns named score or
+    predicted are replaced by the results, all others are kept; nothing but the text and its length is an input.
     """
     rest = [f for f in docs.schema.fields if f.name not in (text, "score", "predicted")]
 

@@ -161,16 +161,20 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, doc_
 def predicted(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """docs without the text, with lang_pred and score (0 to 1).
 
-    A null text or one without a letter is `und`, with score 0, and so is any text where there is no model. Result
-    columns replace columns of the same name; nothing but the text is an input.
+    A null text or one without a letter is `und`, with score 0, and so is any text where there is no model. Texts are
+    read whole, however long. Columns named lang_pred or score are replaced by the results, all others are kept;
+    nothing but the text is an input.
     """
-    rest = [f for f in docs.schema.fields if f.name not in (text, "lang_pred", "score", "_lettered")]
+    rest = [f for f in docs.schema.fields if f.name not in (text, "lang_pred", "score")]
+    marked = "_lettered"
+    while marked in docs.columns:
+        marked += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index
             data, offsets = text_buffer(batch.column(at(text)))
-            lettered = batch.column(at("_lettered")).to_pylist()
+            lettered = batch.column(at(marked)).to_pylist()
             langs, scores = [], [np.zeros(0)]
             for a, b in slices(offsets, 1 << 18):
                 for c in range(a, b, 64):
@@ -189,5 +193,5 @@ def predicted(docs: DataFrame, model: LanguageModel | None, text: str = "text")
             yield pa.RecordBatch.from_arrays([*(batch.column(at(f.name)) for f in rest), pa.array(langs, pa.string()), pa.array(scores)], [*(f.name for f in rest), "lang_pred", "score"])
 
     schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    lettered = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("_lettered")
+    lettered = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias(marked)
     return docs.select(*(f"`{f.name}`" for f in rest), f"`{text}`", lettered).mapInArrow(run, schema)

@@ -163,8 +163,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str =
     share of the block's compressed size that the template as a raw dictionary saves), n_equal, missing and extra words,
     verbatim.
 
-    Whole texts are read where they lie; nothing is shuffled. Null and blank texts have no blocks; a document may have
-    several rows and repeated documents each have theirs.
+    Whole texts, however long, are read where they lie; nothing is shuffled. A block ends after 1,600 bytes, so a longer
+    notice has a row for each of its blocks; all templates that save enough are compared word by word. Null and blank
+    texts have no blocks; a document may have several rows and repeated documents each have theirs. Further columns of
+    docs take no part.
     """
     given = templates or TEMPLATES
     kind = docs.schema[doc_id].dataType.simpleString()

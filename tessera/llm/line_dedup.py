@@ -1,281 +1,385 @@
-"""Removal of globally repeated passages by content-defined chunks and by shortest runs of lines."""
+"""Removal of globally repeated passages by content-defined chunks of lines."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from tessera.llm.scratch import cut
-from tessera.llm.textblocks import power_table
-
-#: Lines in a chunk: none but the last of a text has fewer or more.
-LEAST, MOST = 2, 12
-#: One line in so many ends a chunk, where LEAST lets it.
-EVERY = 2
-#: Words of a chunk that is removed, at least.
-LEAST_WORDS = 12
-#: Words of a run of lines that is removed wherever it stands, at least.
+from tessera.llm.textblocks import power_table, slices, span_hashes, text_buffer
+
+#: Words of the window of lines of which the least hash begins a chunk.
+WINDOW_WORDS = 12
+#: Words of the stretch of chunks that is compared, at least.
+SPAN_WORDS = 12
+#: Words beside a repeated stretch that are compared line by line, about.
+MARGIN_WORDS = 24
+#: Words of a passage that is removed, at least.
 PASSAGE_WORDS = 25
-#: Hashes that are broadcast at most, 8 bytes each; more of them are joined by document.
-BROADCAST_HASHES = 1 << 22
-#: Bytes of texts whose runs are looked up at once.
-_SLICE = 1 << 22
-
-_CUT = re.compile(rb"\n|(?<=[.!?]) ")
-#: The same with the full stops of scripts that set no space after them.
-_WIDE_CUT = re.compile(rb"\n|(?<=[.!?]) |(?<=\xe3\x80\x82)|(?<=\xef\xbc[\x81\x9f])|(?<=\xe0\xa5\xa4)")
+#: Columns that `without_repeats` adds.
+RESULTS = ("n_removed", "n_passages", "cut_bytes")
+#: Bits of the filter of document keys that is broadcast.
+FILTER_BITS = 1 << 26
+#: Bytes of texts that are taken apart at once.
+_SLICE = 1 << 20
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), 32]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+# Full stops of scripts that set no space after them.
 _WIDE_STOPS = (b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f", b"\xe0\xa5\xa4")
-#: First bytes of characters that are written without spaces between words.
-_UNSPACED = bytes(range(0xE3, 0xEA))
-_MASK = (1 << 64) - 1
+#: First bytes of characters that are written without spaces between words; Thai has a second byte too.
+_UNSPACED = np.zeros(256, bool)
+_UNSPACED[0xE3:0xEA] = True
 
 
-def units(text: bytes) -> list[tuple[int, int]]:
-    """Spans of the lines of a text; a long line ends at each sentence, so that passages within one are lines too."""
-    wide = not text.isascii() and any(x in text for x in _WIDE_STOPS)
-    ends = [m.end() for m in (_WIDE_CUT if wide else _CUT).finditer(text)]
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
-    return list(zip([0, *ends], ends, strict=False))
+@dataclass
+class Lines:
+    """Lines with a word of consecutive texts: bytes [starts, ends), hash and words of each; text k has those from bounds[k] on.
 
+    A line ends at a line break, and at a full stop, so that passages within a long line are lines too. Hashes and words
+    leave white space around a line out; two letters without spaces between words count as a word.
+    """
 
-def _lines(text: bytes, seed: int = 7) -> list[tuple[int, int, int, int]]:
-    """(start, end, hash, words) of each line that is not blank; two letters without spaces between words count as a word."""
-    out = []
-    for a, b in units(text):
-        line = text[a:b].strip()
-        if line:
-            words = line.count(b" ") + 1
-            if not line.isascii():
-                words += (len(line) - len(line.translate(None, _UNSPACED)) + line.count(b"\xe0\xb8") + line.count(b"\xe0\xb9")) // 2
-            out.append((a, b, xxh64_intdigest(line, seed), words))
-    return out
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    words: np.ndarray
+    bounds: np.ndarray
+    inner: tuple[np.ndarray, np.ndarray]  # [starts, ends) without white space around
+
+    @staticmethod
+    def of(data: np.ndarray, bounds: np.ndarray) -> Lines:
+        """bounds: offsets of the texts in data, the first 0 and the last len(data)."""
+        n = len(data)
+        blank = _BLANK[data]
+        spaces = np.flatnonzero(data[1:] == 32) + 1
+        cuts = np.zeros(n + 1, bool)
+        cuts[np.flatnonzero(data == 10) + 1] = True
+        cuts[spaces[_STOP[data[spaces - 1]]] + 1] = True
+        high = data >= 0xE0
+        if high.any():
+            at = np.flatnonzero(high[: n - 2])
+            three = (data[at].astype(np.int64) << 16) | (data[at + 1].astype(np.int64) << 8) | data[at + 2]
+            cuts[at[np.isin(three, [int.from_bytes(x, "big") for x in _WIDE_STOPS])] + 3] = True
+        cuts[bounds] = True
+        edges = np.flatnonzero(cuts)
+        starts, ends = (edges[:-1], edges[1:]) if n else (edges[:0], edges[:0])
+        filled = np.flatnonzero(~blank)
+        first, after = np.searchsorted(filled, starts), np.searchsorted(filled, ends)
+        some = first < after
+        starts, ends, first, after = starts[some], ends[some], first[some], after[some]
+        low, up = filled[first], filled[after - 1] + 1
+        opens = np.zeros(n + 1, np.int64)
+        begins = ~blank
+        begins[1:] &= blank[:-1]
+        np.cumsum(begins, out=opens[1:])
+        words = opens[up] - opens[low] + ~begins[low]
+        if high.any():
+            own = _UNSPACED[data]
+            thai = np.flatnonzero(data[: n - 1] == 0xE0)
+            own[thai[(data[thai + 1] == 0xB8) | (data[thai + 1] == 0xB9)]] = True
+            total = np.concatenate([[0], np.cumsum(own)])
+            words = words + (total[up] - total[low]) // 2
+        return Lines(starts, ends, span_hashes(data, low, up), words, np.searchsorted(starts, bounds), (low, up))
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first line, line after the last, hash) of stretches of chunks of at least SPAN_WORDS words, one from each chunk
+        on as far as its text goes.
+
+        A line begins a chunk if its hash is the least of a window, which is the shortest run of lines of WINDOW_WORDS
+        words from some line on; so does a line after one that is a window by itself, and a text's first. Whatever
+        stands around a passage, its windows are the same, and so are its chunks from the first such line to the last.
+        """
+        n = len(self.starts)
+        upto = np.concatenate([[0], np.cumsum(self.words)])
+        last = np.repeat(self.bounds[1:], np.diff(self.bounds))  # the line after those of a line's text
+        heads = np.zeros(n + 1, bool)
+        heads[self.bounds] = True
+        ahead = np.searchsorted(upto, upto[:-1] + WINDOW_WORDS, "left")
+        whole = np.flatnonzero(ahead <= last)
+        least, size = whole.copy(), ahead[whole] - whole
+        for k in range(1, int(size.max(initial=0))):
+            at = np.flatnonzero(size > k)
+            lower = self.hashes[whole[at] + k] < self.hashes[least[at]]
+            least[at[lower]] = whole[at[lower]] + k
+        heads[least] = True
+        heads[whole[size == 1] + 1] = True
+        chunk = np.flatnonzero(heads)  # n is the last
+        words = upto[chunk]
+        end = np.searchsorted(words, words[:-1] + SPAN_WORDS, "left")
+        fits = end < len(chunk)
+        a, b = chunk[:-1][fits], chunk[end[fits]]
+        inside = b <= last[a]
+        a, b = a[inside], b[inside]
+        return a, b, self._run(a, b, 0)
+
+    def _run(self, a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+        """A hash of each run of lines [a, b), as a signed number."""
+        n = len(self.starts)
+        powers, inverses = power_table(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        mixed = self.hashes ^ np.uint64(salt)
+        np.cumsum((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) * powers[:n], out=total[1:])
+        h = (total[b] - total[a]) * inverses[a]
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def _sliced(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the first text, bytes, offsets) of runs of texts."""
+    data, offsets = text_buffer(column)
+    for a, b in slices(offsets, _SLICE):
+        yield a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def _filter_bits(key: Column) -> Column:
+    return F.array(*(F.shiftrightunsigned(key, k).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in (0, 30)))
+
+
+def _key_filter(keys: DataFrame):
+    """A broadcast Bloom filter of FILTER_BITS bits over keys (_k): of one size for any number of keys. Where there are
+    more of them than it can tell apart it lets more keys through, never fewer."""
+    bits = keys.select(F.explode(_filter_bits(F.col("_k"))).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def _passing(docs: DataFrame, key: str, known, inside: bool) -> DataFrame:
+    """The rows of docs whose key passes the filter, or those whose key doesn't."""
+    at = docs.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(at).to_numpy().view(np.uint64)
+            ok = np.ones(len(k), bool)
+            for shift in (0, 30):
+                bit = (k >> np.uint64(shift) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                ok &= (known.value[bit >> 6] >> (bit & 63)) & 1 == 1
+            yield batch.filter(pa.array(ok if inside else ~ok))
 
+    return docs.mapInArrow(run, docs.schema)
 
-def chunks(text: bytes, lines: list[tuple[int, int, int, int]] | None = None) -> list[tuple[int, int, int, int]]:
-    """(hash, start, end, words) of each chunk of a text.
 
-    A hash that rolls over the last two lines' hashes ends a chunk after about one line in EVERY, so the same passage
-    is cut alike wherever it stands, but for its margins. White space around lines does not count.
-    """
-    out, start, n, before, h, words = [], 0, 0, 0, 0, 0
-    for _, b, own, size in _lines(text) if lines is None else lines:
-        h = (h * 0x9E3779B97F4A7C15 + own) & _MASK
-        n += 1
-        words += size
-        roll = ((own * 0xD6E8FEB86659FD93) ^ (before * 0xC2B2AE3D27D4EB4F)) & _MASK
-        before = own
-        if n >= LEAST and ((roll >> 40) % EVERY == 0 or n >= MOST):
-            out.append((h, start, b, words))
-            start, n, h, words = b, 0, 0, 0
-    if n:
-        out.append((h, start, len(text), words))
-    return out
-
-
-def runs(owns: np.ndarray, words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, line after the last, hash) of each text's shortest runs of `least` words that start or end at a line.
-
-    Of a run of lines of at least so many words, the shortest ones within it cover all its lines; so where all shortest
-    runs are compared, repeated passages are found whole, whatever stands around them. bounds: the lines of each text.
-    """
-    n = len(owns)
-    upto = np.concatenate([[0], np.cumsum(words)])
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    lines = np.arange(n)
-    ahead = np.searchsorted(upto, upto[:-1] + least, "left")
-    behind = np.searchsorted(upto, upto[1:] - least, "right") - 1
-    f, g = ahead <= bounds[text + 1], behind >= bounds[text]
-    both = np.unique(np.concatenate([lines[f] * (n + 1) + ahead[f], behind[g] * (n + 1) + lines[g] + 1]))
-    a, b = both // (n + 1), both % (n + 1)
-    powers, inverses = power_table(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(owns * powers[:n], out=total[1:])
-    h = (total[b] - total[a]) * inverses[a]
-    return a, b, (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _signed(values: list[int]) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
-
-
-def _sliced(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(place of its first text, texts) of slices of about _SLICE bytes."""
-    a, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= _SLICE or i + 1 == len(texts):
-            yield a, [t or b"" for t in texts[a : i + 1]]
-            a, size = i + 1, 0
-
-
-def _found(texts: list[bytes], least_words: int, passage_words: int, seed: int) -> tuple:
-    """Each text's lines and chunks of least_words words, and the runs of all: first and next line, hash; bounds, hashes of lines."""
-    lines = [_lines(t, seed) for t in texts]
-    own = [[c for c in chunks(t, x if seed == 7 else None) if c[3] >= least_words] for t, x in zip(texts, lines, strict=True)]
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
-    flat = [x for y in lines for x in y]
-    owns = np.array([x[2] for x in flat], np.uint64)
-    a, b, h = runs(owns, np.array([x[3] for x in flat], np.int64), bounds, passage_words)
-    return flat, own, a, b, h.view(np.int64), bounds, owns
-
-
-def _among(values: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-    if known is None:
-        return np.ones(len(values), bool)
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
-_CHUNK, _RUN, _LINE = 0, 1, 2
-
-
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, passage_words: int = PASSAGE_WORDS, seed: int = 7) -> DataFrame:
-    """docs with text cut down to what is not a repeat, and with n_chunks, n_removed, removed_bytes, n_passages, cut_bytes.
-
-    Of equal runs of lines with passage_words words, anywhere in the table, and of equal chunks of at least two lines and
-    least_words words, the first by doc_id stays (then by a hash of its text, then by place); later ones are removed.
-    Equal means equal bytes, but for white space around lines of a run and around a chunk. What is removed always has an
-    equal line before it in that order, so one of each stays. Only hashes are shuffled for the search. Chunks whose hash
-    repeats are then fetched and grouped by their bytes, runs by the hashes of their lines; the bytes of those lines are
-    compared once per task and distinct line. A group of any size meets in partial aggregates. Documents meet their
-    removals in one join. n_removed and removed_bytes count chunks, n_passages and cut_bytes all that is cut.
-    A null text stays null; rows that share id and text are one document and are cleaned alike.
+_SPAN, _LINE, _MARGIN = 0, 1, 2
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs with text cut down to what is not a repeat, and with n_removed, n_passages and cut_bytes.
+
+    Stretches of content-defined chunks (`Lines.spans`) meet by their hashes, all over the table. The first by doc_id
+    stays (then by a hash of its text, then by place); later ones are removed, with the lines beside them as far as an
+    earlier document has the same lines beside an equal stretch. Passages of under passage_words words stay. So an equal
+    passage is cut whole wherever it stands; equal means equal bytes, but for white space around lines, and what is
+    removed always has an equal line before it in that order, so one of each stays.
+
+    Only hashes are shuffled for the search: partial sums find those that repeat, and a join keeps the places of these.
+    Texts with such a place are then fetched, and the bytes behind each hash that decides are compared, distinct lines
+    once a task; a hash that stands for different bytes decides nothing. Groups of any size meet in partial aggregates
+    and in joins that the adaptive planner may split. A Bloom filter of fixed size keeps most other texts out of the
+    shuffles of texts. n_removed counts repeated stretches, n_passages and cut_bytes what is cut.
+
+    A null text stays null; texts of any length are read whole; rows that share id and text are one document and are
+    cleaned alike. Columns with the name of a result are replaced by it, all others are kept.
     """
-    spark = docs.sparkSession
-    key = [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_h")]
-    slim = docs.select(*key, F.col(text).alias("_text")).where("_text is not null")
+    names = [c for c in docs.columns if c not in RESULTS]
+    packed = docs.select(F.struct(*(f"`{c}`" for c in names)).alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_h"), F.xxhash64(F.col(doc_id), F.col(text), F.lit(3)).alias("_k"), F.col(text).alias("_text"))
+    slim = packed.select("_k", "_id", "_h", "_text").where("_text is not null")
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in _sliced(batch.column(2).cast(pa.binary()).to_pylist()):
-                _, own, _, _, h, _, _ = _found(texts, least_words, passage_words, seed)
-                values, n = np.unique(np.concatenate([_signed([c[0] for x in own for c in x]), h]), return_counts=True)
+            for _, data, bounds in _sliced(batch.column(0)):
+                values, n = np.unique(Lines.of(data, bounds).spans()[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n, pa.int64())], ["hash", "n"])
 
-    # hashes of all chunks and runs, with their number: partial sums first, so copies cross the shuffle once a task
-    repeated = slim.mapInArrow(hashed, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    repeated = slim.select("_text").mapInArrow(hashed, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     repeated = cut(repeated, "repeated")
-    n = repeated.count()
-    sought = None
-    if n <= BROADCAST_HASHES:
-        sought = spark.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in repeated.toLocalIterator()], np.int64)))
 
-    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if sought is None else sought.value
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, data, bounds in _sliced(batch.column(3)):
+                lines = Lines.of(data, bounds)
+                a, b, h = lines.spans()
+                of = np.searchsorted(lines.bounds, a, "right") - 1
+                take = pa.array(of + base)
+                own = [pa.array((x - lines.bounds[of]).astype(np.int32)) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([pa.array(h), *(batch.column(k).take(take) for k in range(3)), *own], ["hash", "_k", "_id", "_h", "first", "end"])
+
+    rows = slim.mapInArrow(placed, f"hash long, _k long, _id {kind}, _h long, first int, end int").join(repeated, "hash", "left_semi")
+    rows = cut(rows, "places", "zstd")
+    order = F.struct("_id", "_h", "first")
+    first = cut(rows.groupBy("hash").agg(F.min(order).alias("least")), "first")
+    marked = rows.join(first, "hash").select("hash", "_k", "_id", "_h", "first", "end", (~order.eqNullSafe(F.col("least"))).alias("later"))
+    own = cut(marked.groupBy("_k", "_h").agg(F.sort_array(F.collect_set(F.struct("first", "end", "hash", "later"))).alias("spans")), "own", "zstd")
+    met = _passing(slim, "_k", _key_filter(own.select("_k")), True).join(own, ["_k", "_h"]).select("_k", "_id", "_h", "spans", "_text")
+    met = cut(met, "met", "zstd")
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, texts in _sliced(batch.column(2).cast(pa.binary()).to_pylist()):
-                flat, own, a, b, h, bounds, owns = _found(texts, least_words, passage_words, seed)
-                rows, kinds, hashes, starts, ends, bodies = [], [], [], [], [], []
-                pieces = [(i, c) for i, x in enumerate(own) for c in x]
-                for (i, (_, p, q, _)), x, ok in zip(pieces, (sig := _signed([c[0] for _, c in pieces])).tolist(), _among(sig, known), strict=True):
-                    if ok:
-                        rows.append(base + i)
-                        kinds.append(_CHUNK)
-                        hashes.append(x)
-                        starts.append(p)
-                        ends.append(q)
-                        bodies.append(texts[i][p:q].strip())
-                ok = _among(h, known)
-                a, b, h = a[ok], b[ok], h[ok]
-                places = np.searchsorted(bounds, a, "right") - 1
-                for i, p, q, x in zip(places.tolist(), a.tolist(), b.tolist(), h.tolist(), strict=True):
-                    rows.append(base + i)
-                    kinds.append(_RUN)
-                    hashes.append(x)
-                    starts.append(flat[p][0])
-                    ends.append(flat[q - 1][1])
-                    bodies.append(owns[p:q].tobytes())
-                if known is not None:
-                    for i, x, body in _distinct_lines(texts, flat, a, b, bounds, owns):
-                        rows.append(base + i)
-                        kinds.append(_LINE)
-                        hashes.append(x)
-                        starts.append(0)
-                        ends.append(0)
-                        bodies.append(body)
-                take = pa.array(rows, pa.int64())
-                columns = [pa.array(x, t) for x, t in ((kinds, pa.int8()), (hashes, pa.int64()), (starts, pa.int32()), (ends, pa.int32()), (bodies, pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns], ["_id", "_h", "kind", "hash", "start", "end", "body"])
-
-    pieces = slim.mapInArrow(fetched, f"_id {kind}, _h long, kind byte, hash long, start int, end int, body binary")
-    if sought is None:
-        pieces = pieces.join(repeated, "hash", "left_semi")
-    pieces = cut(pieces, "pieces", "zstd")
-    lines = pieces.where(F.col("kind") == _LINE).select("hash", "body")
-    if sought is None:
-        spans = pieces.where(F.col("kind") == _RUN).groupBy("_id", "_h").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "_spans")
-
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = {}
-                for t, spans in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    at = _merged([(x["start"], x["end"]) for x in spans])
-                    found |= {(x, t[a:b].strip()): None for a, b, x, _ in _lines(t, seed) if any(p <= a and b <= q for p, q in at)}
-                yield pa.RecordBatch.from_arrays([pa.array(_signed([x for x, _ in found])), pa.array([y for _, y in found], pa.binary())], ["hash", "body"])
-
-        lines = slim.join(spans, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("_text", "_spans").mapInArrow(read, "hash long, body binary")
-    # two lines of one hash: all that is known of runs is void, so it is sought by another hash
-    if lines.groupBy("hash").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").limit(1).count():
-        return without_repeats(docs, doc_id, text, least_words, passage_words, seed + 1)
-    pieces = pieces.where(F.col("kind") != _LINE)
-    first = pieces.groupBy("kind", "hash", "body").agg(F.min(F.struct("_id", "_h", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = pieces.join(first, ["kind", "hash", "body"]).where(~F.struct("_id", "_h", "start").eqNullSafe(F.col("first")))
-    removals = later.groupBy("_id", "_h").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("_cuts")).select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "_cuts")
-    joined = docs.withColumns({"_id": key[0], "_h": key[1]}).join(removals.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
-    added = ["n_chunks", "n_removed", "removed_bytes", "n_passages", "cut_bytes"]
-    names = [c for c in docs.columns if c not in added]
-    fields = [docs.schema[c] for c in names]
+            for base, data, bounds in _sliced(batch.column(4)):
+                lines = Lines.of(data, bounds)
+                m = _margins(lines, batch.column(3).slice(base, len(bounds) - 1))
+                take = pa.array(m.of + base)
+                rows = [*(batch.column(k).take(take) for k in range(3)), pa.array(m.hashes), pa.array((m.low - lines.bounds[m.of]).astype(np.int32)), pa.array((m.up - lines.bounds[m.of]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(rows, ["_k", "_id", "_h", "hash", "first", "end"])
+
+    sides = cut(met.mapInArrow(beside, f"_k long, _id {kind}, _h long, hash long, first int, end int"), "sides", "zstd")
+    least = cut(sides.groupBy("hash").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-sides")
+    later = sides.join(least, "hash").where(~order.eqNullSafe(F.col("least")))
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, data, bounds in _sliced(batch.column(4)):
+                kinds, hashes, found = _bodies(Lines.of(data, bounds), batch.column(3).slice(base, len(bounds) - 1), data)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int8()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["kind", "hash", "body"])
+
+    # hashes that stand for different bytes: next to none, as all have 64 bits
+    differ = met.mapInArrow(bodies, "kind byte, hash long, body binary").groupBy("kind", "hash").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b")
+    void: dict[int, list[int]] = {_SPAN: [], _LINE: [], _MARGIN: []}
+    for r in differ.select("kind", "hash").collect():
+        void[r["kind"]].append(r["hash"])
+
+    cuts = own.select("_k", "_h", F.explode("spans").alias("s")).where("s.later").select("_k", "_h", "s.first", "s.end", "s.hash", F.lit(True).alias("span"))
+    if void[_SPAN]:
+        cuts = cuts.where(~F.col("hash").isin(void[_SPAN]))
+    if void[_MARGIN]:
+        later = later.where(~F.col("hash").isin(void[_MARGIN]))
+    cuts = cuts.drop("hash").unionByName(later.select("_k", "_h", "first", "end", F.lit(False).alias("span")))
+    cuts = cut(cuts.groupBy("_k", "_h").agg(F.collect_set(F.struct("first", "end", "span")).alias("_cuts")), "cuts", "zstd")
+    known = _key_filter(cuts.select("_k"))
+    work = packed.select("_row", "_k", "_h")
+    touched = _passing(work, "_k", known, True).join(cuts.hint("shuffle_hash"), ["_k", "_h"], "left").select("_row", "_cuts")
+    at = names.index(text)
+    void_lines = np.array(void[_LINE], np.int64)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index
+            row = batch.column(0)
+            columns = [row.field(k) for k in range(len(names))]
             texts, counts = [], []
-            for t, cuts in zip(batch.column(at(text)).cast(pa.binary()).to_pylist(), batch.column(at("_cuts")).to_pylist(), strict=True):
-                own = [c["end"] - c["start"] for c in cuts or () if c["kind"] == _CHUNK]
-                spans = _merged([(c["start"], c["end"]) for c in cuts or ()])
-                counts.append((len(chunks(t)) if t else 0, len(own), sum(own), len(spans), sum(b - a for a, b in spans)))
-                if spans:
-                    left, parts = 0, []
-                    for a, b in spans:
-                        parts.append(t[left:a])
-                        left = b
-                    t = b"".join([*parts, t[left:]])
+            for t, own in zip(columns[at].cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t, count = _cleaned(t, own, void_lines, passage_words) if t and own else (t, (0, 0, 0))
                 texts.append(None if t is None else t.decode())
-            columns = [pa.array(texts, batch.schema.field(text).type) if c == text else batch.column(at(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in counts], pa.int64()) for k in range(len(added)))], [*names, *added])
+                counts.append(count)
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in counts], pa.int64()) for k in range(len(RESULTS)))], [*names, *RESULTS])
 
-    schema = docs.select(*(f"`{f.name}`" for f in fields)).schema
-    for c in added:
+    plain = docs.select(*(f"`{c}`" for c in names))
+    schema = plain.schema
+    for c in RESULTS:
         schema = schema.add(c, "long")
-    return joined.select(*(f"`{c}`" for c in names), "_cuts").mapInArrow(cleaned, schema)
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _distinct_lines(texts: list[bytes], flat: list, a: np.ndarray, b: np.ndarray, bounds: np.ndarray, owns: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(text, hash, bytes) of each distinct line of runs [a, b)."""
-    depth = np.zeros(len(flat) + 1, np.int64)
-    np.add.at(depth, a, 1)
-    np.add.at(depth, b, -1)
-    at = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
-    found = {}
-    for k, i, x in zip(at.tolist(), (np.searchsorted(bounds, at, "right") - 1).tolist(), owns[at].view(np.int64).tolist(), strict=True):
-        found.setdefault((x, texts[i][flat[k][0] : flat[k][1]].strip()), i)
-    return [(i, x, body) for (x, body), i in found.items()]
+    untouched = _passing(work, "_k", known, False).select("_row.*", *(F.lit(0).cast("long").alias(c) for c in RESULTS))
+    return touched.mapInArrow(cleaned, schema).unionByName(untouched)
+
+
+def _cleaned(text: bytes, cuts: list[dict], void: np.ndarray, passage_words: int) -> tuple[bytes, tuple[int, int, int]]:
+    """The text without its passages, and (n_removed, n_passages, cut_bytes)."""
+    lines = Lines.of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    gone = np.zeros(len(lines.starts) + 2, bool)  # with a line that stays before and after
+    for c in cuts:
+        gone[c["first"] + 1 : c["end"] + 1] = True
+    gone[1:-1] &= ~np.isin(lines.hashes.view(np.int64), void)
+    change = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
+    upto = np.concatenate([[0], np.cumsum(lines.words)])
+    change = change[upto[change[:, 1]] - upto[change[:, 0]] >= passage_words]
+    spans = [(int(lines.starts[a]), int(lines.ends[b - 1])) for a, b in change.tolist()]
+    if not spans:
+        return text, (0, 0, 0)
+    parts, left = [], 0
+    for a, b in spans:
+        parts.append(text[left:a])
+        left = b
+    first, end = (np.array([c[k] for c in cuts if c["span"]], np.int64) for k in ("first", "end"))
+    within = np.searchsorted(change[:, 0], first, "right") - 1
+    removed = (within >= 0) & (end <= change[within, 1])
+    return b"".join([*parts, text[left:]]), (int(removed.sum()), len(spans), sum(b - a for a, b in spans))
+
+
+@dataclass
+class _Margins:
+    """Runs of lines [low, up) beside repeated stretches, their text and a hash of the run, the side and the stretch."""
+
+    of: np.ndarray
+    low: np.ndarray
+    up: np.ndarray
+    hashes: np.ndarray
+    stretch: np.ndarray
+
+
+def _own_spans(lines: Lines, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first line, line after the last, hash) of the repeated stretches that spans lists for each text."""
+    size = np.array([0 if x is None else x for x in spans.value_lengths().to_pylist()], np.int64)
+    of = np.repeat(np.arange(len(spans)), size)
+    flat = spans.flatten()
+    a, b, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "end", "hash"))
+    return of, a + lines.bounds[of], b + lines.bounds[of], h
+
+
+def _margins(lines: Lines, spans: pa.Array) -> _Margins:
+    """Of each repeated stretch near the end of a row of such: all runs of lines from it on, up to about MARGIN_WORDS words.
+
+    Near: within twice as many words, as other texts with the same passage may have other stretches at its ends.
+    """
+    of, a, b, h = _own_spans(lines, spans)
+    place = np.searchsorted(lines.spans()[0], a)
+    upto = np.concatenate([[0], np.cumsum(lines.words)])
+    new = np.ones(len(a), bool)
+    new[1:] = (place[1:] != place[:-1] + 1) | (of[1:] != of[:-1])
+    row = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(a)) - 1
+    out = []
+    for side, step in ((0, 1), (1, -1)):
+        far = upto[b[tails[row]]] - upto[b] if step > 0 else upto[a] - upto[a[heads[row]]]
+        alone = np.flatnonzero(far < 2 * MARGIN_WORDS)
+        edge = (b if step > 0 else a)[alone]
+        stop = lines.bounds[of[alone] + (step > 0)]
+        for k in range(1, MARGIN_WORDS + 1):
+            far = edge + step * k
+            open_ = (far <= stop) if step > 0 else (far >= stop)
+            near = np.where(open_, far - step, edge)
+            open_ &= np.abs(upto[near] - upto[edge]) < MARGIN_WORDS
+            if not open_.any():
+                break
+            alone, edge, stop, far = alone[open_], edge[open_], stop[open_], far[open_]
+            low, up = np.minimum(edge, far), np.maximum(edge, far)
+            mixed = (lines._run(low, up, 1).view(np.uint64) + h[alone].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * k + side)) * np.uint64(0xD6E8FEB86659FD93)
+            out.append((of[alone], low, up, (mixed ^ (mixed >> np.uint64(32))).view(np.int64), h[alone]))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return _Margins(none, none, none, none, none)
+    return _Margins(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+def _bodies(lines: Lines, spans: pa.Array, data: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """What stands behind hashes: (kind, hash, bytes) of distinct lines of stretches and of what is beside them, and the
+    hashes of the lines of stretches and of runs beside them."""
+    _, a, b, h = _own_spans(lines, spans)
+    m = _margins(lines, spans)
+    kinds, hashes, found = [], [], []
+    raw = lines.hashes.tobytes()
+    for kind, low, up, own, head in ((_SPAN, a, b, h, None), (_MARGIN, m.low, m.up, m.hashes, m.stretch)):
+        _, at = np.unique(own, return_index=True)
+        kinds += [kind] * len(at)
+        hashes += own[at].tolist()
+        found += [(b"" if head is None else head[k].tobytes()) + raw[8 * low[k] : 8 * up[k]] for k in at.tolist()]
+    depth = np.zeros(len(lines.starts) + 1, np.int64)
+    for x, y in ((a, b), (m.low, m.up)):
+        np.add.at(depth, x, 1)
+        np.add.at(depth, y, -1)
+    seen = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+    text = data.tobytes()
+    low, up = lines.inner
+    distinct = {(x, text[p:q]) for x, p, q in zip(lines.hashes[seen].view(np.int64).tolist(), low[seen].tolist(), up[seen].tolist(), strict=True)}
+    kinds += [_LINE] * len(distinct)
+    hashes += [x for x, _ in distinct]
+    found += [y for _, y in distinct]
+    return kinds, hashes, found

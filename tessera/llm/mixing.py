@@ -44,12 +44,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
 
 
 def _keyed(docs: DataFrame, quality: Column | None, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
-    """docs with _size, _key, _id and _source."""
-    size = word_count(F.col(text))
-    good = F.col("_good") if quality is not None else F.greatest(F.lit(0.05), 1 - F.col("_size") / (F.length(text) + 1))
-    out = docs.withColumns({"_id": F.col(doc_id), "_source": F.col(source), "_size": size} | ({"_good": quality} if quality is not None else {}))
-    key = -F.log(unit_draw(F.col(doc_id), F.col(text), seed)) / F.coalesce(good, F.lit(0.05))
-    return out.withColumn("_key", key).drop("_good")
+    """_row (all columns of docs), _id, _source, _size and _key of each row; no column of docs can clash with these."""
+    columns = [F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text")]
+    out = docs.select(*columns, *([quality.alias("_good")] if quality is not None else [])).withColumn("_size", word_count(F.col("_text")))
+    good = F.col("_good") if quality is not None else F.greatest(F.lit(0.05), 1 - F.col("_size") / (F.length("_text") + 1))
+    key = -F.log(unit_draw(F.col("_id"), F.col("_text"), seed)) / F.coalesce(good, F.lit(0.05))
+    return out.select("_row", "_id", "_source", "_size", key.alias("_key"))
 
 
 def _bucket() -> Column:
@@ -59,7 +59,9 @@ def _bucket() -> Column:
 
 def _plan(drawn: DataFrame, weights: tuple[float, ...], share: float, epochs: float) -> DataFrame:
     """A row per source: s, source_size, target, whole (complete epochs), buckets, edge and last, the last document taken
-    once more, if any, by (_key, _id, _size) in bucket edge."""
+    once more, if any, by (_key, _id, _size) in bucket edge; most of the tied rows that are like last are taken, few of them.
+
+    Equal rows are counted before they are sorted, so any number of them is one row of the window."""
     sizes = targets(drawn.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), weights, share, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sizes = sizes.withColumnRenamed("source", "s").withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -72,20 +74,40 @@ def _plan(drawn: DataFrame, weights: tuple[float, ...], share: float, epochs: fl
     edge = totals.where("before <= rest and before + words >= rest").groupBy("s").agg(F.min_by(F.struct("bucket", "before"), "bucket").alias("e"))
     edge = cut(edge.select(F.col("s").alias("t"), F.col("e.bucket").alias("edge"), F.col("e.before").alias("before")), "edges")
     inside = placed.join(edge, F.col("s").eqNullSafe(F.col("t")) & (F.col("bucket") == F.col("edge")))
-    earlier = Window.partitionBy("s", "bucket").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("_size").over(earlier), F.lit(0))
-    taken = inside.withColumn("start", start).where(F.col("start") + F.col("_size") / 2 <= F.col("rest"))
-    last = taken.groupBy("t").agg(F.max(F.struct("_key", "_id", "_size")).alias("last")).select(F.col("t").alias("t2"), "last")
+    groups = inside.groupBy("t", "bucket", "rest", "before", "_key", "_id", "_size").agg(F.count("*").alias("tied"))
+    earlier = Window.partitionBy("t", "bucket").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("start", F.col("before") + F.coalesce(F.sum(F.col("_size") * F.col("tied")).over(earlier), F.lit(0)))
+
+    def fits(n: Column) -> Column:  # the middle of the n-th of a group's rows is not beyond the rest
+        return F.col("start") + (n - 1) * F.col("_size") + F.col("_size") / 2 <= F.col("rest")
+
+    about = F.when(F.col("_size") > 0, F.floor((F.col("rest") - F.col("start")) / F.col("_size") + 0.5)).otherwise(F.col("tied"))
+    some = F.when(fits(about + 1), about + 1).when(fits(about), about).otherwise(about - 1)  # whatever the division rounds to
+    groups = groups.withColumn("few", F.least(some, F.col("tied")).cast("long")).where(F.col("few") > 0)
+    last = groups.groupBy("t").agg(F.max(F.struct("_key", "_id", "_size", "tied", "few")).alias("l"))
+    last = last.select(F.col("t").alias("t2"), F.struct("l._key", "l._id", "l._size").alias("last"), "l.tied", "l.few")
     plan = sizes.join(edge, F.col("s").eqNullSafe(F.col("t")), "left").join(last, F.col("s").eqNullSafe(F.col("t2")), "left")
-    return cut(plan.select("s", "source_size", "target", "whole", "buckets", "edge", "last"), "plan")
+    return cut(plan.select("s", "source_size", "target", "whole", "buckets", "edge", "last", "tied", "few"), "plan")
 
 
 def _picks(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     """keyed with the columns of plan and picks, the times a document is taken."""
     placed = keyed.join(plan, F.col("_source").eqNullSafe(F.col("s"))).withColumn("bucket", _bucket())
-    inside = (F.col("bucket") == F.col("edge")) & (F.struct("_key", "_id", "_size") <= F.col("last"))
-    more = F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)) | F.coalesce(inside, F.lit(False))
-    return placed.withColumn("picks", F.col("whole") + more.cast("long"))
+    own = F.struct("_key", "_id", "_size")
+    before = F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)) | F.coalesce((F.col("bucket") == F.col("edge")) & (own < F.col("last")), F.lit(False))
+    level = F.coalesce((F.col("bucket") == F.col("edge")) & (own == F.col("last")), F.lit(False))
+    picked = placed.withColumn("picks", F.col("whole") + (before | level).cast("long"))
+    if plan.where("few < tied").isEmpty():
+        return picked
+    # equal rows of which some are taken: a written table numbers them, running sums over its parts deal out the places
+    parted = F.coalesce(level & (F.col("few") < F.col("tied")), F.lit(False))
+    ties = cut(placed.where(parted).withColumn("n", F.monotonically_increasing_id()), "ties").withColumn("part", F.shiftright("n", 33))
+    upto = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ties.groupBy("s", "part").agg(F.count("*").alias("c")).withColumn("skip", F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    parts = parts.select(F.col("s").alias("t"), F.col("part").alias("p"), "skip")
+    place = F.col("skip") + F.row_number().over(Window.partitionBy("s", "part").orderBy("n"))
+    dealt = ties.join(parts, F.col("s").eqNullSafe(F.col("t")) & (F.col("part") == F.col("p"))).withColumn("picks", F.col("whole") + (place <= F.col("few")).cast("long"))
+    return picked.where(~parted).unionByName(dealt.select(*picked.columns))
 
 
 def mixed(docs: DataFrame, quality: Column | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, epochs: float = 2.0) -> DataFrame:
@@ -96,21 +118,22 @@ def mixed(docs: DataFrame, quality: Column | None = None, doc_id: str = "doc_id"
     the document whose end is nearest to the rest. quality: a positive column; by default the share of a text's
     characters that are in words. Keys fall into buckets of much the same number of words; running sums over buckets
     find the one in which a source's rest ends, and only that bucket is sorted, so a source of any size spreads over
-    all tasks. Null texts have size 0; a null source is one source; equal rows draw equal keys and are taken alike.
-    An empty table gives an empty one.
+    all tasks. Null texts have size 0; a null source is one source. Equal rows draw equal keys; where the rest ends among
+    them, as many of them are taken as fit. Texts of any length are counted whole. Further columns of docs, whatever
+    their names, take no part. An empty table gives an empty one.
     """
-    keyed = _keyed(docs.select(doc_id, text, source), quality, doc_id, text, source, seed) if quality is None else _keyed(docs, quality, doc_id, text, source, seed)
+    keyed = _keyed(docs, quality, doc_id, text, source, seed)
     drawn = cut(keyed.select("_id", "_source", "_size", "_key"), "keys")
     out = _picks(drawn, _plan(drawn, weights, share, epochs))
     return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("picks")).alias("taken"), "picks")
 
 
 def mix(docs: DataFrame, quality: Column | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, epochs: float = 2.0) -> DataFrame:
-    """The mix itself: each row of docs as often as `mixed` picks it, all columns unchanged."""
+    """The mix itself: each row of docs as often as `mixed` picks it, all columns unchanged, whatever their names."""
     keyed = _keyed(docs, quality, doc_id, text, source, seed)
     drawn = cut(keyed.select("_id", "_source", "_size", "_key"), "keys")
     out = _picks(keyed, _plan(drawn, weights, share, epochs)).where("picks > 0")
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("picks")))).select(*(f"`{c}`" for c in docs.columns))
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("picks")))).select("_row.*")
 
 
 SQL = r"""

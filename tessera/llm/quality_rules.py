@@ -227,7 +227,7 @@ def judged(docs: DataFrame, model: LineModel | None, text: str = "text", least_s
 
     A null text has no words, so it fails the base rules, as do texts of under 50 words or with over half their words
     in repeated three-word windows. Others are kept if content lines hold `least_share` of the bytes of their lines.
-    Result columns replace columns of the same name.
+    Texts are read whole, however long. Columns with the name of a result are replaced by it, all others are kept.
     """
     rest = [f for f in docs.schema.fields if f.name != text and f.name not in _OUT.names]
     judge = _rules(model, least_share)
@@ -242,7 +242,7 @@ def judged(docs: DataFrame, model: LineModel | None, text: str = "text", least_s
 
 
 def keep_good(docs: DataFrame, model: LineModel | None, text: str = "text", least_share: float = 0.5) -> DataFrame:
-    """The rows of docs that `judged` keeps, all columns unchanged."""
+    """The rows of docs that `judged` keeps, all columns unchanged, whatever their names."""
     judge = _rules(model, least_share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,7 +63,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_chunks", "n_removed", "removed_bytes", "n_passages", "cut_bytes", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "n_removed", "n_passages", "cut_bytes", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

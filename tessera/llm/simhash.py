@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id is the smallest doc_id of all documents that chains of links at `bits` or fewer differing bits reach,
     itself included; null ids count only if there is no other. Documents of equal fingerprint need no pairs: they meet
     in one aggregate and links are sought between distinct fingerprints. Null and blank texts have fingerprint zero and
-    are linked like any other. Repeated rows stay; an empty table gives an empty one.
+    are linked like any other. Texts are read whole, however long. Repeated rows stay; further columns of docs take no
+    part; an empty table gives an empty one.
     """
     base = cut(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words, seed=seed), "fingerprints")
     return grouped(base, bits).drop("root")
@@ -197,9 +198,11 @@ def grouped(base: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
-    """docs with one document of each group of near duplicates, that of the smallest doc_id; all columns unchanged.
+    """docs with one document of each group of near duplicates, that of the smallest doc_id; all columns unchanged,
+    whatever their names.
 
-    Rows are told apart by doc_id and a hash of the text, so repeated ids or rows never both stay for one group.
+    Rows are told apart by doc_id and a hash of the text, so repeated ids or rows never both stay for one group. Null
+    and blank texts are one group; texts of any length are read whole; an empty table gives an empty one.
     """
     h = F.xxhash64(F.col(text), F.lit(11))
     base = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), h.alias("h"), F.col(text).alias("text")), words=words, seed=seed)
@@ -207,14 +210,13 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     groups = grouped(base, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = groups.groupBy("root", "doc_id").agg(F.min("h").alias("h"), F.count("*").alias("rows"))
     chosen = cut(chosen.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "rows"), "chosen").hint("shuffle_hash")
-    kept = docs.withColumn("_h0", h).join(chosen, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h0") == F.col("_h")))
-    alone, shared = kept.where("rows = 1"), kept.where("rows > 1")
-    names = [f"`{c}`" for c in docs.columns]
+    packed = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_own"), h.alias("_h0"))
+    kept = packed.join(chosen, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h0") == F.col("_h")))
     if chosen.where("rows > 1").isEmpty():
-        return kept.select(*names)
+        return kept.select("_row.*")
     # rows > 1: the chosen id stands on several rows; one of those that carry the chosen text stays
-    one = shared.dropDuplicates(["_id", "_h"])
-    return alone.unionByName(one).select(*names)
+    alone, shared = kept.where("rows = 1").select("_row"), kept.where("rows > 1")
+    return alone.unionByName(shared.dropDuplicates(["_id", "_h"]).select("_row")).select("_row.*")
 
 
 __all__ = ["close_links", "drop_near_duplicates", "near_duplicates", "shingle_fingerprints", "with_fingerprints"]

@@ -161,21 +161,6 @@ def test_odd_urls(spark):
     assert url_rules.judged(df.limit(0)).count() == 0
 
 
-def test_line_dedup(spark, sf_dir, docs):
-    bodies = defaultdict(list)
-    for d in docs:
-        text = (d["text"] or "").encode()
-        for h, a, b, n in line_dedup.chunks(text):
-            if n >= line_dedup.LEAST_WORDS:
-                bodies[h, text[a:b].strip()].append((d["doc_id"], a, b))
-    removed = defaultdict(set)
-    for at in bodies.values():
-        for doc_id, a, b in sorted(at)[1:]:
-            removed[doc_id].add((a, b))
-    want = sorted((d["doc_id"], len(removed[d["doc_id"]]), sum(b - a for a, b in removed[d["doc_id"]])) for d in docs)
-    assert sorted((r["doc_id"], r["n_removed"], r["removed_bytes"]) for r in rows("op5_line_dedup", spark, sf_dir)) == want
-
-
 def test_licenses(spark):
     texts = [(1, "A text.\nReleased under the MIT License.\nMore."), (2, None), (3, ""), (4, "no such thing here"), (1, "A text.\nReleased under the MIT License.\nMore.")]
     from tessera.llm import licenses

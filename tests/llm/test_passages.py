@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import line_dedup
@@ -30,10 +34,9 @@ def planted():
     return out
 
 
-@pytest.mark.parametrize("joined", [False, True])
-def test_planted_passages_go_whole(spark, monkeypatch, joined):
-    if joined:
-        monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", -1)
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 6])
+def test_planted_passages_go_whole(spark, monkeypatch, bits):
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)  # of 64 bits all are set: every text passes
     cases = planted()
     texts = [t for _, ts in cases for t in ts]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
@@ -44,3 +47,67 @@ def test_planted_passages_go_whole(spark, monkeypatch, joined):
             want = t if j == 0 else t.replace(passage, "")
             assert r["text"].split() == want.split(), (k, j)
             assert r["cut_bytes"] == len(t.encode()) - len(r["text"].encode()) and r["n_passages"] == (j > 0)
+
+
+def plain_lines(text):
+    """Lines as the operator sees them, by a pattern: (words, line)."""
+    found = [x.strip(" \t\n\r\x0b\x0c") for x in re.split(r"(?<=\n)|(?<=[.!?] )|(?<=[。！？।])", text)]
+    wide = lambda x: len(re.findall("[\u3000-\u9fff\u0e00-\u0e7f]", x)) // 2
+    return [(len(x.split()) + wide(x), x) for x in found if x]
+
+
+def long_runs(lines, least):
+    """The shortest runs of lines of at least `least` words."""
+    for a in range(len(lines)):
+        words = 0
+        for b in range(a, len(lines)):
+            words += lines[b][0]
+            if words >= least:
+                yield tuple(x for _, x in lines[a : b + 1])
+                break
+
+
+def test_no_long_passage_is_left_twice_and_none_is_lost(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in line_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).collect()}
+    assert sorted(got) == sorted(docs)
+    runs = Counter(r for g in got.values() for r in set(long_runs(plain_lines(g["text"] or ""), 60)))
+    assert max(runs.values()) == 1
+    before = Counter(r for t in docs.values() for r in set(long_runs(plain_lines(t), 60)))
+    assert max(before.values()) > 1
+    seen, cut_docs = set(), 0
+    for k in sorted(docs):
+        left = Counter(x for _, x in plain_lines(got[k]["text"] or ""))
+        own = Counter(x for _, x in plain_lines(docs[k]))
+        gone = own - left
+        assert not left - own
+        assert all(x in seen or left[x] for x in gone)  # a line that goes stands in an earlier text, or still in this one
+        assert bool(gone) == (got[k]["n_passages"] > 0)
+        cut_docs += bool(gone)
+        if not gone:
+            assert (got[k]["text"] or "") == docs[k]
+        seen |= set(own)
+    assert cut_docs > 5
+
+
+def test_hashes_of_different_bytes_decide_nothing(spark, monkeypatch):
+    """With hashes of few bits many lines share one: nothing is removed by them."""
+    plain = line_dedup.span_hashes
+    cases = planted()[:6]
+    texts = [t for _, ts in cases for t in ts]
+    lines = line_dedup.Lines.of(np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, len("".join(texts).encode())]))
+    assert len(set(lines.hashes.tolist())) > 20
+    coarse = lambda data, a, b: plain(data, a, b) & np.uint64(7)
+    monkeypatch.setattr(line_dedup, "span_hashes", coarse)
+    bound = np.cumsum([0] + [len(t.encode()) for t in texts])
+    rough = line_dedup.Lines.of(np.frombuffer("".join(texts).encode(), np.uint8), bound)
+    spans = pa.array([[{"first": 0, "end": int(n), "hash": 5}] for n in np.diff(rough.bounds)], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())])))
+    kinds, hashes, bodies = line_dedup._bodies(rough, spans, np.frombuffer("".join(texts).encode(), np.uint8))
+    by_line = defaultdict(set)
+    for kind, h, body in zip(kinds, hashes, bodies, strict=True):
+        if kind == line_dedup._LINE:
+            by_line[h].add(body)
+    void = [h for h, x in by_line.items() if len(x) > 1]
+    assert void  # seen by their bytes
+    text, counts = line_dedup._cleaned(texts[0].encode(), [{"first": 0, "end": len(plain_lines(texts[0])), "span": True}], np.array(void, np.int64), 25)
+    assert set(plain_lines(texts[0])) - set(plain_lines(text.decode())) <= {x for x in plain_lines(texts[0]) if coarse(np.frombuffer(x[1].encode(), np.uint8), np.array([0]), np.array([len(x[1].encode())])).view(np.int64)[0] not in void}
