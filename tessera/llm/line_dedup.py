@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ RESULTS = ("n_removed", "n_passages", "cut_bytes")
 FILTER_BITS = 1 << 26
 #: Bytes of texts that are taken apart at once.
 _SLICE = 1 << 20
+#: Distinct lines whose bytes a task remembers.
+_KNOWN_LINES = 400_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), 32]] = True
@@ -89,8 +92,8 @@ class Lines:
             words = words + (total[up] - total[low]) // 2
         return Lines(starts, ends, span_hashes(data, low, up), words, np.searchsorted(starts, bounds), (low, up))
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first line, line after the last, hash) of stretches of chunks of at least SPAN_WORDS words, one from each chunk
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first line, line after the last) of stretches of chunks of at least SPAN_WORDS words, one from each chunk
         on as far as its text goes.
 
         A line begins a chunk if its hash is the least of a window, which is the shortest run of lines of WINDOW_WORDS
@@ -117,10 +120,9 @@ class Lines:
         fits = end < len(chunk)
         a, b = chunk[:-1][fits], chunk[end[fits]]
         inside = b <= last[a]
-        a, b = a[inside], b[inside]
-        return a, b, self._run(a, b, 0)
+        return a[inside], b[inside]
 
-    def _run(self, a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    def run(self, a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
         """A hash of each run of lines [a, b), as a signed number."""
         n = len(self.starts)
         powers, inverses = power_table(n + 1)
@@ -168,9 +170,6 @@ def _passing(docs: DataFrame, key: str, known, inside: bool) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-_SPAN, _LINE, _MARGIN = 0, 1, 2
-
-
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """docs with text cut down to what is not a repeat, and with n_removed, n_passages and cut_bytes.
 
@@ -181,44 +180,37 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     removed always has an equal line before it in that order, so one of each stays.
 
     Only hashes are shuffled for the search: partial sums find those that repeat, and a join keeps the places of these.
-    Texts with such a place are then fetched, and the bytes behind each hash that decides are compared, distinct lines
-    once a task; a hash that stands for different bytes decides nothing. Groups of any size meet in partial aggregates
-    and in joins that the adaptive planner may split. A Bloom filter of fixed size keeps most other texts out of the
+    A stretch is known by 128 bits over its lines' hashes. Texts with such a place are then fetched and the bytes of
+    their lines compared, distinct lines once a task; a line whose hash stands for different bytes stays. Groups of any
+    size meet in partial aggregates and in joins that the adaptive planner may split. A Bloom filter of fixed size keeps most other texts out of the
     shuffles of texts. n_removed counts repeated stretches, n_passages and cut_bytes what is cut.
 
     A null text stays null; texts of any length are read whole; rows that share id and text are one document and are
     cleaned alike. Columns with the name of a result are replaced by it, all others are kept.
     """
     names = [c for c in docs.columns if c not in RESULTS]
-    packed = docs.select(F.struct(*(f"`{c}`" for c in names)).alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_h"), F.xxhash64(F.col(doc_id), F.col(text), F.lit(3)).alias("_k"), F.col(text).alias("_text"))
+    packed = docs.select(F.struct(*(f"`{c}`" for c in names)).alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_h"), F.col(text).alias("_text"))
+    packed = packed.withColumn("_k", F.xxhash64("_id", "_h"))
     slim = packed.select("_k", "_id", "_h", "_text").where("_text is not null")
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, bounds in _sliced(batch.column(0)):
-                values, n = np.unique(Lines.of(data, bounds).spans()[2], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n, pa.int64())], ["hash", "n"])
-
-    repeated = slim.select("_text").mapInArrow(hashed, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-    repeated = cut(repeated, "repeated")
-
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, data, bounds in _sliced(batch.column(3)):
+            for base, data, bounds in _sliced(batch.column(2)):
                 lines = Lines.of(data, bounds)
-                a, b, h = lines.spans()
+                a, b = lines.spans()
                 of = np.searchsorted(lines.bounds, a, "right") - 1
                 take = pa.array(of + base)
                 own = [pa.array((x - lines.bounds[of]).astype(np.int32)) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([pa.array(h), *(batch.column(k).take(take) for k in range(3)), *own], ["hash", "_k", "_id", "_h", "first", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(lines.run(a, b, 0)), pa.array(lines.run(a, b, 1)), batch.column(0).take(take), batch.column(1).take(take), *own], ["hash", "more", "_id", "_h", "first", "end"])
 
-    rows = slim.mapInArrow(placed, f"hash long, _k long, _id {kind}, _h long, first int, end int").join(repeated, "hash", "left_semi")
-    rows = cut(rows, "places", "zstd")
+    spans = cut(slim.select("_id", "_h", "_text").mapInArrow(placed, f"hash long, more long, _id {kind}, _h long, first int, end int"), "spans", "zstd")
+    repeated = cut(spans.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    rows = cut(spans.join(repeated, "hash"), "places", "zstd")
     order = F.struct("_id", "_h", "first")
-    first = cut(rows.groupBy("hash").agg(F.min(order).alias("least")), "first")
-    marked = rows.join(first, "hash").select("hash", "_k", "_id", "_h", "first", "end", (~order.eqNullSafe(F.col("least"))).alias("later"))
-    own = cut(marked.groupBy("_k", "_h").agg(F.sort_array(F.collect_set(F.struct("first", "end", "hash", "later"))).alias("spans")), "own", "zstd")
+    first = cut(rows.groupBy("hash", "more").agg(F.min(order).alias("least")), "first")
+    marked = rows.join(first, ["hash", "more"]).select("_id", "_h", F.struct("first", "end", "hash", "n", (~order.eqNullSafe(F.col("least"))).alias("later")).alias("span"))
+    own = cut(marked.groupBy(F.xxhash64("_id", "_h").alias("_k"), "_h").agg(F.sort_array(F.collect_set("span")).alias("spans")), "own", "zstd")
     met = _passing(slim, "_k", _key_filter(own.select("_k")), True).join(own, ["_k", "_h"]).select("_k", "_id", "_h", "spans", "_text")
     met = cut(met, "met", "zstd")
 
@@ -228,49 +220,37 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 lines = Lines.of(data, bounds)
                 m = _margins(lines, batch.column(3).slice(base, len(bounds) - 1))
                 take = pa.array(m.of + base)
-                rows = [*(batch.column(k).take(take) for k in range(3)), pa.array(m.hashes), pa.array((m.low - lines.bounds[m.of]).astype(np.int32)), pa.array((m.up - lines.bounds[m.of]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(rows, ["_k", "_id", "_h", "hash", "first", "end"])
+                rows = [*(batch.column(k).take(take) for k in range(3)), pa.array(m.hashes), pa.array(m.more), pa.array((m.low - lines.bounds[m.of]).astype(np.int32)), pa.array((m.up - lines.bounds[m.of]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(rows, ["_k", "_id", "_h", "hash", "more", "first", "end"])
 
-    sides = cut(met.mapInArrow(beside, f"_k long, _id {kind}, _h long, hash long, first int, end int"), "sides", "zstd")
-    least = cut(sides.groupBy("hash").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-sides")
-    later = sides.join(least, "hash").where(~order.eqNullSafe(F.col("least")))
+    sides = cut(met.mapInArrow(beside, f"_k long, _id {kind}, _h long, hash long, more long, first int, end int"), "sides", "zstd")
+    least = cut(sides.groupBy("hash", "more").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-sides")
+    later = sides.join(least, ["hash", "more"]).where(~order.eqNullSafe(F.col("least")))
 
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for base, data, bounds in _sliced(batch.column(4)):
-                kinds, hashes, found = _bodies(Lines.of(data, bounds), batch.column(3).slice(base, len(bounds) - 1), data)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int8()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["kind", "hash", "body"])
-
-    # hashes that stand for different bytes: next to none, as all have 64 bits
-    differ = met.mapInArrow(bodies, "kind byte, hash long, body binary").groupBy("kind", "hash").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b")
-    void: dict[int, list[int]] = {_SPAN: [], _LINE: [], _MARGIN: []}
-    for r in differ.select("kind", "hash").collect():
-        void[r["kind"]].append(r["hash"])
-
-    cuts = own.select("_k", "_h", F.explode("spans").alias("s")).where("s.later").select("_k", "_h", "s.first", "s.end", "s.hash", F.lit(True).alias("span"))
-    if void[_SPAN]:
-        cuts = cuts.where(~F.col("hash").isin(void[_SPAN]))
-    if void[_MARGIN]:
-        later = later.where(~F.col("hash").isin(void[_MARGIN]))
-    cuts = cuts.drop("hash").unionByName(later.select("_k", "_h", "first", "end", F.lit(False).alias("span")))
+    # next to no line shares its hash with another, as hashes have 64 bits
+    told = met.select("spans", "_text").mapInArrow(_line_bytes, "hash long, body binary").repartition("hash").sortWithinPartitions("hash")
+    void = np.unique(told.mapInArrow(_differing, "hash long").toArrow()["hash"].to_numpy())
+
+    cuts = own.select("_k", "_h", F.explode("spans").alias("s")).where("s.later").select("_k", "_h", "s.first", "s.end", F.lit(True).alias("span"))
+    cuts = cuts.unionByName(later.select("_k", "_h", "first", "end", F.lit(False).alias("span")))
     cuts = cut(cuts.groupBy("_k", "_h").agg(F.collect_set(F.struct("first", "end", "span")).alias("_cuts")), "cuts", "zstd")
     known = _key_filter(cuts.select("_k"))
     work = packed.select("_row", "_k", "_h")
     touched = _passing(work, "_k", known, True).join(cuts.hint("shuffle_hash"), ["_k", "_h"], "left").select("_row", "_cuts")
     at = names.index(text)
-    void_lines = np.array(void[_LINE], np.int64)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(0)
             columns = [row.field(k) for k in range(len(names))]
-            texts, counts = [], []
-            for t, own in zip(columns[at].cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t, count = _cleaned(t, own, void_lines, passage_words) if t and own else (t, (0, 0, 0))
-                texts.append(None if t is None else t.decode())
+            texts, counts = [], [np.zeros((0, len(RESULTS)), np.int64)]
+            for base, data, bounds in _sliced(columns[at]):
+                own, count = _cleaned(data, bounds, batch.column(1).slice(base, len(bounds) - 1), void, passage_words)
+                texts += own
                 counts.append(count)
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in counts], pa.int64()) for k in range(len(RESULTS)))], [*names, *RESULTS])
+            count = np.concatenate(counts)
+            columns[at] = pa.array(texts, pa.binary(), mask=columns[at].is_null().to_numpy(zero_copy_only=False)).cast(columns[at].type)
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(count[:, k]) for k in range(len(RESULTS)))], [*names, *RESULTS])
 
     plain = docs.select(*(f"`{c}`" for c in names))
     schema = plain.schema
@@ -280,66 +260,125 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return touched.mapInArrow(cleaned, schema).unionByName(untouched)
 
 
-def _cleaned(text: bytes, cuts: list[dict], void: np.ndarray, passage_words: int) -> tuple[bytes, tuple[int, int, int]]:
-    """The text without its passages, and (n_removed, n_passages, cut_bytes)."""
-    lines = Lines.of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    gone = np.zeros(len(lines.starts) + 2, bool)  # with a line that stays before and after
-    for c in cuts:
-        gone[c["first"] + 1 : c["end"] + 1] = True
-    gone[1:-1] &= ~np.isin(lines.hashes.view(np.int64), void)
-    change = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
+def _cleaned(data: np.ndarray, bounds: np.ndarray, cuts: pa.Array, void: np.ndarray, passage_words: int) -> tuple[list[bytes], np.ndarray]:
+    """Each text without its passages, and its n_removed, n_passages and cut_bytes."""
+    lines = Lines.of(data, bounds)
+    of, first, end, span = _flat(lines, cuts, "span")
+    gone = (_covered(len(lines.starts), first, end)) & ~np.isin(lines.hashes.view(np.int64), void)
+    begins, ends = gone.copy(), gone.copy()
+    begins[1:] &= ~gone[:-1]
+    ends[:-1] &= ~gone[1:]
+    edge = lines.bounds[(lines.bounds > 0) & (lines.bounds < len(gone))]  # no passage runs from one text to the next
+    begins[edge] = gone[edge]
+    ends[edge - 1] = gone[edge - 1]
+    a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     upto = np.concatenate([[0], np.cumsum(lines.words)])
-    change = change[upto[change[:, 1]] - upto[change[:, 0]] >= passage_words]
-    spans = [(int(lines.starts[a]), int(lines.ends[b - 1])) for a, b in change.tolist()]
-    if not spans:
-        return text, (0, 0, 0)
-    parts, left = [], 0
-    for a, b in spans:
-        parts.append(text[left:a])
-        left = b
-    first, end = (np.array([c[k] for c in cuts if c["span"]], np.int64) for k in ("first", "end"))
-    within = np.searchsorted(change[:, 0], first, "right") - 1
-    removed = (within >= 0) & (end <= change[within, 1])
-    return b"".join([*parts, text[left:]]), (int(removed.sum()), len(spans), sum(b - a for a, b in spans))
+    long = upto[b] - upto[a] >= passage_words
+    a, b = a[long], b[long]
+    counts = np.zeros((len(bounds) - 1, len(RESULTS)), np.int64)
+    if len(a):
+        first, end, of = first[span], end[span], of[span]
+        within = np.searchsorted(a, first, "right") - 1
+        np.add.at(counts[:, 0], of[(within >= 0) & (end <= b[within])], 1)
+    text = np.searchsorted(lines.bounds, a, "right") - 1
+    low, up = lines.starts[a], lines.ends[b - 1]
+    np.add.at(counts[:, 1], text, 1)
+    np.add.at(counts[:, 2], text, up - low)
+    raw, out = data.tobytes(), []
+    passages = np.searchsorted(text, np.arange(len(bounds))).tolist()
+    spots = list(zip(low.tolist(), up.tolist(), strict=True))
+    for left, last, x, y in zip(bounds.tolist(), bounds[1:].tolist(), passages, passages[1:], strict=False):
+        parts = []
+        for p, q in spots[x:y]:
+            parts.append(raw[left:p])
+            left = q
+        out.append(b"".join([*parts, raw[left:last]]) if parts else raw[left:last])
+    return out, counts
+
+
+def _covered(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """True for the lines of n that a run [a, b) holds."""
+    return np.cumsum(np.bincount(a, minlength=n + 1)[: n + 1] - np.bincount(b, minlength=n + 1)[: n + 1])[:n] > 0
+
+
+def _flat(lines: Lines, lists: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """Text, first line and line after the last of what lists has for each text, and further fields."""
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(lists)), size)
+    flat = lists.flatten()
+    a, b, *more = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "end", *names))
+    return of, a + lines.bounds[of], b + lines.bounds[of], *more
+
+
+def _line_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, bytes) of each distinct line of texts (spans, text) in a stretch or as near to one as may be cut."""
+    known: dict[int, bytes] = {}
+    for batch in batches:
+        for base, data, bounds in _sliced(batch.column(1)):
+            lines = Lines.of(data, bounds)
+            own = batch.column(0).slice(base, len(bounds) - 1)
+            _, a, b = _flat(lines, own)
+            m = _margins(lines, own)
+            seen = np.flatnonzero(_covered(len(lines.starts), np.concatenate([a, m.low]), np.concatenate([b, m.up])))
+            low, up = lines.inner
+            raw = data.tobytes()
+            hashes, found = [], []
+            for x, p, q in zip(lines.hashes[seen].view(np.int64).tolist(), low[seen].tolist(), up[seen].tolist(), strict=True):
+                body = raw[p:q]
+                if known.get(x) != body:
+                    known[x] = body
+                    hashes.append(x)
+                    found.append(body)
+            if len(known) > _KNOWN_LINES:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["hash", "body"])
+
+
+def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of sorted rows (hash, bytes) that come with different bytes."""
+    last: pa.RecordBatch | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if last is not None:
+            batch = pa.concat_batches([last, batch])
+        h, body = batch.column(0), batch.column(1)
+        differ = pc.and_(pc.equal(h[1:], h[:-1]), pc.not_equal(body[1:], body[:-1]))
+        yield pa.RecordBatch.from_arrays([h[1:].filter(differ)], ["hash"])
+        last = batch.slice(len(batch) - 1)
 
 
 @dataclass
 class _Margins:
-    """Runs of lines [low, up) beside repeated stretches, their text and a hash of the run, the side and the stretch."""
+    """Runs of lines [low, up) beside repeated stretches, their text, a hash of the run, the side and the stretch, and one
+    more of the run."""
 
     of: np.ndarray
     low: np.ndarray
     up: np.ndarray
     hashes: np.ndarray
-    stretch: np.ndarray
-
-
-def _own_spans(lines: Lines, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first line, line after the last, hash) of the repeated stretches that spans lists for each text."""
-    size = np.array([0 if x is None else x for x in spans.value_lengths().to_pylist()], np.int64)
-    of = np.repeat(np.arange(len(spans)), size)
-    flat = spans.flatten()
-    a, b, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "end", "hash"))
-    return of, a + lines.bounds[of], b + lines.bounds[of], h
+    more: np.ndarray
 
 
 def _margins(lines: Lines, spans: pa.Array) -> _Margins:
-    """Of each repeated stretch near the end of a row of such: all runs of lines from it on, up to about MARGIN_WORDS words.
+    """Of each repeated stretch near the end of a row of stretches that are met as often as it: all runs of lines from it
+    on, up to about MARGIN_WORDS words.
 
-    Near: within twice as many words, as other texts with the same passage may have other stretches at its ends.
+    Where one is met less often than its neighbour, some text has that neighbour and other lines beside it. Near:
+    within MARGIN_WORDS words, as other texts with the same passage may have other stretches at its ends.
     """
-    of, a, b, h = _own_spans(lines, spans)
+    of, a, b, h, n = _flat(lines, spans, "hash", "n")
     place = np.searchsorted(lines.spans()[0], a)
     upto = np.concatenate([[0], np.cumsum(lines.words)])
     new = np.ones(len(a), bool)
-    new[1:] = (place[1:] != place[:-1] + 1) | (of[1:] != of[:-1])
+    new[1:] = (place[1:] != place[:-1] + 1) | (of[1:] != of[:-1]) | (n[1:] != n[:-1])
     row = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(a)) - 1
     out = []
     for side, step in ((0, 1), (1, -1)):
         far = upto[b[tails[row]]] - upto[b] if step > 0 else upto[a] - upto[a[heads[row]]]
-        alone = np.flatnonzero(far < 2 * MARGIN_WORDS)
+        alone = np.flatnonzero(far < MARGIN_WORDS)
         edge = (b if step > 0 else a)[alone]
         stop = lines.bounds[of[alone] + (step > 0)]
         for k in range(1, MARGIN_WORDS + 1):
@@ -351,35 +390,9 @@ def _margins(lines: Lines, spans: pa.Array) -> _Margins:
                 break
             alone, edge, stop, far = alone[open_], edge[open_], stop[open_], far[open_]
             low, up = np.minimum(edge, far), np.maximum(edge, far)
-            mixed = (lines._run(low, up, 1).view(np.uint64) + h[alone].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * k + side)) * np.uint64(0xD6E8FEB86659FD93)
-            out.append((of[alone], low, up, (mixed ^ (mixed >> np.uint64(32))).view(np.int64), h[alone]))
+            mixed = (lines.run(low, up, 2).view(np.uint64) + h[alone].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * k + side)) * np.uint64(0xD6E8FEB86659FD93)
+            out.append((of[alone], low, up, (mixed ^ (mixed >> np.uint64(32))).view(np.int64), lines.run(low, up, 3)))
     if not out:
         none = np.zeros(0, np.int64)
         return _Margins(none, none, none, none, none)
     return _Margins(*(np.concatenate(x) for x in zip(*out, strict=True)))
-
-
-def _bodies(lines: Lines, spans: pa.Array, data: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
-    """What stands behind hashes: (kind, hash, bytes) of distinct lines of stretches and of what is beside them, and the
-    hashes of the lines of stretches and of runs beside them."""
-    _, a, b, h = _own_spans(lines, spans)
-    m = _margins(lines, spans)
-    kinds, hashes, found = [], [], []
-    raw = lines.hashes.tobytes()
-    for kind, low, up, own, head in ((_SPAN, a, b, h, None), (_MARGIN, m.low, m.up, m.hashes, m.stretch)):
-        _, at = np.unique(own, return_index=True)
-        kinds += [kind] * len(at)
-        hashes += own[at].tolist()
-        found += [(b"" if head is None else head[k].tobytes()) + raw[8 * low[k] : 8 * up[k]] for k in at.tolist()]
-    depth = np.zeros(len(lines.starts) + 1, np.int64)
-    for x, y in ((a, b), (m.low, m.up)):
-        np.add.at(depth, x, 1)
-        np.add.at(depth, y, -1)
-    seen = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
-    text = data.tobytes()
-    low, up = lines.inner
-    distinct = {(x, text[p:q]) for x, p, q in zip(lines.hashes[seen].view(np.int64).tolist(), low[seen].tolist(), up[seen].tolist(), strict=True)}
-    kinds += [_LINE] * len(distinct)
-    hashes += [x for x, _ in distinct]
-    found += [y for _, y in distinct]
-    return kinds, hashes, found

@@ -1,4 +1,4 @@
-"""URL filters: list rules, and association rules that FP-growth mines from URLs with known verdicts."""
+"""URL filters: list rules, and association rules that FP-growth mines from URLs whose verdict is known."""
 
 from __future__ import annotations
 
@@ -35,11 +35,13 @@ def listed(places: DataFrame, rules: DataFrame) -> DataFrame:
     """host, path, rule, action for those of places (host, path; distinct) that a rule fits; the longest rule wins.
 
     A rule fits its host and all subdomains where the path starts with the rule's. Each host meets the rules by its own
-    name and those of its parents, an inverted index, so the number of rules doesn't matter. Of two equally long rules
-    the smaller text wins.
+    name and those of its parents that have no more labels than the longest rule, an inverted index, so the number of
+    rules doesn't matter. Of two equally long rules the smaller text wins.
     """
     labels = F.split("host", "\\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    longest = rules.agg(F.max(F.size(F.split("rule_host", "\\."))).alias("n")).first()["n"] or 1
+    first = F.greatest(F.lit(1), F.size(labels) - longest + 1)
+    parents = F.transform(F.sequence(first, F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     met = places.where("host <> ''").withColumn("rule_host", F.explode(F.array_distinct(parents))).join(rules, "rule_host")
     fits = met.where(F.col("path").startswith(F.col("rule_path")))
     best = fits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), F.struct(-F.length("rule"), F.col("rule"))).alias("r"))
@@ -111,22 +113,24 @@ def fired(places: DataFrame, rules: DataFrame, least_token_count: int = 2) -> Da
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = LIST, labels: DataFrame | None = None, url: str = "url", min_support: float = 0.005, min_confidence: float = 0.9) -> DataFrame:
     """pages with host, path, rule (of the list, or null) and verdict, allow or block.
 
-    The list's rule decides where one fits. Elsewhere the mined rules do, and where none of them fits the verdict is
-    allow. They are mined from labels (url, action) if given, else from the list's own verdicts on these pages, with
-    unlisted URLs as none: so a rule is sure only where nearly all URLs like it are listed alike. Work is done once for each distinct host and path, however many pages share it. A null url has an empty host and path,
-    which no rule fits. Result columns replace columns of the same name.
+    The list's rule decides where one fits. Elsewhere the mined rules do, the surest first, and where none of them fits
+    the verdict is allow. They are mined from labels (url, action) if given, else from the URLs that the list decides:
+    what its blocked URLs have in common, and its allowed ones have not, blocks others too. Work is done once for each
+    distinct host and path, however many pages share it. A null url has an empty host and path, which no rule fits, and
+    an empty table or label set leaves the list alone to decide. Columns named host, path, rule or verdict are replaced
+    by the results, all others are kept.
     """
     spark = pages.sparkSession
     rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    split = pages.select(*(f"`{c}`" for c in rest), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    split = pages.select(F.struct(*(f"`{c}`" for c in rest)).alias("_row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     places = cut(split.select("host", "path").distinct(), "places")
     by_list = cut(listed(places, list_rules(spark, rules)), "listed")
     if labels is None:
-        known = places.join(by_list, ["host", "path"], "left").select("host", "path", F.coalesce("action", F.lit("none")).alias("action"))
+        known = by_list.select("host", "path", "action")
     else:
         known = labels.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "action").distinct()
     mined = mine(known, min_support, min_confidence)
     others = places.join(by_list, ["host", "path"], "left_anti")
     verdicts = by_list.select("host", "path", "rule", F.col("action").alias("verdict")).unionByName(fired(others, mined).select("host", "path", F.lit(None).cast("string").alias("rule"), F.col("mined").alias("verdict")))
     out = split.join(cut(verdicts, "verdicts"), ["host", "path"], "left")
-    return out.select(*(f"`{c}`" for c in rest), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    return out.select("_row.*", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -90,24 +90,32 @@ def test_no_long_passage_is_left_twice_and_none_is_lost(spark, sf_dir):
     assert cut_docs > 5
 
 
-def test_hashes_of_different_bytes_decide_nothing(spark, monkeypatch):
-    """With hashes of few bits many lines share one: nothing is removed by them."""
-    plain = line_dedup.span_hashes
-    cases = planted()[:6]
-    texts = [t for _, ts in cases for t in ts]
-    lines = line_dedup.Lines.of(np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, len("".join(texts).encode())]))
-    assert len(set(lines.hashes.tolist())) > 20
-    coarse = lambda data, a, b: plain(data, a, b) & np.uint64(7)
-    monkeypatch.setattr(line_dedup, "span_hashes", coarse)
-    bound = np.cumsum([0] + [len(t.encode()) for t in texts])
-    rough = line_dedup.Lines.of(np.frombuffer("".join(texts).encode(), np.uint8), bound)
-    spans = pa.array([[{"first": 0, "end": int(n), "hash": 5}] for n in np.diff(rough.bounds)], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())])))
-    kinds, hashes, bodies = line_dedup._bodies(rough, spans, np.frombuffer("".join(texts).encode(), np.uint8))
-    by_line = defaultdict(set)
-    for kind, h, body in zip(kinds, hashes, bodies, strict=True):
-        if kind == line_dedup._LINE:
-            by_line[h].add(body)
-    void = [h for h, x in by_line.items() if len(x) > 1]
-    assert void  # seen by their bytes
-    text, counts = line_dedup._cleaned(texts[0].encode(), [{"first": 0, "end": len(plain_lines(texts[0])), "span": True}], np.array(void, np.int64), 25)
-    assert set(plain_lines(texts[0])) - set(plain_lines(text.decode())) <= {x for x in plain_lines(texts[0]) if coarse(np.frombuffer(x[1].encode(), np.uint8), np.array([0]), np.array([len(x[1].encode())])).view(np.int64)[0] not in void}
+def test_lines_of_one_hash_and_different_bytes_stay(spark, monkeypatch):
+    rows = [(1, b"a"), (1, b"a"), (2, b"b"), (2, b"c"), (2, b"c"), (3, b"d")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([h for h, _ in part], pa.int64()), pa.array([b for _, b in part], pa.binary())], ["hash", "body"]) for part in (rows[:3], [], rows[3:])]
+    assert [h for b in line_dedup._differing(iter(batches)) for h in b.column(0).to_pylist()] == [2]
+    passage, (text, *_) = planted()[10]
+    data = np.frombuffer(text.encode(), np.uint8)
+    lines = line_dedup.Lines.of(data, np.array([0, len(data)]))
+    n = len(lines.starts)
+    cuts = pa.array([[{"first": 0, "end": n, "span": True}]], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("span", pa.bool_())])))
+    whole, counts = line_dedup._cleaned(data, np.array([0, len(data)]), cuts, np.zeros(0, np.int64), 1)
+    assert whole == [b""] and counts.tolist() == [[1, 1, len(data)]]
+    left, _ = line_dedup._cleaned(data, np.array([0, len(data)]), cuts, lines.hashes.view(np.int64)[1:2], 1)
+    assert left == [data.tobytes()[lines.starts[1] : lines.ends[1]]]
+
+
+def test_a_passage_of_copied_texts_goes_whole(spark):
+    """The first text with a passage has copies, so all its stretches repeat, not only those of the passage."""
+    rng = random.Random(8)
+    rows, passages = [], []
+    for n in range(30):
+        passage = " ".join(sentence(rng, rng.randint(6, 12)) for _ in range(7))
+        around = lambda: " ".join(sentence(rng, rng.randint(4, 15)) for _ in range(8))
+        copied = " ".join([around(), passage, around()])
+        passages.append(passage)
+        rows += [(10 * n, copied), (10 * n + 1, copied), (10 * n + 2, " ".join([around(), passage, around()]))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for (k, text), passage in zip(rows, [p for p in passages for _ in range(3)], strict=True):
+        want = (text, "", text.replace(passage, ""))[k % 10]
+        assert got[k].split() == want.split(), k
