@@ -174,8 +174,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """docs with text cut down to what is not a repeat, and with n_removed, n_passages and cut_bytes.
 
     Stretches of content-defined chunks (`Lines.spans`) meet by their hashes, all over the table. The first by doc_id
-    stays (then by a hash of its text, then by place); later ones are removed, with the lines beside them as far as an
-    earlier document has the same lines beside an equal stretch. Passages of under passage_words words stay. So an equal
+    stays (then by a hash of its text, then by place); later ones are removed, with the lines beside them as far as the
+    first document has the same lines beside the stretch. Passages of under passage_words words stay. So an equal
     passage is cut whole wherever it stands; equal means equal bytes, but for white space around lines, and what is
     removed always has an equal line before it in that order, so one of each stays.
 
@@ -211,21 +211,21 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = cut(rows.groupBy("hash", "more").agg(F.min(order).alias("least")), "first")
     marked = rows.join(first, ["hash", "more"]).select("_id", "_h", F.struct("first", "end", "hash", "n", (~order.eqNullSafe(F.col("least"))).alias("later")).alias("span"))
     own = cut(marked.groupBy(F.xxhash64("_id", "_h").alias("_k"), "_h").agg(F.sort_array(F.collect_set("span")).alias("spans")), "own", "zstd")
-    met = _passing(slim, "_k", _key_filter(own.select("_k")), True).join(own, ["_k", "_h"]).select("_k", "_id", "_h", "spans", "_text")
+    met = _passing(slim, "_k", _key_filter(own.select("_k")), True).join(own, ["_k", "_h"]).select("_k", "_h", "spans", "_text")
     met = cut(met, "met", "zstd")
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, data, bounds in _sliced(batch.column(4)):
+            for base, data, bounds in _sliced(batch.column(3)):
                 lines = Lines.of(data, bounds)
-                m = _margins(lines, batch.column(3).slice(base, len(bounds) - 1))
-                take = pa.array(m.of + base)
-                rows = [*(batch.column(k).take(take) for k in range(3)), pa.array(m.hashes), pa.array(m.more), pa.array((m.low - lines.bounds[m.of]).astype(np.int32)), pa.array((m.up - lines.bounds[m.of]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(rows, ["_k", "_id", "_h", "hash", "more", "first", "end"])
+                m = _margins(lines, batch.column(2).slice(base, len(bounds) - 1))
+                take, own = pa.array(m.of + base), lines.bounds[m.of]
+                rows = [*(batch.column(k).take(take) for k in range(2)), *map(pa.array, (m.hashes, m.more, (m.low - own).astype(np.int32), (m.up - own).astype(np.int32), m.later))]
+                yield pa.RecordBatch.from_arrays(rows, ["_k", "_h", "hash", "more", "first", "end", "later"])
 
-    sides = cut(met.mapInArrow(beside, f"_k long, _id {kind}, _h long, hash long, more long, first int, end int"), "sides", "zstd")
-    least = cut(sides.groupBy("hash", "more").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-sides")
-    later = sides.join(least, ["hash", "more"]).where(~order.eqNullSafe(F.col("least")))
+    sides = cut(met.mapInArrow(beside, "_k long, _h long, hash long, more long, first int, end int, later boolean"), "sides", "zstd")
+    given = cut(sides.where("not later").select("hash", "more").distinct(), "given-sides")
+    later = sides.where("later").join(given, ["hash", "more"], "left_semi")
 
     # next to no line shares its hash with another, as hashes have 64 bits
     told = met.select("spans", "_text").mapInArrow(_line_bytes, "hash long, body binary").repartition("hash").sortWithinPartitions("hash")
@@ -351,34 +351,31 @@ def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class _Margins:
     """Runs of lines [low, up) beside repeated stretches, their text, a hash of the run, the side and the stretch, and one
-    more of the run."""
+    more of the run; later: whether the run goes if the first text with the stretch has it too."""
 
     of: np.ndarray
     low: np.ndarray
     up: np.ndarray
     hashes: np.ndarray
     more: np.ndarray
+    later: np.ndarray
 
 
 def _margins(lines: Lines, spans: pa.Array) -> _Margins:
-    """Of each repeated stretch near the end of a row of stretches that are met as often as it: all runs of lines from it
-    on, up to about MARGIN_WORDS words.
-
-    Where one is met less often than its neighbour, some text has that neighbour and other lines beside it. Near:
-    within MARGIN_WORDS words, as other texts with the same passage may have other stretches at its ends.
-    """
-    of, a, b, h, n = _flat(lines, spans, "hash", "n")
-    place = np.searchsorted(lines.spans()[0], a)
+    """Runs of lines from a repeated stretch on, up to about MARGIN_WORDS words: of a later one whose neighbour doesn't
+    repeat, and of the first one where its neighbour is met less often, so that other texts may have other lines there."""
+    of, a, b, h, n, later = _flat(lines, spans, "hash", "n", "later")
+    all_first = lines.spans()[0]
+    place = np.searchsorted(all_first, a)
+    met = np.zeros(len(all_first) + 2, np.int64)  # how often the stretch at a place is met, if it repeats
+    met[place + 1] = n
+    text_of = np.concatenate([[-1], np.searchsorted(lines.bounds, all_first, "right") - 1, [-1]])
     upto = np.concatenate([[0], np.cumsum(lines.words)])
-    new = np.ones(len(a), bool)
-    new[1:] = (place[1:] != place[:-1] + 1) | (of[1:] != of[:-1]) | (n[1:] != n[:-1])
-    row = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(a)) - 1
     out = []
     for side, step in ((0, 1), (1, -1)):
-        far = upto[b[tails[row]]] - upto[b] if step > 0 else upto[a] - upto[a[heads[row]]]
-        alone = np.flatnonzero(far < MARGIN_WORDS)
+        beside = place + 1 + step
+        often = np.where(text_of[beside] == of, met[beside], 0)
+        alone = np.flatnonzero(np.where(later, often == 0, often < n))
         edge = (b if step > 0 else a)[alone]
         stop = lines.bounds[of[alone] + (step > 0)]
         for k in range(1, MARGIN_WORDS + 1):
@@ -391,8 +388,8 @@ def _margins(lines: Lines, spans: pa.Array) -> _Margins:
             alone, edge, stop, far = alone[open_], edge[open_], stop[open_], far[open_]
             low, up = np.minimum(edge, far), np.maximum(edge, far)
             mixed = (lines.run(low, up, 2).view(np.uint64) + h[alone].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * k + side)) * np.uint64(0xD6E8FEB86659FD93)
-            out.append((of[alone], low, up, (mixed ^ (mixed >> np.uint64(32))).view(np.int64), lines.run(low, up, 3)))
+            out.append((of[alone], low, up, (mixed ^ (mixed >> np.uint64(32))).view(np.int64), lines.run(low, up, 3), later[alone]))
     if not out:
         none = np.zeros(0, np.int64)
-        return _Margins(none, none, none, none, none)
+        return _Margins(none, none, none, none, none, none.astype(bool))
     return _Margins(*(np.concatenate(x) for x in zip(*out, strict=True)))
