@@ -138,5 +138,6 @@ def row_errors(rows: DataFrame, market: str) -> DataFrame:
         "country": F.lit(market != "international") | (F.coalesce(F.trim("country"), F.lit("")) != ""),
     }
     failed = [F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(k).alias("field"), F.lit("invalid").alias("message"))) for k, ok in checks.items()]
-    repeated = F.when(F.count("*").over(Window.partitionBy("row_uuid")) > 1, F.struct(F.lit("row_uuid").alias("field"), F.lit("repeated").alias("message")))
-    return rows.withColumn("e", F.explode(F.array_compact(F.array(*failed, repeated)))).select("row_uuid", "e.field", "e.message")
+    often = rows.groupBy("row_uuid").agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = F.when(F.col("_n").isNotNull(), F.struct(F.lit("row_uuid").alias("field"), F.lit("repeated").alias("message")))
+    return rows.join(often, "row_uuid", "left").withColumn("e", F.explode(F.array_compact(F.array(*failed, repeated)))).select("row_uuid", "e.field", "e.message")

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tessera.plans import detection, titles
+from tessera.plans import detection, feeds, titles
 
-QUERIES = {**detection.QUERIES, **titles.QUERIES}
+QUERIES = {**detection.QUERIES, **titles.QUERIES, **feeds.QUERIES}
