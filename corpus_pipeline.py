@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, mixing, quality_rules, simhash, token_store
 from tessera.llm.queries import line_model, tokenizer_path
-from tessera.llm.scratch import cut
+from tessera.llm.scratch import cut, delete, temporary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other. What a stage wrote besides its result goes when the result is written, and that
+    when the next one's is; only the last stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{k}")
+        with temporary(spark) as paths:
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{k}")
+            own = paths.pop()  # the last path is the result's
+        if before:
+            delete(spark, before)
+        before = own
     return docs
