@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,16 +112,21 @@ def bm25(queries: DataFrame, catalog: DataFrame, k: int = 10, k1: float = 1.2, b
     return queries.join(best, "q").select("query_id", "id", "bm25", "rank")
 
 
+#: Query vectors that are broadcast at once, about.
+NEAREST_BLOCK = 5000
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, cosine, rank: the k nearest of vectors (id, v) for queries (query_id, v), each but itself.
 
-    The queries are one broadcast block of a stated size; the vectors are scanned where they lie.
+    Queries are broadcast in blocks of about NEAREST_BLOCK, however many there are; the vectors are scanned where they
+    lie, once a block. The job is the product of the two, as every pair is compared.
     """
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError("split queries into blocks of 10,000 at most")
     q = queries.select("query_id", F.col("v").alias("vq"))
-    hits = vectors.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", sim.cosine(F.col("vq"), F.col("v")).alias("cosine"))
+    blocks = max(1, -(-queries.count() // NEAREST_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [vectors.join(F.broadcast(q.where(block == i) if blocks > 1 else q), F.col("id") != F.col("query_id")) for i in range(blocks)]
+    hits = reduce(DataFrame.unionByName, parts).select("query_id", "id", sim.cosine(F.col("vq"), F.col("v")).alias("cosine"))
     order = Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc(), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import upsert, verdicts, web
+from tessera.operators import retrieve, upsert, verdicts, web
 from tessera.sources import files
 from tessera.streaming import requests
 
@@ -63,3 +63,12 @@ def test_streams_by_replay(spark, tmp_path, sf_dir):
     sizes = []
     requests.chunked(source, lambda df, n: sizes.append((n, df.count())), str(tmp_path / "c3")).awaitTermination(120)
     assert sum(c for _, c in sizes) == 301 and len(sizes) == 3
+
+
+def test_nearest_in_blocks_is_the_same(spark, sf_dir, monkeypatch):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = v.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    find = lambda: sorted((r["query_id"], r["id"], r["rank"]) for r in retrieve.nearest(q, v, 3).collect())
+    whole = find()
+    monkeypatch.setattr(retrieve, "NEAREST_BLOCK", 3)
+    assert find() == whole and len(whole) == 3 * q.count()
