@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
-from tessera.llm.scratch import cut
+from tessera.operators.written import cut
 
 
 def approved(mappings: DataFrame) -> DataFrame:
