@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once and written under spark.checkpoint.dir; only where none is set, as in local tests, a temporary folder becomes it."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where none is set, as in local tests, a temporary folder becomes it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """df, computed once, written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.operators import jobs as j
 from tessera.operators import upsert, verdicts, web
+from tessera.operators.written import shared_root
 from tessera.plans import detection, inputs
 from tessera.sources import files
 from tessera.streaming import requests
@@ -21,8 +22,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplier table through a CSV upload with odd headers and values."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
-    path = f"{root}/upload-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/upload-{uuid.uuid4().hex}"
     odd = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.col("s_name"), F.lit('\n"a, b"'))).otherwise(F.col("s_name"))
     rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(" Key "), odd.alias("Title"), F.lit("2024-01-01").alias("SHOW_DATE"))
     rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
