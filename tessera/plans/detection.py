@@ -179,7 +179,7 @@ _PENDING_SQL = f"""SELECT 'class:v1:' || lower(trim(amenity)) || ':' || lower(tr
 
 
 def ai_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return j.sampled_keys(j.pending_keys(_audited(spark, sf_dir)), 5).select("key", "n_rows", "first_row")
+    return j.sampled_keys(j.pending_keys(_audited(spark, sf_dir)), 50).select("key", "n_rows", "first_row")
 
 
 def cache_prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +205,7 @@ QUERIES = {
     "audit_anomalies": (audit_anomalies, f"WITH {DETECTED_SQL} SELECT row_id, {_USER} AS user_format, screen_format FROM detected WHERE lower(trim({_USER})) <> lower(trim(screen_format))"),
     "top_unmatched": (top_unmatched, f"WITH {DETECTED_SQL} SELECT lower(trim(amenity)) AS string, count(*) AS n FROM detected WHERE fired_ai GROUP BY 1 ORDER BY n DESC, min(row_id) LIMIT 10"),
     "dedup_keys": (dedup_keys, f"WITH {DETECTED_SQL} {_PENDING_SQL}"),
-    "ai_sample": (ai_sample, f"WITH {DETECTED_SQL}, k AS ({_PENDING_SQL}) SELECT * FROM k ORDER BY first_row LIMIT 5"),
+    "ai_sample": (ai_sample, f"WITH {DETECTED_SQL}, k AS ({_PENDING_SQL}) SELECT * FROM k ORDER BY first_row LIMIT 50"),
     "cache_prefetch": (cache_prefetch, f"WITH {DETECTED_SQL}, k AS ({_PENDING_SQL}), c AS (SELECT 'class:v1:' || lower(trim(amenity)) || ':' AS key, 'hit ' || id AS payload FROM amenities WHERE id % 2 = 0) SELECT k.key, n_rows, payload, payload IS NOT NULL AS cached FROM k LEFT JOIN c USING (key)"),
     "review_rows": (review_rows, f"WITH {DETECTED_SQL} SELECT row_id, 'ai_suggestion' AS type, 'pending' AS status, amenity AS string FROM detected WHERE fired_ai"),
 }

@@ -122,10 +122,11 @@ def alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aliases(c: DataFrame) -> DataFrame:
-    return c.where("id < 15").select(F.upper("title").alias("alias"), "id").unionByName(c.where("id < 10").select(F.lower("title").alias("alias"), (F.col("id") + 1).alias("id")))
+    """Each title, in capitals, names its row; in small letters it names its parent too, so some names have two rows."""
+    return c.select(F.upper("title").alias("alias"), "id").unionByName(c.where("parent_id is not null").select(F.lower("title").alias("alias"), F.col("parent_id").alias("id")))
 
 
-ALIAS_SQL = f"""WITH {NORMAL_SQL}, {CATALOG_SQL}, a AS (SELECT lower(title) AS a, id FROM catalog WHERE id < 15 UNION ALL SELECT lower(title), id + 1 FROM catalog WHERE id < 10), k AS (SELECT a, max(id) AS id FROM a GROUP BY a)
+ALIAS_SQL = f"""WITH {NORMAL_SQL}, {CATALOG_SQL}, a AS (SELECT lower(title) AS a, id FROM catalog UNION ALL SELECT lower(title), parent_id FROM catalog WHERE parent_id IS NOT NULL), k AS (SELECT a, max(id) AS id FROM a GROUP BY a)
 SELECT query_id, id, 0.95::DOUBLE AS score, 'alias' AS source FROM normal JOIN k ON lower(cleaned) = a WHERE id IN (SELECT id FROM catalog)"""
 
 
@@ -163,26 +164,30 @@ def db_search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.cascade(_queries(spark, sf_dir), catalog(spark, sf_dir))
 
 
-def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _queries(spark, sf_dir).join(catalog(spark, sf_dir).where("id < 30").select("id", "title"), F.lit(True))
-    return rows.select("query_id", "id", F.round(sim.coverage(F.col("q"), F.col("title")), 6).alias("coverage"))
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query with the titles that BM25 finds for it in the whole catalog."""
+    c, q = catalog(spark, sf_dir), _queries(spark, sf_dir)
+    return retrieve.bm25(q, c).join(c, "id").join(q, "query_id")
 
 
-COVERAGE_SQL = rf"""WITH {NORMAL_SQL}, {CATALOG_SQL}, x AS (SELECT query_id, id, list_distinct(list_filter(regexp_split_to_array(lower(cleaned), '\s+'), lambda w: w <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(lower(title), '\s+'), lambda w: w <> '')) AS c FROM normal, catalog WHERE id < 30)
-SELECT query_id, id, CASE WHEN len(q) = 0 THEN 1.0 ELSE round(len(list_intersect(q, c))::DOUBLE / len(q), 6) END::DOUBLE AS coverage FROM x"""
+def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical(spark, sf_dir).select("query_id", "id", F.round(sim.coverage(F.col("q"), F.col("title")), 6).alias("coverage"))
 
 
-def _scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _queries(spark, sf_dir).join(catalog(spark, sf_dir).where("id < 30").select("id", "title"), F.lit(True))
-    return rows.withColumn("score", ((F.col("query_id") * 13 + F.col("id") * 7) % 60 + 40).cast("double"))
+_TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''))"
 
 
 def plausible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.plausible(_scored_pairs(spark, sf_dir)).select("query_id", "id", "score")
+    """The pairs of the trigram search that pass the guards, scored by their similarity out of 100."""
+    c, q = catalog(spark, sf_dir), _queries(spark, sf_dir)
+    pairs = retrieve.by_trigrams(q, c).join(c, "id").join(q, "query_id").withColumn("score", F.round(100 * F.col("similarity"), 4))
+    return retrieve.plausible(pairs).select("query_id", "id", "score")
 
 
-PLAUSIBLE_SQL = f"""{COVERAGE_SQL.rsplit("SELECT query_id, id, CASE", 1)[0]}, y AS (SELECT x.*, title, ordinal, ((query_id * 13 + id * 7) % 60 + 40)::DOUBLE AS score FROM x JOIN normal USING (query_id) JOIN catalog USING (id))
-SELECT query_id, id, score FROM y WHERE lower(title) NOT IN ({", ".join("'" + j + "'" for j in retrieve.JUNK)}) AND length(title) > 3 AND (len(q) = 0 OR len(list_intersect(q, c)) >= 0.6 * len(q) OR score >= 90) AND NOT (ordinal IS NOT NULL AND {_conflict_sql("title", "CAST(ordinal AS BIGINT)")})"""
+def _plausible_sql() -> str:
+    guards = f"(len(w) = 0 OR len(list_intersect(w, c)) >= 0.6 * len(w) OR score >= 90) AND NOT (ordinal IS NOT NULL AND {_conflict_sql('title', 'CAST(ordinal AS BIGINT)')})"
+    return f"""WITH {NORMAL_SQL}, {CATALOG_SQL}, {TRIGRAM_SQL}, y AS (SELECT query_id, id, title, ordinal, round(100 * similarity, 4) AS score, {_TOKENS.format("cleaned")} AS w, {_TOKENS.format("title")} AS c FROM trigram JOIN normal USING (query_id) JOIN catalog USING (id))
+SELECT query_id, id, score FROM y WHERE lower(title) NOT IN ({", ".join("'" + j + "'" for j in retrieve.JUNK)}) AND length(title) > 3 AND {guards}"""
 
 
 def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,28 +220,23 @@ NEAR_SQL = """near AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id QUALIFY rank <= 10)"""
 
 
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = inputs.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    near = retrieve.nearest(v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), v)
-    lexical = near.where("rank % 2 = 0").select("query_id", "id", (F.col("rank") / 16).alias("bm25"))
-    return retrieve.hybrid(lexical, near.where("rank <= 7")).withColumns({"raw": F.round("raw", 6), "score": F.round("score", 6)})
-
-
-HYBRID_SQL = f"""WITH {NEAR_SQL}, h AS (SELECT query_id, id, coalesce(CASE WHEN rank % 2 = 0 THEN rank / 16.0::DOUBLE END, 0) + CASE WHEN rank <= 7 THEN 1 / (1 + acos(greatest(-1, least(1, cosine)))) ELSE 0 END AS raw FROM near WHERE rank % 2 = 0 OR rank <= 7)
-SELECT query_id, id, round(raw, 6) AS raw, round(least(raw, 1.0) * 0.6, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, id) AS rank FROM h"""
+def _shown(rows: DataFrame) -> DataFrame:
+    """rows (query_id) with a show date: some days after the release of the part that the query is about, or of one film."""
+    k = F.col("query_id")
+    shift = F.element_at(F.array(*map(F.lit, (0, 3, 45, 400))), (k % 4 + 1).cast("int"))
+    first = F.when(k % 8 < 4, F.to_date(F.lit("2016-11-23"))).otherwise(F.date_add(F.to_date(F.lit("1995-01-01")), k.cast("int")))
+    return rows.withColumn("show_date", F.date_format(F.date_add(first, shift), "yyyy-MM-dd"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to four generated candidates for each query, with dates around the release."""
-    c = catalog(spark, sf_dir).where("id < 30")
-    rows = _queries(spark, sf_dir).join(c, (F.col("query_id") * 7 + F.col("id")) % 7 < 2).where("query_id % 11 <> 0")
-    shift = F.element_at(F.array(*map(F.lit, (0, 3, 45, 400))), (F.col("query_id") % 4 + 1).cast("int"))
-    show = F.date_format(F.date_add(F.to_date(F.lit("2016-11-23")), shift), "yyyy-MM-dd")
-    return rows.select("query_id", "id", "title", "release_date", show.alias("show_date"), "edition_markers", "event_type", (((F.col("query_id") + F.col("id")) % 10) * 0.05 + 0.5).alias("score"), F.col("id").alias("gen"))
+    """What BM25 finds for every query in the whole catalog, a twentieth of it the score: the candidates that SQL can state."""
+    rows = _shown(_lexical(spark, sf_dir))
+    return rows.select("query_id", "id", "q", "title", "release_date", "show_date", "edition_markers", "event_type", F.round(F.least(F.lit(1.0), F.col("bm25") / 20), 4).alias("score"), F.col("rank").alias("gen"))
 
 
-CANDIDATES_SQL = f"""WITH {NORMAL_SQL}, {CATALOG_SQL}, cand AS (SELECT query_id, id, title, release_date, strftime(DATE '2016-11-23' + ([0, 3, 45, 400])[query_id % 4 + 1], '%Y-%m-%d') AS show_date, edition_markers, event_type,
-  ((query_id + id) % 10) * 0.05::DOUBLE + 0.5::DOUBLE AS score, id AS gen FROM normal JOIN catalog ON (query_id * 7 + id) % 7 < 2 WHERE id < 30 AND query_id % 11 <> 0),
+_SHOWN = "strftime(CASE WHEN query_id % 8 < 4 THEN DATE '2016-11-23' ELSE DATE '1995-01-01' + CAST(query_id AS INTEGER) END + ([0, 3, 45, 400])[query_id % 4 + 1], '%Y-%m-%d')"
+CANDIDATES_SQL = f"""WITH {NORMAL_SQL}, {CATALOG_SQL}, {BM25_SQL}, cand AS (SELECT query_id, id, cleaned, title, release_date, {_SHOWN} AS show_date, edition_markers, event_type,
+  round(least(1.0::DOUBLE, bm25 / 20), 4) AS score, rank AS gen FROM lexical JOIN normal USING (query_id) JOIN catalog USING (id)),
 dw AS (SELECT *, {_DATE.format('release_date')} AS rd, abs(date_diff('day', {_DATE.format('show_date')}, {_DATE.format('release_date')})) AS days FROM cand),
 comp AS (SELECT *, CASE WHEN days = 0 THEN 'EXACT' WHEN days <= 30 THEN 'NEAR' WHEN days <= 365 THEN 'YEAR' ELSE 'NONE' END AS date_window,
   greatest(0, least(1, score + CASE WHEN days = 0 THEN 0.30 WHEN days <= 30 THEN 0.15 WHEN days <= 365 THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN list_contains(edition_markers, 'Live Action') AND (contains(lower(title), 'animated') OR contains(lower(title), 'animation') OR contains(lower(title), 'cartoon')) THEN -0.20 ELSE 0 END::DOUBLE))::DOUBLE AS composite FROM dw),
@@ -287,16 +287,20 @@ def parent_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def present_in_db(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _queries(spark, sf_dir).select("query_id", F.when(F.col("query_id") % 5 == 0, 0).otherwise(F.col("query_id") % 40).alias("canonical_id"), (F.col("query_id") % 25).alias("movie_id"))
+    r = decide.decided(_candidates(spark, sf_dir), catalog(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "canonical_id", "movie_id")
     return decide.present_in_db(r, catalog(spark, sf_dir)).select("query_id", "mapped_title", "present_in_db")
 
 
+PRESENT_SQL = f"""WITH decided AS ({DECISION_SQL}), {CATALOG_SQL} SELECT query_id, coalesce(c.title, '') AS mapped_title, CASE WHEN c.id IS NULL THEN 'No' ELSE 'Yes' END AS present_in_db
+FROM decided LEFT JOIN catalog c ON c.id = nullif(CASE WHEN canonical_id > 0 THEN canonical_id ELSE movie_id END, 0)"""
+
+
 def title_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decide.composite(_candidates(spark, sf_dir)).where("place = 1")
-    return rows.select("query_id", decide.reasoning(F.col("title"), F.col("title"), F.col("id"), F.col("score"), F.col("date_window")).alias("reasoning"))
+    return rows.select("query_id", decide.reasoning(F.col("q"), F.col("title"), F.col("id"), F.col("score"), F.col("date_window")).alias("reasoning"))
 
 
-REASONING_SQL = f"""{CANDIDATES_SQL} SELECT query_id, 'The title ''' || title || ''' most closely matches ''' || title || ''' (id ' || id || ') with confidence ' || CAST(round_even(100 * score, 0) AS INTEGER) || '%. ' ||
+REASONING_SQL = f"""{CANDIDATES_SQL} SELECT query_id, 'The title ''' || cleaned || ''' most closely matches ''' || title || ''' (id ' || id || ') with confidence ' || CAST(round_even(100 * score, 0) AS INTEGER) || '%. ' ||
   CASE date_window WHEN 'EXACT' THEN 'Release date matches show date exactly.' WHEN 'NEAR' THEN 'Release date is within 30 days of show date.' WHEN 'YEAR' THEN 'Release date is within one year of show date.' ELSE 'No date proximity signal available.' END AS reasoning FROM placed WHERE place = 1"""
 
 
@@ -324,17 +328,22 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.generated(q, c, _aliases(c), _nearest_titles(spark, sf_dir, q, c, 20))
 
 
-def hybrid_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles by BM25 and vectors together."""
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by BM25 and vectors together, over the whole catalog."""
     c, q = catalog(spark, sf_dir), _queries(spark, sf_dir)
     return retrieve.hybrid(retrieve.bm25(q, c), _nearest_titles(spark, sf_dir, q, c, 10)).withColumns({"raw": F.round("raw", 6), "score": F.round("score", 6)})
 
 
+HYBRID_SQL = f"""WITH {NORMAL_SQL}, {CATALOG_SQL}, {BM25_SQL}, cs AS (SELECT query_id, c.id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine
+  FROM normal q JOIN embeddings a ON a.vec_id = query_id, catalog c JOIN embeddings b ON c.id = b.vec_id + 200000),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS n FROM cs QUALIFY n <= 10),
+h AS (SELECT coalesce(l.query_id, n.query_id) AS query_id, coalesce(l.id, n.id) AS id, coalesce(bm25, 0) + CASE WHEN cosine IS NULL THEN 0 ELSE 1 / (1 + acos(greatest(-1, least(1, cosine)))) END AS raw FROM lexical l FULL JOIN near n ON l.query_id = n.query_id AND l.id = n.id)
+SELECT query_id, id, round(raw, 6) AS raw, round(least(raw, 1.0) * 0.6, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, id) AS rank FROM h QUALIFY rank <= 10"""
+
+
 def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """candidates with the columns that are judged."""
-    rows = candidates(spark, sf_dir).join(catalog(spark, sf_dir).select("id", "title", "release_date"), "id").join(_queries(spark, sf_dir).select("query_id", "q", "ordinal", "edition_markers", "event_type"), "query_id")
-    shift = F.element_at(F.array(*map(F.lit, (0, 3, 45, 400))), (F.col("query_id") % 4 + 1).cast("int"))
-    return rows.withColumn("show_date", F.date_format(F.date_add(F.to_date(F.lit("2016-11-23")), shift), "yyyy-MM-dd"))
+    return _shown(candidates(spark, sf_dir).join(catalog(spark, sf_dir).select("id", "title", "release_date"), "id").join(_queries(spark, sf_dir).select("query_id", "q", "ordinal", "edition_markers", "event_type"), "query_id"))
 
 
 def candidate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,8 +388,8 @@ QUERIES = {
     "ilike_search": (ilike_search, f"{_W}{ILIKE_SQL} SELECT * FROM pattern"),
     "trigram_search": (trigram_search, f"{_W}{TRIGRAM_SQL} SELECT * FROM trigram"),
     "db_search_cascade": (db_search_cascade, f"{_W}{ILIKE_SQL}, {TRIGRAM_SQL} SELECT query_id, id, rank, 'pattern' AS method FROM pattern UNION ALL SELECT query_id, id, rank, 'trigram' FROM trigram WHERE query_id NOT IN (SELECT query_id FROM pattern)"),
-    "token_coverage": (token_coverage, COVERAGE_SQL),
-    "plausible_pairs": (plausible_pairs, PLAUSIBLE_SQL),
+    "token_coverage": (token_coverage, f"{_W}{BM25_SQL} SELECT query_id, id, CASE WHEN len(w) = 0 THEN 1.0 ELSE round(len(list_intersect(w, c))::DOUBLE / len(w), 6) END::DOUBLE AS coverage FROM (SELECT query_id, id, {_TOKENS.format('cleaned')} AS w, {_TOKENS.format('title')} AS c FROM lexical JOIN normal USING (query_id) JOIN catalog USING (id))"),
+    "plausible_pairs": (plausible_pairs, _plausible_sql()),
     "fuzzy_topk": (fuzzy_topk, None),
     "director_ratio": (director_ratio, None),
     "bm25": (bm25, f"{_W}{BM25_SQL} SELECT query_id, id, round(bm25, 6) AS bm25, rank FROM lexical"),
@@ -391,8 +400,8 @@ QUERIES = {
     "evidence_struct": (evidence_struct, EVIDENCE_SQL),
     "metadata_checks": (metadata_checks, METADATA_SQL),
     "parent_resolve": (parent_resolve, f"WITH {CATALOG_SQL} SELECT c.id, coalesce(p.id, c.id) AS canonical FROM catalog c LEFT JOIN catalog p ON p.id = c.parent_id AND c.parent_id <> c.id"),
-    "present_in_db": (present_in_db, f"{_W}r AS (SELECT query_id, CASE WHEN query_id % 5 = 0 THEN 0 ELSE query_id % 40 END AS ci, query_id % 25 AS mi FROM normal) SELECT query_id, coalesce(title, '') AS mapped_title, CASE WHEN id IS NULL THEN 'No' ELSE 'Yes' END AS present_in_db FROM r LEFT JOIN catalog ON id = nullif(CASE WHEN ci > 0 THEN ci ELSE mi END, 0)"),
+    "present_in_db": (present_in_db, PRESENT_SQL),
     "title_reasoning": (title_reasoning, REASONING_SQL),
-    # retrieval and decisions over the whole catalog; the queries above, on pairs made by arithmetic, hold the same operators against SQL
-    **{f.__name__: (f, None) for f in (candidates, hybrid_titles, candidate_coverage, candidate_plausible, candidate_rank, candidate_decision, candidate_evidence, candidate_reasoning)},
+    # decisions on candidates of all ways of retrieval, the fuzzy ratio among them; the queries above decide on those of BM25
+    **{f.__name__: (f, None) for f in (candidates, candidate_coverage, candidate_plausible, candidate_rank, candidate_decision, candidate_evidence, candidate_reasoning)},
 }
