@@ -55,8 +55,12 @@ _SENTENCE = re.compile(rb"(?<=[.!?:;]) ")
 _WORDS = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
 
 
-def blocks(text: bytes, longest: int = 400, gap: int = 2) -> list[tuple[int, int]]:
-    """Spans of candidate blocks: lines with a cue, joined over at most gap lines without; long lines go by sentences."""
+def blocks(text: bytes, longest: int = 400, gap: int = 2) -> list[tuple[int, int, bool]]:
+    """Spans of candidate blocks: lines with a cue, joined over at most gap lines without; long lines go by sentences.
+
+    Comparison takes time in the square of a block's length, so one of more than 4 * longest bytes is cut between lines;
+    the third value is true where a block goes on from the one before.
+    """
     low = text.lower()
     if not any(c in low for c in CUES):
         return []
@@ -72,10 +76,11 @@ def blocks(text: bytes, longest: int = 400, gap: int = 2) -> list[tuple[int, int
     out, last = [], -gap - 2
     for k, (a, b) in enumerate(spans):
         if any(c in low[a:b] for c in CUES):
-            if k - last <= gap + 1 and spans[k][1] - out[-1][0] <= 4 * longest:
-                out[-1] = (out[-1][0], b)
+            near = k - last <= gap + 1
+            if near and b - out[-1][0] <= 4 * longest:
+                out[-1] = (out[-1][0], b, out[-1][2])
             else:
-                out.append((a, b))
+                out.append((a, b, near))
             last = k
     return out
 
@@ -140,9 +145,12 @@ def found_in(text: bytes, templates: Templates, least_saved: float = 0.25, most_
 
     Of the templates that save enough, the one with the fewest wording differences wins, if at most most_changed of the
     words differ. A part counts where its winner is no license of what holds it, or fits strictly better than that one.
+    A block that goes on from one of the same license lengthens its row: words add up, saved is the mean by bytes.
     """
-    out = []
-    for a, b in blocks(text):
+    out: list[dict] = []
+    whole = None  # the row of the block before
+    for a, b, goes_on in blocks(text):
+        before, whole = whole if goes_on else None, None
         taken: list[tuple[int, int, str]] = []
         for c, d in [(a, b), *parts(text, a, b)]:
             best = _best(text[c:d].strip(), templates, least_saved, most_changed)
@@ -151,10 +159,27 @@ def found_in(text: bytes, templates: Templates, least_saved: float = 0.25, most_
                 continue
             _, saved, name, equal, missing, extra = best[0]
             taken.append((c, d, name))
-            out.append({"first_byte": c, "end_byte": d, "license": name, "saved": -saved, "n_equal": equal, "missing": " ".join(missing), "extra": " ".join(extra), "verbatim": not missing and not extra})
+            row = {"first_byte": c, "end_byte": d, "license": name, "saved": -saved, "n_equal": equal, "missing": " ".join(missing), "extra": " ".join(extra), "verbatim": not missing and not extra}
+            if (c, d) != (a, b):
+                out.append(row)
+            elif before and before["license"] == name:
+                whole = _lengthened(before, row)
+            else:
+                whole = row
+                out.append(row)
     return out
 
 
+def _lengthened(row: dict, more: dict) -> dict:
+    """row, changed in place, with the block of the same license that goes on from it."""
+    n, m = row["end_byte"] - row["first_byte"], more["end_byte"] - more["first_byte"]
+    row |= {
+        "end_byte": more["end_byte"], "saved": round((row["saved"] * n + more["saved"] * m) / (n + m), 4), "n_equal": row["n_equal"] + more["n_equal"],
+        "missing": f"{row['missing']} {more['missing']}".strip(), "extra": f"{row['extra']} {more['extra']}".strip(), "verbatim": row["verbatim"] and more["verbatim"],
+    }
+    return row
+
+
 _FOUND = [("first_byte", pa.int64()), ("end_byte", pa.int64()), ("license", pa.string()), ("saved", pa.float64()), ("n_equal", pa.int64()), ("missing", pa.string()), ("extra", pa.string()), ("verbatim", pa.bool_())]
 
 
@@ -163,9 +188,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str =
     share of the block's compressed size that the template as a raw dictionary saves), n_equal, missing and extra words,
     verbatim.
 
-    Whole texts, however long, are read where they lie; nothing is shuffled. A block ends after 1,600 bytes, so a longer
-    notice has a row for each of its blocks; all templates that save enough are compared word by word. Null and blank
-    texts have no blocks; a document may have several rows and repeated documents each have theirs. Further columns of
+    Whole texts, however long, are read where they lie; nothing is shuffled. A notice of any length has one row; it is
+    compared in pieces of about 1,600 bytes, and all templates that save enough word by word. Null and blank texts have
+    no blocks; a document may have several rows and repeated documents each have theirs. Further columns of
     docs take no part.
     """
     given = templates or TEMPLATES

@@ -39,3 +39,26 @@ def test_a_whole_notice_is_one_row(templates):
 
 def test_prose_has_none(templates):
     assert licenses("He lost his driving licence. The copyright debate was long. This is licensed nonsense.", templates) == []
+
+
+#: A notice of about 7,000 bytes, each line with a cue.
+LONG = [f"Clause {i}: a licensee{i} keeps paragraph{i * 7} beside item{i * 13} of schedule{i * 17} where copyright{i} of holder{i * 19} is named in annex{i * 23}." for i in range(60)]
+
+
+def test_a_notice_of_any_length_is_one_row():
+    """Longer than a piece that is compared at once: one row with the words of all pieces."""
+    own = Templates({"Long": " ".join(LONG), "MIT": TEMPLATES["MIT"]})
+    lines = [x.replace("keeps", "loses") if i % 20 == 0 else x for i, x in enumerate(LONG)]
+    text = "\n".join([PROSE, *lines, PROSE]).encode()
+    (row,) = [r for r in found_in(text, own) if r["end_byte"] - r["first_byte"] > 1600]
+    assert row["license"] == "Long" and text[row["first_byte"] : row["end_byte"]] == "\n".join(lines).encode()
+    assert row["extra"].split() == ["loses"] * 3 and row["missing"].split() == ["keeps"] * 3 and not row["verbatim"]
+    assert row["n_equal"] == len(" ".join(LONG).split()) - 3
+
+
+def test_pieces_of_two_licenses_stay_apart():
+    own = Templates({"A": " ".join(LONG[:30]), "B": " ".join(LONG[30:])})
+    text = "\n".join(LONG).encode()
+    whole = [r for r in found_in(text, own) if r["end_byte"] - r["first_byte"] > 400]
+    assert {r["license"] for r in whole} == {"A", "B"}
+    assert max(r["end_byte"] - r["first_byte"] for r in whole) < len(text)
