@@ -199,6 +199,14 @@ def director_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", ratio(F.lower("s_name"), F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string"))).alias("ratio"))
 
 
+#: The longest common subsequence letter by letter: each row holds the best lengths for the prefixes of the name.
+DIRECTOR_SQL = """WITH RECURSIVE p AS (SELECT s_suppkey, lower(s_name) AS a, 'supplier ' || s_suppkey AS b FROM supplier),
+best AS (SELECT s_suppkey, 0 AS i, list_transform(range(length(a)), lambda z: 0::BIGINT) AS lengths FROM p UNION ALL
+  SELECT s_suppkey, i + 1, list_transform(range(1, length(a) + 1), lambda z: list_max(step[1:z])) FROM (
+    SELECT s_suppkey, i, a, list_transform(range(1, length(a) + 1), lambda z: greatest(lengths[z], coalesce(lengths[z - 1], 0) + CASE WHEN a[z] = b[i + 1] THEN 1 ELSE 0 END)) AS step FROM best JOIN p USING (s_suppkey) WHERE i < length(b)))
+SELECT s_suppkey, 200.0::DOUBLE * lengths[length(a)] / (length(a) + length(b)) AS ratio FROM best JOIN p USING (s_suppkey) WHERE i = length(b)"""
+
+
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.bm25(_queries(spark, sf_dir), catalog(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
 
@@ -391,7 +399,7 @@ QUERIES = {
     "token_coverage": (token_coverage, f"{_W}{BM25_SQL} SELECT query_id, id, CASE WHEN len(w) = 0 THEN 1.0 ELSE round(len(list_intersect(w, c))::DOUBLE / len(w), 6) END::DOUBLE AS coverage FROM (SELECT query_id, id, {_TOKENS.format('cleaned')} AS w, {_TOKENS.format('title')} AS c FROM lexical JOIN normal USING (query_id) JOIN catalog USING (id))"),
     "plausible_pairs": (plausible_pairs, _plausible_sql()),
     "fuzzy_topk": (fuzzy_topk, None),
-    "director_ratio": (director_ratio, None),
+    "director_ratio": (director_ratio, DIRECTOR_SQL),
     "bm25": (bm25, f"{_W}{BM25_SQL} SELECT query_id, id, round(bm25, 6) AS bm25, rank FROM lexical"),
     "vector_topk": (vector_topk, f"WITH {NEAR_SQL} SELECT query_id, id, round(cosine, 6) AS cosine, rank FROM near"),
     "hybrid_search": (hybrid_search, HYBRID_SQL),
