@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, factorisation, language, licenses, line_dedup, mixing, quality_rules, simhash, token_store, url_rules
+from tessera.llm import decontaminate, factorisation, language, licenses, line_dedup, mixing, quality_rules, runs, simhash, token_store, url_rules
 from tessera.llm.samples import fold, labelled_texts
 
 
@@ -83,6 +83,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorisation.scored(docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "text"), machine)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.with_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), edit=runs.repeated_tail))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_quality": op8_line_quality,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
