@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, factorisation, language, licenses, line_dedup, mixing, quality_rules, runs, simhash, token_store, url_rules
+from tessera.llm import decontaminate, factorisation, language, licenses, line_dedup, minhash, mixing, quality_rules, runs, simhash, token_store, url_rules, variants
 from tessera.llm.samples import fold, labelled_texts
 
 
@@ -87,6 +87,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.with_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), edit=runs.repeated_tail))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"), edit=variants.misspelt)
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -100,8 +109,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_minhash": op13_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL, "op9_mixing": mixing.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op9_mixing": mixing.SQL, "op12_spelling_variants": variants.SQL, "op13_minhash": minhash.SQL}
