@@ -19,7 +19,7 @@ from tessera.llm.textblocks import slices, text_buffer
 COORDINATES, AGREE = 64, 32
 #: Two sets whose signatures agree in AGREE places share one of the rarest PREFIX coordinates of each.
 PREFIX = COORDINATES - AGREE + 1
-#: Documents of a posting list, and of a family, that one task compares with each other; more are dealt in pairs of parts.
+#: Documents of a posting list, and of a candidate group, that one task compares with each other; more are dealt in pairs of parts.
 PART = 4096
 #: Shingles that a task holds at once for the same reason.
 PART_SHINGLES = 2_000_000
@@ -159,36 +159,36 @@ def _bounds(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
 
 
-def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (token, node, sig) to (node, centre, agree): the member of each list that agrees most with the list's most
-    frequent values, and every member that agrees with it in AGREE places, itself included."""
-    for batch in _by_key(batches):
-        key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        sig = _low_bytes(batch.column(2).to_pylist())
-        out: list[list[np.ndarray]] = [[], [], []]
-        for a, b in zip((cuts := _bounds(key))[:-1], cuts[1:], strict=True):
-            own = sig[a:b]
-            if b - a > 2:
-                # of two a plain choice will do
-                counts = np.zeros((COORDINATES, 256), np.int32)
-                np.add.at(counts, (np.tile(np.arange(COORDINATES), b - a), own.reshape(-1)), 1)
-                fit = (own == counts.argmax(axis=1).astype(np.uint8)).sum(axis=1)
-            else:
-                fit = np.zeros(b - a)
-            c = np.lexsort((node[a:b], -fit))[0]
-            agree = (own == own[c]).sum(axis=1)
-            at = np.flatnonzero(agree >= AGREE)
-            for k, x in enumerate((node[a:b][at], np.full(len(at), node[a + c]), agree[at])):
-                out[k].append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["node", "centre", "agree"])
-
-
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, sig, centre, centre_sig) to (node, centre, agree) where AGREE places agree."""
-    for batch in batches:
-        agree = (_low_bytes(batch.column(1).to_pylist()) == _low_bytes(batch.column(3).to_pylist())).sum(axis=1)
-        at = pa.array(agree >= AGREE)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(agree.astype(np.int64))], ["node", "centre", "agree"]).filter(at)
+def _agreeing(percent: int):
+    """Sorted (key, node, sig, n) to links (u, v) that join the sets of each list into the same components as all its pairs
+    would that agree in AGREE places and have sizes that a link allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_key(batches):
+            key, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            sig = _low_bytes(batch.column(2).to_pylist())
+            left, right = [node[:0]], [node[:0]]
+            cuts = _bounds(key)
+            two = cuts[:-1][np.diff(cuts) == 2]
+            near = ((sig[two] == sig[two + 1]).sum(axis=1) >= AGREE) & (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1]))
+            left.append(node[two[near]])
+            right.append(node[two[near] + 1])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                rest, edge = np.arange(a, b if b - a > 2 else a), []
+                while len(rest):
+                    if not edge:
+                        edge, rest = [int(rest[0])], rest[1:]
+                    k = edge.pop()
+                    fits = rest[100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k])]
+                    new = fits[(sig[fits] == sig[k]).sum(axis=1) >= AGREE]
+                    if len(new):
+                        left.append(np.full(len(new), node[k]))
+                        right.append(node[new])
+                        edge += new.tolist()
+                        rest = np.setdiff1d(rest, new, assume_unique=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["u", "v"])
+
+    return run
 
 
 def _sets(words: int):
@@ -240,55 +240,23 @@ def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> l
     return found
 
 
-def _families(percent: int):
-    """Sorted (key, node, n, shingles, first) to links (u, v) within each key."""
+def _confirmed(percent: int):
+    """Sorted (key, node, n, shingles) to links (u, v) within each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_key(batches):
             key = batch.column(0).to_numpy(zero_copy_only=False)
             found: list[tuple[int, int]] = []
             for a, b in zip((cuts := _bounds(key))[:-1], cuts[1:], strict=True):
-                if b - a < 2:
-                    continue
-                node = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
-                lead = batch.column(4).slice(a, b - a).to_numpy(zero_copy_only=False)
-                at = np.lexsort((node, ~lead.astype(bool)))
-                at = at[np.sort(np.unique(node[at], return_index=True)[1])]  # the rows of a repeated id
+                node, at = np.unique(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), return_index=True)  # an id may come on several rows
                 if len(at) > 1:
                     column = batch.column(3).slice(a, b - a)
-                    found += spanning_links(node[at], [np.frombuffer(column[int(k)].as_py(), np.uint64) for k in at], percent)
+                    found += spanning_links(node, [np.frombuffer(column[int(k)].as_py(), np.uint64) for k in at], percent)
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return run
 
 
-def _apart(percent: int):
-    """Sorted (key, node, sig, n, home, root) to pairs (u, v) of a key that may be linked and have neither root nor home
-    in common."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_key(batches):
-            key, node, n, home, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4, 5))
-            sig = _low_bytes(batch.column(2).to_pylist())
-            left, right = [node[:0]], [node[:0]]
-            for a, b in zip((cuts := _bounds(key))[:-1], cuts[1:], strict=True):
-                roots, counts = np.unique(root[a:b], return_counts=True)
-                if len(roots) < 2:
-                    continue
-                main = root[a:b] == roots[counts.argmax()]
-                others = a + np.flatnonzero(~main)
-                # those outside the largest component: with all of it, and with each other once
-                for place, i in enumerate(others.tolist()):
-                    j = np.concatenate([a + np.flatnonzero(main), others[place + 1 :]])
-                    j = j[(root[j] != root[i]) & (home[j] != home[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-                    j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREE]
-                    left.append(np.minimum(node[j], node[i]))
-                    right.append(np.maximum(node[j], node[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["u", "v"])
-
-    return run
-
-
 def _dealt(df: DataFrame, key: Column, parts: Column, kept: list[str], salt: int) -> DataFrame:
     """df with `key` first, sorted by it within tasks; a key of p > 1 parts is replaced by one for each pair of its parts."""
     spark = df.sparkSession
@@ -305,13 +273,6 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
-def _whole_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, n, shingles) of the given nodes (node), from one document of each; a node may come twice."""
-    ids = cut(nodes.join(classes.select("node", "least"), "node").select(F.col("least").alias("_least")).distinct(), "set-ids")
-    texts = docs.join(_few(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
-    return texts.mapInArrow(_sets(words), "node long, n long, shingles binary")
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -322,26 +283,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     take no part; an empty table gives an empty one.
 
     Distinct sets are posted under each (coordinate, value) of their signatures. Only the PREFIX coordinates that are
-    rarest of each set are kept, as long lists are seldom needed: sets that agree in AGREE places meet there. Each list
-    names a centre, and each set goes to the family of the centre with which it agrees most. Families are linked on their
-    whole sets, by a spanning search in a task of bounded size; then what lists hold of different families and components
-    is compared by collision counts and confirmed in the same way. So a group of a million near copies costs about a row
-    for each copy. Sets are known by 64-bit hashes of shingles, classes by 64 bits over these.
+    rarest of each set are kept, as long lists are seldom needed: sets that agree in AGREE places meet there. In each list
+    collisions are counted, and a spanning forest of the sets that agree often enough is kept, so a list gives fewer links
+    than it has members. What such links join is a candidate group, whose links are found on whole sets, by a spanning
+    search in tasks of bounded size: no pairs of a group are ever written out. Sets are known by 64-bit hashes of
+    shingles, classes by 64 bits over these.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     base = cut(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, node long, sig binary"), "sketches")
     classes = cut(base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    lists = prefixes(classes)
-    homes = families(lists, classes)
-    inner = cut(family_links(docs, classes, homes, words, percent), "family-links")
-    roots = cut(connected_components(inner), "family-roots")
-    outer = cut(other_links(docs, classes, lists, homes, roots, words, percent), "other-links")
-    label = classes.select("node", "least").join(roots.withColumnRenamed("root", "_r"), "node", "left").select("node", "least", F.coalesce("_r", "node").alias("near"))
-    if not outer.isEmpty():
-        further = connected_components(outer).select(F.col("node").alias("near"), F.col("root").alias("far"))
-        label = label.join(further, "near", "left").select("node", "least", F.coalesce("far", "near").alias("near"))
-    least = label.groupBy("near").agg(F.min("least").alias("component_id"))
-    label = cut(label.join(least, "near").select("node", "component_id"), "labels")
+    groups = candidate_groups(prefixes(classes), classes, percent)
+    roots = connected_components(confirmed_links(docs, classes, groups, words, percent))
+    label = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    label = cut(label, "roots")
+    least = label.groupBy("root").agg(F.min("least").alias("component_id"))
+    label = cut(label.join(least, "root").select("node", "component_id"), "labels")
     return base.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -355,79 +311,26 @@ def prefixes(classes: DataFrame) -> DataFrame:
     return cut(own.select("node", F.explode(first).alias("t")).select("node", "t.token", "t.c"), "prefixes")
 
 
-def families(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, home): the centre with which a set agrees most, of equal ones the least."""
-    spark = lists.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = lists.join(classes.select("node", "sig"), "node")
-    # a longer list chooses its centre among a bounded part of it
-    parts = F.ceil(F.col("c") / PART)
-    chosen = rows.where((F.col("c") <= PART) | (F.pmod(F.xxhash64("node", F.lit(7)), parts) == 0)).select("token", "node", "sig")
-    found = chosen.repartition(tasks, "token").sortWithinPartitions("token").mapInArrow(_centres, "node long, centre long, agree long")
-    if not (large := cut(lists.where(F.col("c") > PART).select("token").distinct(), "large-lists")).isEmpty():
-        some = chosen.join(large, "token").repartition(tasks, "token").sortWithinPartitions("token").mapInArrow(_tops, "token long, centre long")
-        sigs = classes.select(F.col("node").alias("centre"), F.col("sig").alias("centre_sig"))
-        met = rows.where(F.col("c") > PART).select("token", "node", "sig").join(some.join(sigs, "centre"), "token")
-        found = found.unionByName(met.select("node", "sig", "centre", "centre_sig").mapInArrow(_agreeing, "node long, centre long, agree long"))
-    found = found.where("node <> centre").groupBy("node").agg(F.min(F.struct((-F.col("agree")).alias("minus"), "centre")).alias("best"))
-    return cut(found.select("node", F.col("best.centre").alias("home")), "homes")
-
-
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (token, node, sig) to the centre of each list."""
-    for batch in _by_key(batches):
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        tokens, centres = [], []
-        for a, b in zip((cuts := _bounds(key))[:-1], cuts[1:], strict=True):
-            one = next(_centres(iter([batch.slice(a, b - a)])))
-            tokens.append(int(key[a]))
-            centres.append(one.column(1)[0].as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(centres, pa.int64())], ["token", "centre"])
-
-
-def family_links(docs: DataFrame, classes: DataFrame, homes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) that join the sets of each family as all its pairs would."""
-    hubs = homes.select(F.col("home").alias("node"), "home").distinct()
-    member = homes.unionByName(hubs)
-    sizes = member.join(classes.select("node", "n"), "node").groupBy("home").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    parts = F.greatest(F.ceil(F.col("c") * 2 / PART), F.ceil(F.col("s") * 2 / PART_SHINGLES))
-    parts = F.when((F.col("c") <= PART) & (F.col("s") <= PART_SHINGLES), 1).otherwise(parts)
-    member = cut(member.join(sizes.select("home", parts.alias("p")), "home").select("node", "home", "p"), "families")
-    rows = _whole_sets(docs, classes, member.select("node").distinct(), words).join(_few(member, member.count()), "node").withColumn("lead", F.col("node") == F.col("home"))
-    dealt = _dealt(rows, F.col("home"), F.col("p"), ["node", "n", "shingles", "lead"], 8)
-    return dealt.mapInArrow(_families(percent), "u long, v long").distinct()
-
-
-def other_links(docs: DataFrame, classes: DataFrame, lists: DataFrame, homes: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between components (u, v), given by their roots, of sets that share a list but neither root nor home."""
-    own = classes.select("node", "n", "sig").join(roots, "node", "left").join(homes, "node", "left")
-    own = own.select("node", "n", "sig", F.coalesce("root", "node").alias("root"), F.coalesce("home", "node").alias("home"))
-    rows = lists.join(own.select("node", "root"), "node")
-    mixed = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
-    rows = lists.join(cut(mixed, "mixed-lists"), "token").join(own, "node")
+def candidate_groups(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, root): what chains of sets that share a list and agree in AGREE places join."""
+    rows = lists.join(classes.select("node", "sig", "n"), "node")
     parts = F.when(F.col("c") <= PART, 1).otherwise(F.ceil(F.col("c") * 2 / PART))
-    pairs = _dealt(rows, F.col("token"), parts, ["node", "sig", "n", "home", "root"], 9).mapInArrow(_apart(percent), "u long, v long")
-    pairs = cut(pairs.distinct(), "pairs")
-    sets = _whole_sets(docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), words).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = cut(sets, "pair-sets")
-    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    sure = met.select("u", "v", "x", "y").mapInArrow(_confirmed(percent), "u long, v long")
-    side = lambda c: own.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    return sure.join(side("u"), "u").join(side("v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).where("u <> v").distinct()
-
-
-def _confirmed(percent: int):
-    """(u, v, x, y) to the pairs (u, v) whose shingle sets x and y are linked."""
+    links = _dealt(rows, F.col("token"), parts, ["node", "sig", "n"], 9).mapInArrow(_agreeing(percent), "u long, v long")
+    return cut(connected_components(links), "candidate-groups")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
-                kept.append(bool(_linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), np.int64(len(b)), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return run
+def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) that join the sets of each group (node, root) as all its pairs would."""
+    sizes = groups.join(classes.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    parts = F.greatest(F.ceil(F.col("c") * 2 / PART), F.ceil(F.col("s") * 2 / PART_SHINGLES))
+    parts = F.when((F.col("c") <= PART) & (F.col("s") <= PART_SHINGLES), 1).otherwise(parts)
+    member = groups.join(classes.select("node", "least"), "node").join(sizes.select("root", parts.alias("p")), "root")
+    member = cut(member.select("node", "root", "least", "p"), "group-members")
+    n = member.count()
+    # ids, and then nodes, are broadcast only where they are few
+    texts = docs.join(_few(member.select(F.col("least").alias("_least")).distinct(), n), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
+    rows = texts.mapInArrow(_sets(words), "node long, n long, shingles binary").join(_few(member, n), "node")
+    return _dealt(rows, F.col("root"), F.col("p"), ["node", "n", "shingles"], 8).mapInArrow(_confirmed(percent), "u long, v long")
 
 
 SQL = r"""
