@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import unicodedata
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,78 +70,3 @@ def wratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(T.StringType())
-def fold_any_accents(c: pd.Series) -> pd.Series:
-    """The exact form of fold_accents, for scripts beyond Latin."""
-    return pd.Series([None if x is None else "".join(ch for ch in unicodedata.normalize("NFD", x) if unicodedata.category(ch) != "Mn") for x in c])
-
-
-def first_json(text: str) -> str | None:
-    """The JSON object that a model's answer holds: that of a fenced block, else the first balanced braces."""
-    fence = text.find("```")
-    while fence >= 0:
-        end = text.find("```", fence + 3)
-        if end < 0:
-            break
-        body = text[fence + 3 : end].removeprefix("json").strip()
-        if body.startswith("{"):
-            return body
-        fence = text.find("```", end + 3)
-    start = text.find("{")
-    if start < 0:
-        return None
-    try:
-        return json.dumps(json.JSONDecoder().raw_decode(text[start:])[0])
-    except ValueError:
-        pass
-    depth, quoted, escaped = 0, False, False
-    for i, ch in enumerate(text[start:], start):
-        if quoted:
-            quoted, escaped = (ch != '"' or escaped), (ch == "\\" and not escaped)
-        elif ch == '"':
-            quoted = True
-        elif ch in "{}":
-            depth += 1 if ch == "{" else -1
-            if not depth:
-                return text[start : i + 1]
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def answer_json(c: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else first_json(x) for x in c])
-
-
-class _Page(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.image, self.title, self.heading, self._in = None, None, None, None
-
-    def handle_starttag(self, tag, attrs):
-        found = dict(attrs)
-        if tag == "meta" and found.get("property") == "og:image" and found.get("content"):
-            self.image = found["content"]
-        self._in = tag if tag in ("title", "h1") else self._in
-
-    def handle_endtag(self, tag):
-        self._in = None if tag == self._in else self._in
-
-    def handle_data(self, data):
-        text = data.strip()
-        if text and self._in == "title":
-            self.title = text
-        elif text and self._in == "h1" and self.heading is None:
-            self.heading = text
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("og_image", "page_title", "h1")]))
-def page_parts(html: pd.Series) -> pd.DataFrame:
-    """og:image, the last non-empty title and the first heading, entities decoded."""
-    rows = []
-    for x in html:
-        page = _Page()
-        page.feed(x or "")
-        rows.append((page.image, page.title, page.heading))
-    return pd.DataFrame(rows, columns=["og_image", "page_title", "h1"])

@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.unicode_forms import without_marks
+
 # Words that the stopword-free form drops, segments that carry no information, texts that mean blank.
 STOPWORDS = ("the", "a", "an", "and", "or", "with", "in", "at", "by")
 IGNORED_SEGMENTS = ("cc", "closed caption", "audio description", "reserved seating", "stadium", "no passes", "laser", "amc signature recliners", "prime at amc", "undefined", "•", "")
 BLANK_WORDS = ("undefined", "null", "none", "n/a", "na")
 
 
-def _fold_table() -> tuple[str, str]:
-    """Letters with marks of the Latin blocks, and their bare letters, by Unicode decomposition."""
-    pairs = []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        bare = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
-        if bare != chr(code) and len(bare) == 1:
-            pairs.append((chr(code), bare))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_MARKED, _BARE = _fold_table()
-
-
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
@@ -36,8 +23,8 @@ def squeeze(c: Column) -> Column:
 
 
 def fold_accents(c: Column) -> Column:
-    """Latin letters without their marks, and without combining marks after any letter."""
-    return F.regexp_replace(F.translate(c, _MARKED, _BARE), "[\\u0300-\\u036F]", "")
+    """Letters of any script without their marks."""
+    return without_marks(c)
 
 
 def pre_normalized(c: Column) -> Column:
@@ -92,16 +79,6 @@ def unblank(c: Column) -> Column:
     return F.when(F.lower(c).isin(*BLANK_WORDS), F.lit("")).otherwise(c)
 
 
-def null_word(c: Column) -> Column:
-    """Null for null, blank, `null` and `undefined`; else stripped."""
-    return F.when(F.lower(strip(c)).isin("null", "undefined", ""), F.lit(None).cast("string")).otherwise(strip(c))
-
-
-def first_filled(*columns: Column) -> Column:
-    """The first that isn't null or blank, stripped."""
-    return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in columns])
-
-
 def release_date(c: Column) -> Column:
     """yyyy-m-d as a date; null for sentinels, unparsable texts and years from 2030 on."""
     d = F.try_to_date(c, "yyyy-M-d")

@@ -1,8 +1,8 @@
 """Detection of formats in pipe-delimited attribute strings by a prioritised dictionary.
 
 A result depends on the string and circuit alone, so it is found once for each distinct pair and joined back: a string
-that a third of all rows share is matched once. Segments go through the same sieve: exact forms by equi-joins first,
-and only segments that those leave open meet the whole dictionary.
+that a third of all rows share is matched once. Segments go through the same sieve: exact forms by equi-joins first;
+what those leave open is looked up by the rarest word of each entry and by its beginnings.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
+from tessera.operators import containment
 from tessera.operators.dictionary import approved, first_writer, last_writer
+from tessera.operators.written import cut
 
 # Circuits with a VIP format of their own, and the shortest concatenated form that matches by prefix.
 VIP = (("caribbean cinemas - us territory", "Caribbean VIP"), ("caribbean cinemas - us territories", "Caribbean VIP"), ("cineplex entertainment", "VIP Cineplex"))
@@ -35,16 +37,18 @@ def matched_segments(parts: DataFrame, mappings: DataFrame, exact_concat: bool =
     else:
         found = found.withColumn("id_x", F.lit(None).cast("long"))
     exact = found.withColumn("track", F.when(F.col("id_a").isNotNull(), "A").when(F.col("id_b").isNotNull(), "B").when(F.col("id_x").isNotNull(), "C"))
-    exact = exact.select("seg", "c", "x", F.coalesce("id_a", "id_b", "id_x").alias("id"), "track")
-    rest = exact.where("id is null and (size(c) > 0 or length(x) >= %d)" % PREFIX_LENGTH)
-    keys = words.where("size(norm_c) > 0").select(F.col("id").alias("m"), "tier", "norm_c", "concat")
-    fits = (F.size(F.array_except("norm_c", "c")) == 0) | ((F.length("concat") >= PREFIX_LENGTH) & F.col("x").startswith(F.col("concat")))
-    loose = rest.join(keys, fits).groupBy("seg").agg(F.min_by("m", F.struct("tier", "m")).alias("id"))
+    exact = cut(exact.select("seg", "c", "x", F.coalesce("id_a", "id_b", "id_x").alias("id"), "track"), "segments")
+    rest = exact.where("id is null and (size(c) > 0 or length(x) >= %d)" % PREFIX_LENGTH).select(F.col("seg").alias("key"), F.col("c").alias("words"), F.col("x").alias("letters"))
+    keys = words.where("size(norm_c) > 0").select("id", "tier", F.col("norm_c").alias("words"), F.col("concat").alias("letters"))
+    order = F.struct("tier", "id")
+    hits = containment.by_words(rest, keys, order).unionByName(containment.by_head(rest, keys, order, PREFIX_LENGTH))
+    loose = hits.groupBy("key").agg(F.min("best")["id"].alias("id")).withColumnRenamed("key", "seg")
     return exact.where("id is not null").select("seg", "id", "track").unionByName(loose.select("seg", "id", F.lit("C").alias("track")))
 
 
 def _pairs(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(*columns).distinct()
+    """The distinct values of columns, written once, as several joins read them."""
+    return cut(rows.select(*columns).distinct(), "pairs")
 
 
 def _joined(rows: DataFrame, results: DataFrame, columns: list[str]) -> DataFrame:

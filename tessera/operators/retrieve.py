@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
-from tessera.functions.fuzzy import wratio
 from tessera.functions.titles import conflicting_ordinal
+from tessera.operators import fuzzy_search
 
 # Titles too generic to be a fuzzy match, and catalog ids of known franchise installments.
 JUNK = ("3", "4", "la", "prince", "phoenix", "the order", "night", "king", "nix")
@@ -32,20 +32,58 @@ def by_franchise(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     return found.select("query_id", "id", F.lit(0.95).alias("score"), F.lit("franchise_map").alias("source"))
 
 
-def by_pattern(queries: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, id, rank: the k best titles that contain the query in any case: equal ones first, then the shortest.
+#: Letters of the pieces by which patterns are looked up.
+GRAM = 3
 
-    Containment has no key to join on; the catalog is one reference set, and each distinct query text meets it once.
+
+def _grams(c: Column) -> Column:
+    return F.when(F.length(c) >= GRAM, F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substr(c, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+
+
+def by_pattern(queries: DataFrame, catalog: DataFrame, k: int = 20, empty: bool = False) -> DataFrame:
+    """query_id, id, rank: the k best titles that contain the pattern q in any case: equal ones first, then the shortest.
+
+    % stands for any letters and _ for one, as in ILIKE '%q%' without an escape sign. Titles are posted under their
+    trigrams; a pattern is looked up by that trigram of its literal pieces that fewest titles have, and order and gaps are
+    verified on what it finds. Only patterns without a piece of three letters are compared with each title. A pattern
+    that is empty finds nothing, or every title if `empty` is set; null ones find nothing.
     """
-    texts = queries.select(F.lower("q").alias("_q")).where("_q <> ''").distinct()
-    hits = texts.join(catalog.select("id", "title"), F.lower("title").contains(F.col("_q")))
+    texts = queries.select(F.lower("q").alias("_q")).where("_q is not null" if empty else "_q <> ''").distinct()
+    hits = matching_titles(texts, catalog.select("title"))
+    hits = hits.join(catalog.select("id", "title"), F.lower("title") == F.col("t"))
     order = Window.partitionBy("_q").orderBy(F.lower("title") != F.col("_q"), F.length("title"), "id")
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return queries.withColumn("_q", F.lower("q")).join(best, "_q").select("query_id", "id", "rank")
 
 
+def matching_titles(texts: DataFrame, titles: DataFrame) -> DataFrame:
+    """_q, t: the lower-case titles (title) that contain each of the distinct lower-case patterns (_q)."""
+    pieces = F.split("_q", "[%_]")
+    texts = texts.withColumn("g", F.array_distinct(F.flatten(F.transform(pieces, _grams))))
+    titles = titles.where("title is not null").select(F.lower("title").alias("t")).distinct()
+    posts = titles.select("t", F.explode(F.array_distinct(_grams(F.col("t")))).alias("gram"))
+    count = posts.groupBy("gram").agg(F.count("*").alias("n"))
+    fits = F.like(F.col("t"), F.concat(F.lit("%"), "_q", F.lit("%")), F.lit("\u0001"))
+    rarest = texts.select("_q", F.explode("g").alias("gram")).join(count, "gram", "left")
+    rarest = rarest.groupBy("_q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    hits = rarest.join(posts, "gram").where(fits).select("_q", "t")
+    short = texts.where("size(g) = 0").select("_q")
+    if not short.isEmpty():
+        hits = hits.unionByName(short.join(titles, fits).select("_q", "t"))
+    return hits
+
+
 def by_trigrams(queries: DataFrame, catalog: DataFrame, threshold: float = 0.3, k: int = 20) -> DataFrame:
-    """query_id, id, similarity, rank: the k most similar titles at or above a threshold.
+    """query_id, id, similarity, rank: the k most similar titles at or above a threshold."""
+    pairs = similar_titles(queries.select("q").distinct(), catalog.select("title").distinct(), threshold)
+    hits = pairs.join(catalog.select("id", "title"), "title")
+    order = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return queries.join(best, "q").select("query_id", "id", "similarity", "rank")
+
+
+def similar_titles(texts: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    """q, title, similarity of the distinct texts (q) and distinct titles (title) that are at or above a threshold.
 
     Two sets whose overlap reaches the threshold share one of the rarest trigrams of each, so only a prefix of each set,
     rarest first, is joined; the similarity of the pairs so found is then exact. Distinct texts meet once.
@@ -55,16 +93,12 @@ def by_trigrams(queries: DataFrame, catalog: DataFrame, threshold: float = 0.3,
         size = F.size("s") - F.ceil(F.size("s") * F.lit(threshold)).cast("int") + 1
         return grams.select(name, F.explode(F.slice("s", F.lit(1), size)).alias("s")).select(name, "s.gram")
 
-    texts = queries.select("q").distinct().withColumn("g", sim.trigrams(F.col("q")))
-    titles = catalog.select("title").distinct().withColumn("g", sim.trigrams(F.col("title")))
+    texts = texts.withColumn("g", sim.trigrams(F.col("q")))
+    titles = titles.withColumn("g", sim.trigrams(F.col("title")))
     freq = titles.select(F.explode("g").alias("gram")).unionByName(texts.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
     pairs = prefixes(texts, "q").join(prefixes(titles, "title"), "gram").select("q", "title").distinct()
     pairs = pairs.join(texts.withColumnRenamed("g", "gq"), "q").join(titles.withColumnRenamed("g", "gt"), "title")
-    pairs = pairs.withColumn("similarity", sim.overlap(F.col("gq"), F.col("gt"))).where(F.col("similarity") >= threshold).select("q", "title", "similarity")
-    hits = pairs.join(catalog.select("id", "title"), "title")
-    order = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
-    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return queries.join(best, "q").select("query_id", "id", "similarity", "rank")
+    return pairs.withColumn("similarity", sim.overlap(F.col("gq"), F.col("gt"))).where(F.col("similarity") >= threshold).select("q", "title", "similarity")
 
 
 def cascade(queries: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -84,12 +118,9 @@ def plausible(pairs: DataFrame) -> DataFrame:
 def by_fuzzy(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, score, rank: the best plausible titles by weighted ratio, out of the k + 5 best; score is at most 0.5.
 
-    The ratio has no key, so each distinct text meets every title: texts are dealt over tasks by their hash, and each
-    task keeps the k + 5 best of a text before the shuffle.
+    Only pairs whose upper bound can reach the last of them are scored (see fuzzy_search.best).
     """
-    texts = queries.select("q").where("q is not null").distinct().repartition("q")
-    pairs = texts.crossJoin(catalog.select("id", "title").where("title is not null")).withColumn("score", wratio("q", "title"))
-    near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= k + 5)
+    near = fuzzy_search.best(queries.select(F.col("q").alias("text")), catalog, k + 5).withColumnRenamed("text", "q")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = plausible(queries.select("query_id", "q", "ordinal").join(near, "q"))
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.operators import jobs as j
-from tessera.operators import upsert, verdicts, web
+from tessera.operators import lifetimes, upsert, verdicts, versions, web
 from tessera.operators.written import shared_root
 from tessera.plans import detection, inputs
-from tessera.sources import files
-from tessera.streaming import requests
+from tessera.sources import files, split_csv
+from tessera.streaming import requests, snapshots
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +21,33 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supplier table through a CSV upload with odd headers and values."""
+    """The customer table as an upload of titles, in several files: headers in odd cases, quoted line breaks and commas."""
     path = f"{shared_root(spark)}/upload-{uuid.uuid4().hex}"
-    odd = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.col("s_name"), F.lit('\n"a, b"'))).otherwise(F.col("s_name"))
-    rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(" Key "), odd.alias("Title"), F.lit("2024-01-01").alias("SHOW_DATE"))
-    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    k = F.col("c_custkey")
+    odd = F.when(k % 3 == 0, F.concat(F.col("c_name"), F.lit('\n"a, b"'))).otherwise(F.col("c_name"))
+    link = F.when(k % 4 != 0, F.concat(F.lit("http://tickets.example/"), k)).otherwise("")
+    rows = _t(spark, sf_dir, "customer").orderBy("c_custkey").select(F.lit("2024-01-01").alias("SHOW_DATE"), odd.alias(" Title "), link.alias("Ticketing_URL"), F.col("c_mktsegment").alias("Seg Ment"), F.col("c_nationkey").cast("string").alias("nation"))
+    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return files.title_upload(files.read_csv(spark, path), most=1 << 30)
 
 
-_CSV = """SELECT s_name || CASE WHEN s_suppkey % 3 = 0 THEN chr(10) || '"a, b"' ELSE '' END AS movie_title, '2024-01-01' AS show_date, '' AS country FROM supplier"""
+_CSV = """SELECT '2024-01-01' AS "SHOW_DATE", c_name || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '"a, b"' ELSE '' END AS "Title", CASE WHEN c_custkey % 4 <> 0 THEN 'http://tickets.example/' || c_custkey ELSE '' END AS "Ticketing_URL",
+  c_mktsegment AS "Seg Ment", CAST(c_nationkey AS VARCHAR) AS nation, row_number() OVER (ORDER BY c_custkey) - 1 AS row_index FROM customer"""
+
+
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as CSV text with Windows line ends, blank lines and quoted line breaks, back as numbered rows."""
+    path = f"{shared_root(spark)}/rows-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey")
+    note = F.when(k % 5 == 0, F.concat(F.lit('say ""'), F.col("o_orderpriority"), F.lit('"", '), F.lit("\r\n"), k)).otherwise(F.col("o_orderpriority"))
+    line = F.concat(k.cast("string"), F.lit(',"'), note, F.lit('",'), F.when(k % 7 == 0, F.lit('5" x')).otherwise(F.col("o_orderstatus")), F.when(k % 11 == 0, ",more").otherwise(""), F.lit("\r"), F.when(k % 13 == 0, F.lit("\n\r")).otherwise(""))
+    _t(spark, sf_dir, "orders").orderBy("o_orderkey").select(line).write.text(path)
+    cells = split_csv.read_cells(spark, path, blank_rows=False)
+    return cells.select(F.get("cells", F.lit(0)).cast("long").alias("o_orderkey"), F.get("cells", F.lit(1)).alias("note"), F.get("cells", F.lit(2)).alias("status"), F.get("cells", F.lit(3)).alias("more"))
+
+
+_CSV_ROWS = """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'say "' || o_orderpriority || '", ' || chr(13) || chr(10) || o_orderkey ELSE o_orderpriority END AS note,
+  CASE WHEN o_orderkey % 7 = 0 THEN '5" x' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 11 = 0 THEN 'more' END AS more FROM orders"""
 
 
 def _seed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,8 +306,57 @@ def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select("c_custkey", t.key_hash(F.col("c_name")).alias("key_hash"), t.key_hash(F.col("c_name"), 16).alias("evidence_key"), t.tier_number(tier).cast("long").alias("tier"), web.poster_available(cover).alias("has_poster"))
 
 
+#: Seconds that an answer is kept.
+KEPT = 6 * 3600
+
+
+def cache_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests for answers that are kept for some hours; a few keys have most of them."""
+    e = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id") % 40).alias("key"), "ts", F.concat_ws(":", "event_type", "event_id").alias("own"))
+    return lifetimes.answered(e, F.col("key"), F.col("ts"), "event_id", F.col("own"), KEPT).select("event_id", "key", "cache.answer", "cache.hit")
+
+
+_LIFETIMES = f"""WITH RECURSIVE e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 40 END AS key, epoch_us(ts) AS us, event_type || ':' || event_id AS own FROM events),
+  t AS (SELECT key, us, min(event_id) AS first, arg_min(own, event_id) AS own FROM e GROUP BY key, us),
+  s AS (SELECT key, min(us) AS started FROM t GROUP BY key UNION ALL SELECT s.key, min(t.us) FROM s JOIN t ON t.key = s.key AND t.us >= s.started + {KEPT} * 1000000::BIGINT GROUP BY s.key, s.started)
+  SELECT e.event_id, e.key, t.own AS answer, e.event_id <> t.first AS hit FROM s JOIN t ON t.key = s.key AND t.us = s.started JOIN e ON e.key = s.key AND e.us >= s.started AND e.us < s.started + {KEPT} * 1000000::BIGINT"""
+
+
+def dictionary_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as strings to detect under a dictionary that other events change: they create, approve and delete entries."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    n = F.col("event_id") % 8
+    word = F.concat(F.lit("Screen "), F.col("user_id") % 9)
+    action = F.when(n < 2, "create").when(n < 5, "approve").otherwise("delete")
+    changes = e.where("event_type = 'error'").select((F.col("user_id") % 9).alias("id"), F.col("ts").alias("at"), action.alias("action"), word.alias("keyword"), F.concat(F.lit("format "), "event_id").alias("format"))
+    rows = e.where("event_type <> 'error'").select("event_id", F.upper(word).alias("text"), F.col("ts").alias("at"))
+    return versions.detected_at(rows, changes).select("event_id", "text", "format")
+
+
+_ASOF = """WITH c AS (SELECT 'screen ' || user_id % 9 AS key, ts, event_id % 8 AS n, 'format ' || event_id AS format FROM events WHERE event_type = 'error'),
+  r AS (SELECT event_id, 'SCREEN ' || user_id % 9 AS text, lower('screen ' || user_id % 9) AS key, ts FROM events WHERE event_type <> 'error')
+  SELECT event_id, text, CASE WHEN c.n BETWEEN 2 AND 4 THEN c.format END AS format FROM r ASOF LEFT JOIN c ON r.key = c.key AND r.ts >= c.ts"""
+
+
+def streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last order of each customer, as a stream of three chunks of orders leaves it."""
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderstatus", "o_orderpriority", "o_orderkey")
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    third = F.lit(0) if low is None else F.floor((F.col("o_orderkey") - low) * 3 / (high - low + 1))
+    table = snapshots.Snapshots(spark, f"{root}/table", ["id"], "o_orderkey")
+    for k in range(3):
+        orders.where(third == k).write.mode("append").parquet(f"{root}/in")
+        snapshots.keep_current(spark.readStream.schema(orders.schema).parquet(f"{root}/in"), table, f"{root}/checkpoint").awaitTermination()
+    return table.table()
+
+
 QUERIES = {
+    "cache_lifetimes": (cache_lifetimes, _LIFETIMES),
+    "dictionary_asof": (dictionary_asof, _ASOF),
+    "streamed_upsert": (streamed_upsert, "SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey"),
     "csv_upload": (csv_round_trip, _CSV),
+    "csv_rows": (csv_rows, _CSV_ROWS),
     "catalog_pick": (lambda s, d: _picked(s, d).select("n", "id", "raw_title", "tag", "skipped"), f"WITH {_SEED} SELECT n, id, raw_title, tag, skipped FROM rows"),
     "upsert_by_id": (lambda s, d: _by_id(s, d)[0], f"WITH {_MERGED} SELECT * FROM merged"),
     "upsert_counts": (lambda s, d: upsert.counts(*_by_id(s, d), F.col("skipped")), f"WITH {_MERGED} SELECT {_COUNTED}, (SELECT count(*) FILTER (WHERE skipped) FROM rows) AS skipped, 0::BIGINT AS skipped_undefined FROM merged"),

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tessera.plans import detection, feeds, titles
+from tessera.plans import detection, feeds, markets, titles
 
-QUERIES = {**detection.QUERIES, **titles.QUERIES, **feeds.QUERIES}
+QUERIES = {**detection.QUERIES, **titles.QUERIES, **markets.QUERIES, **feeds.QUERIES}

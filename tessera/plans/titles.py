@@ -9,7 +9,8 @@ from tessera.functions import similarity as sim
 from tessera.functions import text as t
 from tessera.functions import titles as ti
 from tessera.functions.fuzzy import ratio, wratio
-from tessera.operators import decide, retrieve
+from tessera.functions.unicode_forms import repaired
+from tessera.operators import decide, retrieve, vector_index
 from tessera.plans import inputs
 
 # A small catalog of titles, release dates and parents.
@@ -312,22 +313,44 @@ REASONING_SQL = f"""{CANDIDATES_SQL} SELECT query_id, 'The title ''' || cleaned
   CASE date_window WHEN 'EXACT' THEN 'Release date matches show date exactly.' WHEN 'NEAR' THEN 'Release date is within 30 days of show date.' WHEN 'YEAR' THEN 'Release date is within one year of show date.' ELSE 'No date proximity signal available.' END AS reasoning FROM placed WHERE place = 1"""
 
 
-#: Queries whose vectors are broadcast at once.
-_VECTOR_BLOCK = 5_000
+def title_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A title for each part, in every third row as it is, else read in the wrong encoding once or twice, and mended."""
+    k = F.col("p_partkey")
+    whole = F.concat(F.lit("Élodie – “"), "p_name", F.lit("” à "), "p_brand", F.when(k % 2 == 0, F.lit(" 映画")).otherwise(""))
+    wrong = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    raw = F.when(k % 3 == 0, whole).when(k % 3 == 1, wrong(whole)).otherwise(wrong(wrong(whole)))
+    return inputs.table(spark, sf_dir, "part").select(k.alias("query_id"), repaired(raw).alias("title"))
+
+
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_topk by the inverted-file index."""
+    v = inputs.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = vector_index.search(v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), vector_index.build(v))
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
+def pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern for each part, made of its name: empty, with wildcards, of two letters, and as it is."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    pattern = (
+        F.when(k % 7 == 0, "").when(k % 7 == 1, F.replace(name, F.lit(" "), F.lit("%"))).when(k % 7 == 2, F.concat(F.left(name, F.lit(2)), F.lit("_"), F.substr(name, F.lit(4))))
+        .when(k % 7 == 3, F.left(name, F.lit(2))).when(k % 7 == 4, F.upper(name)).when(k % 7 == 5, F.concat(F.right(name, F.lit(4)), F.lit("%"))).otherwise(F.concat(F.lit("%"), F.left(name, F.lit(1)), F.lit("_%"), F.right(name, F.lit(3))))
+    )
+    q = inputs.table(spark, sf_dir, "part").select(k.alias("query_id"), pattern.alias("q"))
+    return retrieve.by_pattern(q, catalog(spark, sf_dir), empty=True)
+
+
+PATTERN_SQL = f"""WITH {CATALOG_SQL}, q AS (SELECT p_partkey AS query_id, lower(CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN replace(p_name, ' ', '%') WHEN 2 THEN left(p_name, 2) || '_' || substr(p_name, 4)
+  WHEN 3 THEN left(p_name, 2) WHEN 4 THEN upper(p_name) WHEN 5 THEN right(p_name, 4) || '%' ELSE '%' || left(p_name, 1) || '_%' || right(p_name, 3) END) AS q FROM part),
+best AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY lower(title) <> q, length(title), id) AS rank FROM (SELECT DISTINCT q FROM q) JOIN catalog ON title ILIKE '%' || q || '%' QUALIFY rank <= 20)
+SELECT query_id, id, rank FROM q JOIN best USING (q)"""
 
 
 def _nearest_titles(spark: SparkSession, sf_dir: str, queries: DataFrame, c: DataFrame, k: int) -> DataFrame:
-    """The nearest catalog rows of each query that has a vector, by blocks of queries; the vector of a part's title is that of its number."""
+    """The nearest catalog rows of each query that has a vector; the vector of a part's title is that of its number."""
     v = inputs.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     titles = c.join(v, F.col("id") == F.col("vec_id") + 200000).select("id", "v")
-    asked = queries.join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "v")
-    blocks = -(-asked.count() // _VECTOR_BLOCK)
-    # a hash deals unevenly: blocks hold half of what nearest() takes
-    parts = [retrieve.nearest(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), titles, k) for b in range(blocks)]
-    out = spark.createDataFrame([], "query_id long, id long, cosine double, rank int")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    return retrieve.nearest(queries.join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "v"), titles, k)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,6 +425,9 @@ QUERIES = {
     "director_ratio": (director_ratio, DIRECTOR_SQL),
     "bm25": (bm25, f"{_W}{BM25_SQL} SELECT query_id, id, round(bm25, 6) AS bm25, rank FROM lexical"),
     "vector_topk": (vector_topk, f"WITH {NEAR_SQL} SELECT query_id, id, round(cosine, 6) AS cosine, rank FROM near"),
+    "title_repair": (title_repair, "SELECT p_partkey AS query_id, 'Élodie – “' || p_name || '” à ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN ' 映画' ELSE '' END AS title FROM part"),
+    "vector_index_topk": (vector_index_topk, None),
+    "pattern_search": (pattern_search, PATTERN_SQL),
     "hybrid_search": (hybrid_search, HYBRID_SQL),
     "composite_rank": (composite_rank, f"{CANDIDATES_SQL} SELECT query_id, id, date_window, round(composite, 6) AS composite, place FROM placed"),
     "decision": (decision, DECISION_SQL),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.split_csv import read_table
+
 #: Rows of an upload, at most.
 MOST_ROWS = 10_000
 # Words that stand for no value, in lower case, and what a failed row says of its title.
@@ -12,28 +14,39 @@ NULL_WORDS = ("", "null", "undefined")
 FAILED_TITLE, FAILED_CONFIDENCE, FAILED_PRESENT = "", 0, "No"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings; quoted fields may hold line breaks, a byte order mark is dropped, bad bytes are replaced."""
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    df = df.toDF(*(c.strip().removeprefix("\ufeff").strip() for c in df.columns))
-    return df.withColumn(df.columns[-1], F.regexp_replace(F.col(f"`{df.columns[-1]}`"), "\r$", "")) if df.columns else df  # lines may end in \r\n
+def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The rows of uploaded CSV files, all columns as strings under headers in their own case, with row_index in file
+    order; read in byte ranges (see split_csv.read_table)."""
+    return read_table(spark, path)
+
+
+# Columns that an upload of titles must have, the column that it must also have for the international
+# market, and the other name of the first one.
+UPLOAD_COLUMNS, UPLOAD_INTERNATIONAL, UPLOAD_TITLE = ("movie_title", "show_date", "ticketing_url"), "country", "title"
+
+
+def upload_fields(df: DataFrame) -> dict[str, Column]:
+    """movie_title, show_date, ticketing_url and country of an upload, whatever the case of its headers; title serves as
+    movie_title where there is none. Null cells and missing columns are blank."""
+    by_name = {c.strip().lower(): c for c in df.columns}
+    if UPLOAD_TITLE in by_name:
+        by_name.setdefault(UPLOAD_COLUMNS[0], by_name[UPLOAD_TITLE])
+    return {n: F.coalesce(F.col(f"`{by_name[n]}`"), F.lit("")) if n in by_name else F.lit("") for n in (*UPLOAD_COLUMNS, UPLOAD_INTERNATIONAL)}
 
 
 def title_upload(df: DataFrame, market: str = "domestic", most: int = MOST_ROWS) -> DataFrame:
-    """df with movie_title, show_date and country, whatever the case of its headers; title serves as movie_title.
+    """df as it is, once its headers and its rows have been checked.
 
-    A ValueError names the columns that are missing (country only for the international market), or says that there
-    are too many rows. Null cells are blank.
+    A ValueError names the columns that are missing, in any case of their letters (country only for the international
+    market; title serves as movie_title), or says that there are more than `most` rows.
     """
-    by_name = {c.strip().lower(): c for c in df.columns}
-    if "movie_title" not in by_name and "title" in by_name:
-        by_name["movie_title"] = by_name["title"]
-    needed = ["movie_title", "show_date"] + (["country"] if market == "international" else [])
-    if missing := [c for c in needed if c not in by_name]:
+    have = {c.strip().lower() for c in df.columns}
+    needed = [*UPLOAD_COLUMNS, *([UPLOAD_INTERNATIONAL] if market == "international" else [])]
+    if missing := [c for c in needed if c not in have and not (c == UPLOAD_COLUMNS[0] and UPLOAD_TITLE in have)]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     if df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows")
-    return df.select(*(F.coalesce(F.col(f"`{by_name[c]}`"), F.lit("")).alias(c) if c in by_name else F.lit("").alias(c) for c in ("movie_title", "show_date", "country")))
+    return df
 
 
 def filled(c: Column) -> Column:

@@ -13,11 +13,14 @@ from tessera.streaming import requests
 
 
 def test_upload_checks(spark, tmp_path):
-    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf Title ,SHOW_DATE\r\n\"A \"\"b\"\", c\",2024-01-02\r\nx\xff,\r\n")
-    rows = files.title_upload(files.read_csv(spark, str(tmp_path / "a.csv"))).collect()
-    assert [r["show_date"] for r in rows] == ["2024-01-02", ""] and rows[0]["movie_title"] == 'A "b", c' and rows[1]["movie_title"][0] == "x"
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf Title ,SHOW_DATE,ticketing_url\r\n\"A \"\"b\"\", c\",2024-01-02,\r\nx\xff,,u\r\n")
+    df = files.title_upload(files.read_csv(spark, str(tmp_path / "a.csv")))
+    rows = df.orderBy("row_index").select(*[c.alias(n) for n, c in files.upload_fields(df).items()]).collect()
+    assert [r["show_date"] for r in rows] == ["2024-01-02", ""] and rows[0]["movie_title"] == 'A "b", c' and rows[1]["movie_title"] == "x\ufffd"
     with pytest.raises(ValueError, match="country"):
         files.title_upload(files.read_csv(spark, str(tmp_path / "a.csv")), "international")
+    with pytest.raises(ValueError, match="ticketing_url"):
+        files.title_upload(files.read_csv(spark, str(tmp_path / "a.csv")).drop("ticketing_url"))
     with pytest.raises(ValueError, match="more than 1 rows"):
         files.title_upload(files.read_csv(spark, str(tmp_path / "a.csv")), most=1)
 
