@@ -17,7 +17,10 @@ TEMPLATES = {
         "Released under the MIT License. Licensed under the MIT license. This project is licensed under the terms of the MIT License. SPDX-License-Identifier: MIT "
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+        "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
@@ -38,7 +41,33 @@ TEMPLATES = {
     ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. SPDX-License-Identifier: BSD-3-Clause"
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors "
+        "may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES SPDX-License-Identifier: BSD-3-Clause"
+    ),
+    "LGPL-2.1": (
+        "Licensed under the GNU Lesser General Public License, version 2.1. This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. SPDX-License-Identifier: LGPL-2.1-or-later LGPL-2.1-only"
+    ),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. SPDX-License-Identifier: AGPL-3.0-or-later AGPL-3.0-only"
+    ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License. SPDX-License-Identifier: BSD-2-Clause Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+    ),
+    "ISC": (
+        "Licensed under the ISC License. Released under the ISC license. SPDX-License-Identifier: ISC Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    ),
+    "Unlicense": (
+        "Released under the Unlicense. SPDX-License-Identifier: Unlicense This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. For more information, please refer to http://unlicense.org"
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. Licensed under the Mozilla Public License 2.0. SPDX-License-Identifier: MPL-2.0",
     "CC-BY-4.0": "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License. SPDX-License-Identifier: CC-BY-4.0",
@@ -49,7 +78,11 @@ TEMPLATES = {
 }
 
 #: Lower-case wordings one of which every block of interest has.
-CUES = (b"licen", b"copyright", b"spdx-", b"all rights reserved", b"permission is hereby", b"cc by", b"cc0", b"creative commons", b"redistribution")
+CUES = (b"licen", b"copyright", b"spdx-", b"all rights reserved", b"permission is hereby", b"cc by", b"cc0", b"creative commons", b"redistribution", b"public domain", b'"as is"')
+# Words that tell licenses of like wording apart; versions and identifiers do so by their form.
+DECISIVE = {"lesser", "affero", "sharealike", "noncommercial", "noderivatives", "attribution-sharealike", "attribution-noncommercial", "attribution-noderivatives", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd", "2-clause", "3-clause", "4-clause", "neither"}
+_VERSION = re.compile(r"v?(\d(?:\.\d+)*?)(?:\.0)*")
+_IDENTIFIER = re.compile(r"(?:[al]?gpl|bsd|cc-by|cc0|mpl|apache|epl|artistic)-.*\d.*")
 
 _SENTENCE = re.compile(rb"(?<=[.!?:;]) ")
 _WORDS = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
@@ -85,6 +118,17 @@ def blocks(text: bytes, longest: int = 400, gap: int = 2) -> list[tuple[int, int
     return out
 
 
+def decisive(words: list[str]) -> set[str]:
+    """Versions (one figure, with or without others behind points), identifiers and DECISIVE words among lower-case words."""
+    out = set()
+    for w in words:
+        if m := _VERSION.fullmatch(w):
+            out.add(m[1])
+        elif w in DECISIVE or _IDENTIFIER.fullmatch(w):
+            out.add(w)
+    return out
+
+
 class Templates:
     """Compressors for blocks with each template as their dictionary, made once in a worker."""
 
@@ -93,6 +137,7 @@ class Templates:
         self.bare = zstandard.ZstdCompressor(**options)
         self.given = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for k, t in templates.items()}
         self.words = {k: _WORDS.findall(t.lower()) for k, t in templates.items()}
+        self.decisive = {k: decisive(w) for k, w in self.words.items()}
 
     def ranked(self, block: bytes) -> list[tuple[float, str]]:
         """(share of the compressed size that the template saves, name), best first."""
@@ -134,6 +179,8 @@ def _best(block: bytes, templates: Templates, least_saved: float, most_changed:
         if saved < least_saved:
             break
         equal, missing, extra = templates.differences(block, name)
+        if decisive(missing) - decisive(_WORDS.findall(block.decode(errors="replace").lower())) or decisive(extra) - templates.decisive[name]:
+            continue  # another version, or another clause
         changed = (len(missing) + len(extra)) / max(1, equal + len(missing) + len(extra))
         if changed <= most_changed:
             out.append((changed, -saved, name, equal, missing, extra))
@@ -144,7 +191,8 @@ def found_in(text: bytes, templates: Templates, least_saved: float = 0.25, most_
     """Licenses of a text's candidate blocks, and of the lines and sentences with a cue in them.
 
     Of the templates that save enough, the one with the fewest wording differences wins, if at most most_changed of the
-    words differ. A part counts where its winner is no license of what holds it, or fits strictly better than that one.
+    words differ and none that decides does: a version, an identifier or a word of DECISIVE that only one of the two has
+    rules the license out. A part counts where its winner is no license of what holds it, or fits strictly better than that one.
     A block that goes on from one of the same license lengthens its row: words add up, saved is the mean by bytes.
     """
     out: list[dict] = []

@@ -62,3 +62,32 @@ def test_pieces_of_two_licenses_stay_apart():
     whole = [r for r in found_in(text, own) if r["end_byte"] - r["first_byte"] > 400]
     assert {r["license"] for r in whole} == {"A", "B"}
     assert max(r["end_byte"] - r["first_byte"] for r in whole) < len(text)
+
+
+MIT_BODY = TEMPLATES["MIT"][TEMPLATES["MIT"].index("Permission is hereby") :]
+BSD_2 = TEMPLATES["BSD-2-Clause"][TEMPLATES["BSD-2-Clause"].index("Redistribution and use") :]
+BSD_3 = TEMPLATES["BSD-3-Clause"][TEMPLATES["BSD-3-Clause"].index("Redistribution and use") :].split(" SPDX")[0]
+ISC_BODY = TEMPLATES["ISC"][TEMPLATES["ISC"].index("Permission to use") :]
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Licensed under the GNU Lesser General Public License v2.1", "LGPL-2.1"), ("Licensed under the GNU Lesser General Public License v3.0", "LGPL-3.0"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU General Public License v3.", "GPL-3.0"), ("Licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"), (BSD_2, "BSD-2-Clause"), (BSD_3, "BSD-3-Clause"), (ISC_BODY, "ISC"),
+        (MIT_BODY, "MIT"), (MIT_BODY.replace(". ", ".\n\n"), "MIT"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("Released under the ISC license.", "ISC"),
+        (TEMPLATES["Unlicense"][TEMPLATES["Unlicense"].index("This is free") :], "Unlicense"),
+    ],
+)
+def test_versions_and_clauses_decide(templates, text, name):
+    assert {x for x, _ in licenses(text, templates)} == {name}
+
+
+@pytest.mark.parametrize("text", ["Licensed under the GNU General Public License, version 1.", "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-ND 4.0.", "Licensed under the Mozilla Public License 1.1."])
+def test_versions_without_a_template_have_no_license(templates, text):
+    assert licenses(text, templates) == []
+
+
+def test_a_whole_body_counts_all_its_words(templates):
+    (row,) = found_in(MIT_BODY.encode(), templates)
+    assert row["verbatim"] and row["n_equal"] > 150
