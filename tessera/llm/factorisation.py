@@ -46,9 +46,7 @@ def features(data: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> np.ndar
     bucket = (hashes % np.uint64(WIDTH)).astype(np.int64)
     words = np.sqrt(np.bincount(doc * WIDTH + bucket, minlength=n * WIDTH).reshape(n, WIDTH))
     out[:, :WIDTH] = words / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-9)
-    total = np.zeros((len(data) + 1, _CLASSES.shape[1]), np.int64)
-    np.cumsum(_CLASSES[data], axis=0, out=total[1:])
-    kinds = total[bounds[1:]] - total[bounds[:-1]]
+    kinds = _counted(data, bounds)
     lengths = np.diff(bounds)
     stats = out[:, WIDTH:]
     stats[:, :7] = kinds / np.maximum(lengths, 1)[:, None]
@@ -63,6 +61,19 @@ def features(data: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> np.ndar
     return out
 
 
+#: Bytes of a text whose classes are counted at once.
+PIECE = 1 << 20
+
+
+def _counted(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of class counts for each document, by pieces of its bytes, so that a long one takes no more memory."""
+    out = np.zeros((len(bounds) - 1, _CLASSES.shape[1]), np.int64)
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        for at in range(a, b, PIECE):
+            out[k] += np.bincount(data[at : min(b, at + PIECE)], minlength=256) @ _CLASSES
+    return out
+
+
 def _distinct(keys: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     order = np.lexsort((keys, doc))
     k, d = keys[order], doc[order]
