@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
 from tessera.operators import retrieve
+from tessera.operators.written import cut
 
 
 def _words(c: Column) -> Column:
@@ -76,14 +77,14 @@ def by_title(queries: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
     without a country search all rows; rows without one are found by these only. Null and empty queries find nothing.
     """
     # a text and its country are one key: the searches take countries as separate catalogs under one roof
-    asked = queries.where("q is not null and q <> ''").select("query_id", "q", "country")
+    asked = cut(queries.where("q is not null and q <> ''").select("query_id", "q", "country"), "scoped-queries")
     rows = _scopes(catalog.select("id", "title", "master_title", "country"))
     ways = []
     left = asked
     for method, column in (("title", "title"), ("master", "master_title"), ("trigram", "title")):
         own = rows.where(F.col(column).isNotNull()).select("id", F.col(column).alias("title"), "scope")
         find = _trigrams if method == "trigram" else _patterns
-        hits = find(left, own, k)
+        hits = cut(find(left, own, k), f"{method}-hits")
         ways.append(hits.withColumn("method", F.lit(method)))
         left = left.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     return reduce(DataFrame.unionByName, ways)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.titles import conflicting_ordinal, without_brackets
+from tessera.operators import scoped
+
 # Thresholds and labels of decisions.
 ACCEPTED = 0.90
 MOST_SURE = 0.97
@@ -74,6 +77,42 @@ def post_lookup(results: DataFrame, attempts: DataFrame, catalog: DataFrame, int
     )
 
 
+def searched_again(results: DataFrame, attempts: DataFrame, catalog: DataFrame, k: int = 20) -> DataFrame:
+    """results that name a film without an id, looked up again by title: movie_id, canonical_id, title, confidence,
+    decision, reasoning and looked_up after it; all other columns and rows stay.
+
+    results: query_id, movie_id, title, confidence, decision, reasoning, ordinal (of the query or of the title named, if
+    either has one), country, international. attempts: query_id, rank, title, the titles to try, least rank first: for an
+    international row that of a re-release, then the film named, then its other name. catalog: id, title, master_title,
+    country; domestic rows search titles alone, in all rows.
+
+    Each title is searched without its bracketed parts (scoped.by_title, within the row's country). Hits of another
+    installment than the ordinal are left out, and the first hit of the first attempt that keeps any is the film. An
+    international row is then sure enough to be accepted; another is not, and one that was accepted before goes to
+    review. Decisions on other kinds of events stay. Rows with an id, or whose title is blank or Unknown, stay as they are.
+    """
+    open_rows = results.where((F.col("movie_id") == 0) & (F.trim(F.coalesce("title", F.lit(""))) != "") & (F.col("title") != "Unknown"))
+    keys = open_rows.select("query_id", F.col("country").alias("_c"), F.col("international").alias("_i"), F.col("ordinal").alias("_n"))
+    bare = without_brackets(F.col("title"))
+    tries = attempts.where("title is not null").join(keys, "query_id").select(F.struct("query_id", "rank").alias("query_id"), F.when(bare != "", bare).otherwise(F.col("title")).alias("q"), "_c", "_i", "_n")
+    abroad = scoped.by_title(tries.where("_i").select("query_id", "q", F.col("_c").alias("country")), catalog, k)
+    home = scoped.by_title(tries.where("not _i").select("query_id", "q", F.lit(None).cast("string").alias("country")), catalog.withColumn("master_title", F.lit(None).cast("string")), k)
+    hits = abroad.unionByName(home).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.rank").alias("attempt"), "rank", "id").join(catalog.select("id", "title"), "id").join(keys, "query_id")
+    conflict = F.coalesce((F.col("_n") > 0) & conflicting_ordinal(F.col("title"), F.col("_n")), F.lit(False))
+    best = hits.where(~conflict).groupBy("query_id").agg(F.min_by(F.struct("id", "title"), F.struct("attempt", "rank")).alias("_film"))
+    both = results.join(best, "query_id", "left")
+    hit, inter = F.col("_film").isNotNull(), F.coalesce("international", F.lit(False))
+    decision = F.when(inter & (F.col("decision") == "REVIEW"), "AUTO_ACCEPT").when(~inter & (F.col("decision") == "AUTO_ACCEPT"), "REVIEW").otherwise(F.col("decision"))
+    why = F.when(decision == "AUTO_ACCEPT", "accepted").when(decision.startswith("REVIEW_"), F.concat(F.lit("left in "), decision, F.lit(" for its kind of event"))).when(inter, "left in REVIEW").otherwise("left in REVIEW, as no country confirms the title")
+    reason = F.concat(F.lit("A second search by title found '"), "_film.title", F.lit("' (id "), "_film.id", F.lit("); the row is "), why, F.lit(". Before: "), F.coalesce("reasoning", F.lit("")))
+    new = {
+        "movie_id": F.when(hit, F.col("_film.id")).otherwise(F.col("movie_id")), "canonical_id": F.when(hit, F.col("_film.id")), "title": F.when(hit, F.col("_film.title")).otherwise(F.col("title")),
+        "confidence": F.when(hit, F.when(inter, LOOKUP_INTERNATIONAL).otherwise(LOOKUP_DOMESTIC)).otherwise(F.col("confidence")), "decision": F.when(hit, decision).otherwise(F.col("decision")),
+        "reasoning": F.when(hit, reason).otherwise(F.col("reasoning")), "looked_up": hit,
+    }
+    return both.select(*[F.col(f"`{c}`") for c in results.columns if c not in new], *[c.alias(n) for n, c in new.items()])
+
+
 def anniversary(show: Column, original: Column, release: Column, ordinal: Column) -> tuple[Column, Column, Column]:
     """(anniversary number, band, cap of the confidence) of a re-release row against a show date.
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Platform and tier by host; any other host is generic, tier T1.
 PLATFORMS = (
@@ -42,6 +46,55 @@ def facts(html: Column) -> dict[str, Column]:
     return {"has_image": image != "", "title": title, "heading": F.when(F.trim(heading) != "", F.trim(heading)), "outcome": F.when((image != "") | title.isNotNull(), "SUCCESS").otherwise("FAILED_T1")}
 
 
+class _Page(HTMLParser):
+    """og:image, the last title that isn't blank, and the first heading that isn't, tags within them left out."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.found: dict[str, str | None] = {"og_image": None, "title": None, "heading": None}
+        self._open: dict[str, list[str]] = {}
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "meta":
+            of = dict(attrs)
+            if (of.get("property") or "").lower() == "og:image":
+                self.found["og_image"] = of.get("content")
+        elif tag == "title" or tag == "h1" and self.found["heading"] is None:
+            self._open[tag] = []
+
+    def handle_endtag(self, tag: str) -> None:
+        if (text := "".join(self._open.pop(tag, [])).strip()):
+            self.found["title" if tag == "title" else "heading"] = text
+
+    def handle_data(self, data: str) -> None:
+        # a title within a heading is the title's
+        for tag in ("title", "h1"):
+            if tag in self._open:
+                self._open[tag].append(data)
+                break
+
+
+#: Characters of a page that are read.
+MOST_HTML = 50_000
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("og_image", "title", "heading")]))
+def parts(html: pd.Series) -> pd.DataFrame:
+    """og_image, title and heading of the first MOST_HTML characters of each page, entities decoded and nested tags left
+    out: the title is the last one that isn't blank, the heading the first. Null pages have none."""
+    rows = []
+    for text in html:
+        page = _Page()
+        page.feed((text or "")[:MOST_HTML])
+        rows.append(page.found)
+    return pd.DataFrame(rows, columns=["og_image", "title", "heading"])
+
+
+def outcome(parts: Column) -> Column:
+    """SUCCESS where a page has an image or a title."""
+    return F.when((F.coalesce(parts["og_image"], F.lit("")) != "") | parts["title"].isNotNull(), "SUCCESS").otherwise("FAILED_T1")
+
+
 def poster_available(c: Column) -> Column:
     """Not blank, and no stand-in for a missing picture."""
     return (F.trim(F.coalesce(c, F.lit(""))) != "") & ~F.lower(F.coalesce(c, F.lit(""))).contains("noimage")

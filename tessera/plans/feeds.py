@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.operators import jobs as j
-from tessera.operators import lifetimes, upsert, verdicts, versions, web
+from tessera.operators import lifetimes, postings, upsert, verdicts, versions, web
 from tessera.operators.written import shared_root
 from tessera.plans import detection, inputs
 from tessera.sources import files, split_csv
@@ -156,8 +156,12 @@ _PATCHED = f"""{_MAPPINGS}, p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey %
 
 
 def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings before and after patches, deletions and new rows."""
     before = _mappings(spark, sf_dir)
-    return j.audit_entries(before, j.patched(before, _patches(spark, sf_dir)), "id").select("entity_id", "action", F.get_json_object("before_json", "$.status").alias("before_status"), F.get_json_object("after_json", "$.status").alias("after_status"), F.get_json_object("after_json", "$.keyword").alias("after_keyword"))
+    after = j.patched(before, _patches(spark, sf_dir))
+    after = after.where("id % 13 <> 0").unionByName(after.where("id % 17 = 0").withColumn("id", F.col("id") + 1_000_000))
+    field = lambda c, n: F.get_json_object(c, f"$.{n}")
+    return j.audit_entries(before, after, "id").select("entity_id", "action", field("before_json", "status").alias("before_status"), field("after_json", "status").alias("after_status"), field("after_json", "keyword").alias("after_keyword"))
 
 
 def bulk_approve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,6 +303,39 @@ _FACTS = r"""WITH f AS (SELECT page_id, html, list_filter(list_transform(regexp_
   WHEN regexp_extract(x, '(?i)(\d+)\s*(?:minutes|min)', 1) <> '' THEN TRY_CAST(regexp_extract(x, '(?i)(\d+)\s*(?:minutes|min)', 1) AS BIGINT) END AS minutes FROM f"""
 
 
+def movie_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with a user's format: every fifth one is another, every third has other letters and blanks."""
+    found = detection.detect_movie(spark, sf_dir)
+    k = F.col("row_id")
+    return files.movie_output(found.withColumn("user_format", F.when(k % 5 == 0, "4DX").when(k % 3 == 0, F.concat(F.lit(" "), F.lower("movie_format"))).otherwise(F.col("movie_format"))), diagnostics=True, audit=True)
+
+
+_MOVIE_OUT = f"""SELECT coalesce(amenity, '') AS amenities_string, CASE WHEN row_id % 5 = 0 THEN '4DX' WHEN row_id % 3 = 0 THEN ' ' || lower(movie_format) ELSE movie_format END AS movie_format, coalesce(matched_keyword, '') AS detected_keyword, match_source, match_track, confidence,
+  '' AS ai_suggested_format, '' AS ai_reasoning, movie_format AS detected_format, CASE WHEN row_id % 5 = 0 AND movie_format <> '4DX' THEN 'TRUE' ELSE 'FALSE' END AS anomaly, '' AS reasoning, fired_ai, row_id FROM ({detection.MOVIE_SQL})"""
+
+
+def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages between a heading with a nested tag and an entity, and a title with one."""
+    k = F.col("page_id")
+    html = F.concat(F.lit("<title> </title><h1>Caf&eacute; <i>No. </i>"), k, F.lit("</h1>"), F.coalesce("html", F.lit("")), F.lit("<title>End &amp; "), k, F.lit("</title>"))
+    pages = _t(spark, sf_dir, "pages").select("page_id", web.parts(html).alias("p"))
+    return pages.select("page_id", "p.title", "p.heading", (F.coalesce("p.og_image", F.lit("")) != "").alias("has_image"), web.outcome(F.col("p")).alias("outcome"))
+
+
+_PARTS = """SELECT page_id, 'End & ' || page_id AS title, 'Café No. ' || page_id AS heading, regexp_extract(coalesce(html, ''), '(?is)<meta[^>]*property="og:image"[^>]*content="([^"]+)"', 1) <> '' AS has_image, 'SUCCESS' AS outcome FROM pages"""
+
+
+def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a few keys, of which one has half of all, with the answer of their key, by way of row lists."""
+    e = _t(spark, sf_dir, "events")
+    key = F.when(F.col("user_id") % 2 == 0, -1).otherwise(F.col("user_id") % 30)
+    answers = _t(spark, sf_dir, "customer").where("c_custkey < 20").select((F.col("c_custkey") - 2).alias("key"), F.col("c_name").alias("answer"))
+    return postings.answered(postings.posted(e, key, F.col("event_id")), answers).select("row_id", "key", "answer")
+
+
+_FANNED = "SELECT event_id AS row_id, e.key, c_name AS answer FROM (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN -1 ELSE user_id % 30 END AS key FROM events) e LEFT JOIN customer ON c_custkey < 20 AND c_custkey - 2 = e.key"
+
+
 def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     tier = F.when(k % 9 == 0, "Px").when(k % 2 == 0, F.concat(F.lit("P"), k % 6)).otherwise((k % 6).cast("string"))
@@ -362,13 +399,13 @@ QUERIES = {
     "upsert_counts": (lambda s, d: upsert.counts(*_by_id(s, d), F.col("skipped")), f"WITH {_MERGED} SELECT {_COUNTED}, (SELECT count(*) FILTER (WHERE skipped) FROM rows) AS skipped, 0::BIGINT AS skipped_undefined FROM merged"),
     "upsert_null_safe": (upsert_null_safe, f"WITH {_NULLSAFE} SELECT * FROM merged"),
     "upsert_null_safe_counts": (upsert_null_safe_counts, f"WITH {_NULLSAFE} SELECT {_COUNTED}, 0::BIGINT AS skipped, (SELECT count(*) FROM o WHERE o_orderkey % 10 >= 3 AND country LIKE '1%') AS skipped_undefined FROM merged"),
-    "not_indexed": (lambda s, d: upsert.not_indexed(_t(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), _t(s, d, "orders").select(F.col("o_custkey").alias("id")), "id"), "SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "not_indexed": (lambda s, d: upsert.not_indexed(_t(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), _t(s, d, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("id")), "id"), "SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')"),
     "title_output": (title_output, _OUTPUT),
     "detection_output": (lambda s, d: files.detection_output(detection.detect_screen(s, d)), f"WITH {detection.DETECTED_SQL} SELECT coalesce(circuit, '') AS circuit_name, coalesce(amenity, '') AS amenities, screen_format, fired_ai, row_id FROM detected"),
     "mapping_import": (mapping_import, "SELECT trim(p_name) AS keyword, p_brand AS format, CASE WHEN p_partkey % 5 IN (0, 1) THEN 4 ELSE p_size END::BIGINT AS tier, 'pending' AS status FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 8 <> 0 AND trim(p_name) <> '' AND trim(p_brand) <> ''"),
     "mapping_export": (lambda s, d: files.mapping_export(_mappings(s, d)), f"WITH {_MAPPINGS} SELECT keyword, format, tier FROM m WHERE status = 'approved'"),
     "mapping_patch": (lambda s, d: j.patched(_mappings(s, d), _patches(s, d)), f"WITH {_PATCHED} SELECT * FROM after"),
-    "audit_trail": (audit_trail, f"WITH {_PATCHED} SELECT m.id AS entity_id, 'update' AS action, m.status AS before_status, after.status AS after_status, after.keyword AS after_keyword FROM m JOIN after USING (id) WHERE m.version <> after.version"),
+    "audit_trail": (audit_trail, f"WITH {_PATCHED}, a AS (SELECT * FROM after WHERE id % 13 <> 0 UNION ALL SELECT * REPLACE (id + 1000000 AS id) FROM after WHERE id % 17 = 0) SELECT coalesce(m.id, a.id) AS entity_id, CASE WHEN m.id IS NULL THEN 'create' WHEN a.id IS NULL THEN 'delete' ELSE 'update' END AS action, m.status AS before_status, a.status AS after_status, a.keyword AS after_keyword FROM m FULL JOIN a ON m.id = a.id WHERE m.id IS NULL OR a.id IS NULL OR m.version <> a.version"),
     "bulk_approve": (bulk_approve, f"WITH {_MAPPINGS} SELECT a.id, CASE WHEN m.id IS NULL THEN 'not_found' WHEN status = 'pending' THEN 'approved' ELSE 'already_' || status END AS outcome FROM (SELECT DISTINCT o_custkey AS id FROM orders) a LEFT JOIN m ON m.id = a.id"),
     "mapping_page": (lambda s, d: j.offset_page(_mappings(s, d), ["tier", "keyword", "id"], 3, 20)[0], f"WITH {_MAPPINGS} SELECT * FROM m ORDER BY tier, keyword, id LIMIT 20 OFFSET 40"),
     "keyset_page": (lambda s, d: j.keyset_page(_mappings(s, d).select("id", "keyword"), "id", 30), f"WITH {_MAPPINGS}, p AS (SELECT id, keyword FROM m WHERE id > 30 ORDER BY id LIMIT 100) SELECT id, keyword, CASE WHEN count(*) OVER () = 100 THEN translate(to_base64(encode(CAST(max(id) OVER () AS VARCHAR))), '+/', '-_') END AS cursor FROM p"),
@@ -387,5 +424,8 @@ QUERIES = {
     "anniversary": (anniversary, _ANNIVERSARY),
     "url_routes": (url_routes, _ROUTES),
     "page_facts": (page_facts, _FACTS),
+    "movie_output": (movie_output, _MOVIE_OUT),
+    "page_parts": (page_parts, _PARTS),
+    "fanned_out": (fanned_out, _FANNED),
     "key_facts": (key_facts, "SELECT c_custkey, sha256(c_name) AS key_hash, substr(sha256(c_name), 1, 16) AS evidence_key, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 6 END AS tier, c_custkey % 4 = 3 AS has_poster FROM customer"),
 }

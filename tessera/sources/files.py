@@ -94,3 +94,22 @@ def detection_output(rows: DataFrame, name: str = "screen_format") -> DataFrame:
     """circuit_name, amenities and the format of detected rows: those found without a remote answer first, each in order."""
     out = rows.select(F.coalesce("circuit", F.lit("")).alias("circuit_name"), F.coalesce("amenity", F.lit("")).alias("amenities"), F.col(name), "fired_ai", "row_id")
     return out.orderBy("fired_ai", "row_id")
+
+
+def movie_output(rows: DataFrame, diagnostics: bool = False, audit: bool = False) -> DataFrame:
+    """The output of a movie-format job from detected rows (amenity, circuit, movie_format, ...), those found without a
+    remote answer first, each in order of row_id.
+
+    diagnostics adds how each format was found, with what a remote answer (ai_format, ai_reasoning, if rows have them)
+    suggested; audit gives the user's format (user_format) as movie_format, the detected one beside it, and whether they
+    differ by more than case and blanks around them. Nulls are blank.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    out = {"circuit_name": text("circuit")} if "circuit" in rows.columns else {}
+    out |= {"amenities_string": text("amenity"), "movie_format": text("user_format") if audit else text("movie_format")}
+    if diagnostics:
+        out |= {"detected_keyword": text("matched_keyword"), "match_source": text("match_source"), "match_track": text("match_track"), "confidence": F.col("confidence"), "ai_suggested_format": text("ai_format"), "ai_reasoning": text("ai_reasoning")}
+    if audit:
+        differs = F.lower(F.trim(text("user_format"))) != F.lower(F.trim(text("movie_format")))
+        out |= {"detected_format": text("movie_format"), "ai_suggested_format": text("ai_format"), "anomaly": F.when(differs, "TRUE").otherwise("FALSE"), "reasoning": F.when(F.col("fired_ai"), text("ai_reasoning")).otherwise("")}
+    return rows.select(*[c.alias(n) for n, c in out.items()], "fired_ai", "row_id").orderBy("fired_ai", "row_id")
