@@ -58,35 +58,48 @@ def tokens(host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.9, most_tokens: int = 4) -> DataFrame:
-    """rule_id, items, verdict, confidence, support of rules from labelled (host, path, action), distinct URLs; actions
+    """rule_id, groups, verdict, confidence, support of rules from labelled (host, path, action), distinct URLs; actions
     are block, allow or none, which no rule predicts.
 
     FP-growth finds token combinations with a verdict. Kept are combinations of two or more tokens, up to most_tokens,
     whose verdict holds for min_confidence of the URLs that have them all; a longer rule that is no surer than a
     shorter one within it goes. Tokens too rare for any rule are left out before mining, which changes no rule.
+
+    Tokens that stand in the very same URLs, like the segments of a long shared path, are one group, and groups are mined:
+    any choice of a token from each of several groups has the support and confidence of the groups, and more tokens of
+    one group make a rule longer and no surer. So groups ARRAY<ARRAY<STRING>> stands for a rule for each choice of a
+    token from each group; a single group for a rule for each two of its tokens. The work grows with the combinations of
+    groups, not of tokens.
     """
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "rule_id long, items array<string>, verdict string, confidence double, support double")
+    empty = spark.createDataFrame([], "rule_id long, groups array<array<string>>, verdict string, confidence double, support double")
     rows = labelled.select(tokens(F.col("host"), F.col("path")).alias("t"), F.concat(F.lit("="), F.col("action")).alias("a"))
     rows = cut(rows.withColumn("id", F.monotonically_increasing_id()), "labelled-urls")
     n = rows.count()
     if n == 0:
         return empty
-    common = rows.select(F.explode("t").alias("token")).groupBy("token").count().where(F.col("count") >= min_support * n)
-    used = rows.select("id", "a", F.explode("t").alias("token")).join(common.drop("count"), "token")
-    baskets = used.groupBy("id").agg(F.concat(F.collect_list("token"), F.array(F.first("a"))).alias("items"))
+    entries = rows.select("id", "a", F.explode("t").alias("token"))
+    # the same URLs: equal counts, and equal sums of two hashes of their ids
+    where = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    common = entries.groupBy("token").agg(F.count("*").alias("c"), *where).where(F.col("c") >= min_support * n)
+    groups = common.groupBy("c", "h1", "h2").agg(F.min("token").alias("group"), F.sort_array(F.collect_list("token")).alias("members"))  # no more than one URL has
+    groups = cut(groups.select("group", "members"), "token-groups")
+    used = entries.join(groups, entries["token"] == groups["group"]).select("id", "a", "group")  # a group stands where its first token does
+    baskets = used.groupBy("id").agg(F.concat(F.collect_list("group"), F.array(F.first("a"))).alias("items"))
     grown = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(baskets.unionByName(rows.join(used.select("id").distinct(), "id", "left_anti").select("id", F.array("a").alias("items"))))
     rules = grown.associationRules.where(F.array_contains("consequent", _BLOCK) | F.array_contains("consequent", _ALLOW))
     plain = ~F.arrays_overlap("antecedent", F.array(*map(F.lit, (_BLOCK, _ALLOW, "=none"))))
-    rules = rules.where(plain & F.size("antecedent").between(2, most_tokens))
+    rules = rules.where(plain & F.size("antecedent").between(1, most_tokens))
     rules = rules.select(F.sort_array("antecedent").alias("items"), F.substring(F.element_at("consequent", 1), 2, 9).alias("verdict"), "confidence", "support")
     rules = cut(rules, "rules")
-    short = rules.select(F.col("items").alias("sub"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
+    short = rules.where("size(items) > 1").select(F.col("items").alias("sub"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     # a rule meets the shorter rules within it by its own subsets, not by all pairs of rules
     own = rules.withColumn("sub", F.explode(_subsets(most_tokens))).where(F.size("sub") < F.size("items"))
     weaker = own.join(short, (own["sub"] == short["sub"]) & (own["verdict"] == short["v"]) & (short["c"] >= own["confidence"])).select("items", "verdict").distinct()
-    kept = rules.join(weaker, ["items", "verdict"], "left_anti")
-    return kept.select(F.xxhash64("items", "verdict").alias("rule_id"), "items", "verdict", "confidence", "support")
+    kept = rules.join(weaker, ["items", "verdict"], "left_anti").withColumn("rule_id", F.xxhash64("items", "verdict"))
+    kept = kept.select("rule_id", "verdict", "confidence", "support", F.explode("items").alias("group")).join(groups, "group")
+    kept = kept.groupBy("rule_id", "verdict", "confidence", "support").agg(F.sort_array(F.collect_list("members")).alias("groups"))  # most_tokens at most
+    return kept.where((F.size("groups") > 1) | (F.size(F.get("groups", F.lit(0))) > 1)).select("rule_id", "groups", "verdict", "confidence", "support")
 
 
 def _subsets(most: int) -> Column:
@@ -98,15 +111,18 @@ def _subsets(most: int) -> Column:
 def fired(places: DataFrame, rules: DataFrame, least_token_count: int = 2) -> DataFrame:
     """host, path, verdict of the surest mined rule that fits each of places, if any.
 
-    An inverted index on a rule's rarest token, by its URLs, picks candidates; the rest of its tokens decide.
+    An inverted index on a rule's rarest group of tokens, by its URLs, picks candidates; its other groups decide.
     """
     known = places.withColumn("t", tokens(F.col("host"), F.col("path"))).where(F.size("t") >= least_token_count)
     entries = known.select("host", "path", F.explode("t").alias("token"))
-    freq = entries.join(rules.select(F.explode("items").alias("token")).distinct(), "token").groupBy("token").count()
-    lead = rules.select("rule_id", "items", "verdict", "confidence", "support", F.explode("items").alias("token")).join(freq, "token", "left")
-    lead = lead.groupBy("rule_id", "items", "verdict", "confidence", "support").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    met = known.select("host", "path", "t", F.explode("t").alias("token")).join(lead, "token").where(F.size(F.array_except("items", "t")) == 0)
-    order = F.struct(-F.col("confidence"), -F.col("support"), -F.size("items"), F.col("verdict"), F.col("rule_id"))
+    kept = cut(rules, "mined-rules")
+    posts = kept.select("rule_id", F.explode("groups").alias("group")).select("rule_id", "group", F.explode("group").alias("token"))
+    freq = entries.join(posts.select("token").distinct(), "token").groupBy("token").count()
+    lead = posts.join(freq, "token", "left").groupBy("rule_id", "group").agg(F.sum(F.coalesce("count", F.lit(0))).alias("n"))
+    lead = lead.groupBy("rule_id").agg(F.min(F.struct("n", "group"))["group"].alias("group")).join(kept, "rule_id").withColumn("token", F.explode("group")).drop("group")
+    several = F.when(F.size("groups") > 1, F.forall("groups", lambda g: F.arrays_overlap(g, F.col("t")))).otherwise(F.size(F.array_intersect(F.get("groups", F.lit(0)), F.col("t"))) > 1)
+    met = known.select("host", "path", "t", F.explode("t").alias("token")).join(lead, "token").where(several)
+    order = F.struct(-F.col("confidence"), -F.col("support"), -F.greatest(F.size("groups"), F.lit(2)), F.col("verdict"), F.col("rule_id"))
     return met.groupBy("host", "path").agg(F.min_by("verdict", order).alias("mined"))
 
 

@@ -67,3 +67,23 @@ def test_clashing_columns(spark, names):
     pages = spark.createDataFrame([("http://x.com/en/1", *range(len(names))), (None, *range(len(names)))], "url string, " + ", ".join(f"`{n}` long" for n in names))
     for r in url_rules.judged(pages).collect():
         assert [r[n] for n in names] == list(range(len(names)))
+
+
+def test_a_long_shared_path_is_one_group(spark):
+    """25 segments that a hundred blocked URLs share: 2 ** 25 combinations of tokens, a few of groups."""
+    path = "/".join(f"part{chr(97 + k)}" for k in range(25))
+    rows = [(f"http://a{k}.example.org/{path}/x{k}", "block") for k in range(100)] + [(f"http://b{k}.example.org/other/y{k}", "allow") for k in range(100)]
+    labels = spark.createDataFrame(rows, "url string, action string")
+    urls = ["http://z.net/partc/1/partq", "http://z.net/partc/1", "http://c.example.org/partb/1", "http://c.example.org/other/1", "http://z.net/u/v"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judged(pages, rules=(("block", "none.invalid/"),), labels=labels).collect()}
+    assert got == {0: "block", 1: "allow", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_groups_decide_as_all_combinations_do(spark):
+    listed = [(f"a{k}.x-y.com", f"/s/t/{'u/' if k % 3 else ''}v{chr(97 + k % 4)}", "block" if k % 5 else "allow") for k in range(60)] + [(f"b{k}.x.org", f"/s/{'u' if k % 2 else 'w'}/t", "allow") for k in range(40)]
+    others = [(f"c.{h}", p) for h in ("x.com", "x-y.com", "y.org", "x.org") for p in ("/s/t", "/s/u", "/t/va/u", "/w/t", "/vb/vc", "/u")]
+    labels = spark.createDataFrame([(f"http://{h}{p}", a) for h, p, a in listed], "url string, action string")
+    pages = spark.createDataFrame([(f"http://{h}{p}",) for h, p in others], "url string")
+    got = {(r["host"], r["path"]): r["verdict"] for r in url_rules.judged(pages, rules=(("block", "none.invalid/"),), labels=labels, min_support=0.05, min_confidence=0.7).collect()}
+    assert got == plain_verdicts(listed, others, 0.05, 0.7) and len(set(got.values())) == 2
