@@ -53,3 +53,24 @@ def with_na_default(mappings: DataFrame, sheet: DataFrame) -> DataFrame:
     given = sheet.where(blank).groupBy(t.plain(F.col("keyword")).alias("norm")).agg(F.max_by("format", "row_no").alias("_given"))
     rows = mappings.withColumn("norm", t.plain(F.col("keyword")))
     return rows.join(given, "norm", "left").withColumn("na_default", F.coalesce("_given", "na_default")).drop("_given")
+
+
+# Circuits that have an alias whether or not a sheet names them, and the tier of a circuit's own mappings.
+ALWAYS_KNOWN, CIRCUIT_TIER = ("Caribbean Cinemas - US Territory", "Cineplex Entertainment"), 4
+
+
+def of_circuits(sheet: DataFrame) -> DataFrame:
+    """row_no, keyword, format, tier, circuit, status: the mappings of a sheet's rows (row_no, keyword, format, circuit) that
+    are a circuit's own; cells are cleaned, and rows without a keyword, a format or a circuit (NA is none) left out."""
+    cell = lambda c: t.clean_cell(F.coalesce(c, F.lit("")))
+    rows = sheet.select("row_no", *[cell(F.col(c)).alias(c) for c in ("keyword", "format", "circuit")])
+    rows = rows.where("keyword <> '' and format <> '' and circuit <> '' and upper(circuit) <> 'NA'")
+    return rows.select("row_no", "keyword", "format", F.lit(CIRCUIT_TIER).alias("tier"), "circuit", F.lit("approved").alias("status"))
+
+
+def circuit_aliases(mappings: DataFrame) -> DataFrame:
+    """alias, canonical: each circuit of mappings (row_no, circuit) under its name in lower case, of spellings that differ by
+    case the last by row, and the circuits that are always known."""
+    known = mappings.groupBy(F.lower("circuit").alias("alias")).agg(F.max_by("circuit", "row_no").alias("canonical"))
+    always = mappings.sparkSession.createDataFrame([(c.lower(), c) for c in ALWAYS_KNOWN], "alias string, canonical string")
+    return known.unionByName(always.join(known, "alias", "left_anti"))

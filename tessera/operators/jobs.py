@@ -141,3 +141,23 @@ def row_errors(rows: DataFrame, market: str) -> DataFrame:
     often = rows.groupBy("row_uuid").agg(F.count("*").alias("_n")).where("_n > 1")
     repeated = F.when(F.col("_n").isNotNull(), F.struct(F.lit("row_uuid").alias("field"), F.lit("repeated").alias("message")))
     return rows.join(often, "row_uuid", "left").withColumn("e", F.explode(F.array_compact(F.array(*failed, repeated)))).select("row_uuid", "e.field", "e.message")
+
+
+def owned(asked: DataFrame, rows: DataFrame, keys: list[str], owner: str) -> DataFrame:
+    """asked (keys, owner) with found: whether rows have such a row of that owner. One of another owner is as unknown as none,
+    so nothing is told of it. Asked twice, a row is answered once."""
+    own = rows.select(*keys, owner).distinct().withColumn("found", F.lit(True))
+    return asked.select(*keys, owner).distinct().join(own, [*keys, owner], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def with_cover(results: DataFrame, catalog: DataFrame) -> DataFrame:
+    """results (movie_id) with cover: that of the film in catalog (id, cover), blank without a film or a cover; of several
+    rows of a film the least cover."""
+    covers = catalog.where("cover is not null").groupBy(F.col("id").alias("_id")).agg(F.min("cover").alias("_cover"))
+    return results.join(covers, F.col("movie_id") == F.col("_id"), "left").withColumn("cover", F.coalesce("_cover", F.lit(""))).drop("_id", "_cover")
+
+
+def downloads(jobs: DataFrame, now: Column, kept: str) -> DataFrame:
+    """jobs (finished TIMESTAMP) with download: not_ready until they are finished, then ok for the interval `kept`, then gone."""
+    over = now > F.col("finished") + F.expr(f"INTERVAL {kept}")
+    return jobs.withColumn("download", F.when(F.col("finished").isNull(), "not_ready").when(over, "gone").otherwise("ok"))

@@ -30,6 +30,25 @@ def routed(df: DataFrame, url: str = "url") -> DataFrame:
     return out.withColumns({"platform": F.coalesce("platform", F.lit("GENERIC")), "tier": F.coalesce("tier", F.lit("T1_HTTP"))}).drop("_host")
 
 
+# What of a URL of these platforms leads to a basket, and where the page is instead.
+_VIFF_SLUG, _VIFF_PAGE, _INDY_BASKET = r"/checkout/(?:event/)?([^/?#]+)", "/whats-on/", r"(?s)/(checkout|cart).*$"
+
+
+def repaired_url(url: Column, platform: Column) -> Column:
+    """A URL that leads to the page of a showing, not to a basket: by platform, the slug's page, the path before the basket,
+    or the URL without its fragment. All others, and those without such a part, stay; a repaired one has its scheme in
+    lower case."""
+    part = lambda k: F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", k)
+    host = F.concat(F.lower(part(1)), F.lit("://"), part(2))
+    path = F.regexp_replace(part(3), ";[^/]*$", "")
+    slug = F.regexp_extract(path, _VIFF_SLUG, 1)
+    viff = (platform == "VIFF") & (path.contains("/checkout/") | path.contains("/cart/")) & (slug != "")
+    indy = (platform == "INDY_SYSTEMS") & (path.contains("/checkout") | path.contains("/cart"))
+    event = (platform == "EVENT_CINEMAS") & (F.length(part(5)) > 1)
+    bare = F.concat(host, part(3), F.when(F.length(part(4)) > 1, part(4)).otherwise(""))
+    return F.when(viff, F.concat(host, F.lit(_VIFF_PAGE), slug, F.lit("/"))).when(indy, F.concat(host, F.regexp_replace(path, _INDY_BASKET, ""))).when(event, bare).otherwise(url)
+
+
 def minutes(html: Column) -> Column:
     """A running time as 1h 30m, else as 90 min, in minutes; null without one."""
     hours, rest = (F.regexp_extract(html, r"(\d+)h\s*(\d+)m", k) for k in (1, 2))

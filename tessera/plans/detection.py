@@ -83,6 +83,16 @@ def dict_na_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 NA_SQL = f"""WITH {_S}, g AS (SELECT {duck.plain('keyword')} AS norm, arg_max(p_brand, p_partkey) AS given FROM part JOIN dictionary ON p_partkey % {len(inputs.SCREEN) + 5} = id WHERE p_partkey % 4 < 2 GROUP BY 1)
 SELECT id, {duck.plain('keyword')} AS norm, coalesce(given, na_default) AS na_default FROM dictionary LEFT JOIN g ON g.norm = {duck.plain('keyword')}"""
 
+def _circuit_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a sheet of keywords, of which most rows name a circuit, in spellings that differ by case."""
+    k = F.col("p_partkey")
+    circuit = F.when(k % 4 == 0, "na").when(k % 9 == 0, F.upper(F.concat(F.lit("Circuit "), k % 20))).when(k % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit(" Circuit "), k % 20, F.lit(" ")))
+    return inputs.table(spark, sf_dir, "part").select(k.alias("row_no"), F.when(k % 11 != 0, F.col("p_name")).alias("keyword"), F.when(k % 13 != 0, F.col("p_brand")).otherwise(" ").alias("format"), circuit.alias("circuit"))
+
+
+_CIRCUITS = """c AS (SELECT p_partkey AS row_no, p_name AS keyword, p_brand AS format, 4 AS tier, CASE WHEN p_partkey % 9 = 0 THEN 'CIRCUIT ' ELSE 'Circuit ' END || p_partkey % 20 AS circuit, 'approved' AS status
+  FROM part WHERE p_partkey % 4 <> 0 AND (p_partkey % 9 = 0 OR p_partkey % 7 <> 0) AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0)"""
+
 _PREFIX = detect.PREFIX_LENGTH
 SEGS_SQL = f"""p AS (SELECT DISTINCT amenity, circuit FROM listings), e AS (
   SELECT amenity, circuit, unnest({duck.segments("coalesce(amenity, '')")}) AS seg, generate_subscripts({duck.segments("coalesce(amenity, '')")}, 1) - 1 AS pos FROM p
@@ -198,6 +208,8 @@ QUERIES = {
     "dict_build_first_wins": (dict_build_first_wins, f"WITH {_M}, {WORDS_SQL} SELECT concat, id, keyword, tier FROM words QUALIFY row_number() OVER (PARTITION BY concat ORDER BY tier, id) = 1"),
     "dict_fill_down": (dict_fill_down, FILL_SQL),
     "dict_na_default": (dict_na_default, NA_SQL),
+    "dict_circuits": (lambda s, d: dictionary.of_circuits(_circuit_sheet(s, d)), f"WITH {_CIRCUITS} SELECT * FROM c"),
+    "dict_circuit_aliases": (lambda s, d: dictionary.circuit_aliases(dictionary.of_circuits(_circuit_sheet(s, d))), f"WITH {_CIRCUITS} SELECT lower(circuit) AS alias, arg_max(circuit, row_no) AS canonical FROM c GROUP BY 1 UNION ALL SELECT lower(x), x FROM (VALUES ('Caribbean Cinemas - US Territory'), ('Cineplex Entertainment')) v(x)"),
     "track_joins": (track_joins, TRACK_SQL),
     "detect_screen": (detect_screen, f"WITH {DETECTED_SQL} SELECT * EXCLUDE (l_partkey) FROM detected"),
     "detect_movie": (detect_movie, MOVIE_SQL),

@@ -164,6 +164,30 @@ def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.audit_entries(before, after, "id").select("entity_id", "action", field("before_json", "status").alias("before_status"), field("after_json", "status").alias("after_status"), field("after_json", "keyword").alias("after_keyword"))
 
 
+def mapping_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of mappings, with the number of rows and of pages."""
+    rows, total, pages = j.offset_page(_mappings(spark, sf_dir), ["tier", "keyword", "id"], 3, 20)
+    return rows.withColumns({"total": F.lit(total).cast("long"), "pages": F.lit(pages).cast("long")})
+
+
+def owned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines ask for their orders under the key of their supplier; orders belong to the key of their customer."""
+    asked = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), (F.col("l_suppkey") % 50 + 1).cast("long").alias("owner"))
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_custkey") % 50 + 1).cast("long").alias("owner"))
+    return j.owned(asked, rows, ["row_id"], "owner")
+
+
+def with_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    catalog = _t(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 3 != 0, F.concat(F.lit("http://covers.example/"), k)).alias("cover"))
+    return j.with_cover(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("movie_id")), catalog)
+
+
+def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("ts").cast("timestamp")).alias("finished"))
+    return j.downloads(e, F.lit("2024-01-20 00:00:00").cast("timestamp"), "7 DAYS").select("event_id", "download")
+
+
 def bulk_approve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.bulk_approve(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), _mappings(spark, sf_dir))
 
@@ -291,6 +315,22 @@ _ROUTES = f"""WITH {inputs.values_sql("hosts", "host, platform, tier", web.PLATF
   FROM pages LEFT JOIN hosts ON page_id % 3 = 0 AND page_id % {len(web.PLATFORMS)} = hosts.id"""
 
 
+def url_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basket URLs of the platforms that have them, made of page numbers, as they are mended."""
+    k = F.col("page_id")
+    url = (
+        F.when(k % 6 == 0, F.concat(F.lit("HTTPS://viff.org/checkout/event/film-"), k, F.lit("/2?x=1#top"))).when(k % 6 == 1, F.concat(F.lit("https://www.viff.org/cart/"), k)).when(k % 6 == 2, F.concat(F.lit("http://wyomovies.com/show/"), k, F.lit("/checkout/seats?y=2")))
+        .when(k % 6 == 3, F.concat(F.lit("https://www.eventcinemas.com.au/m/"), k, F.lit("?a=b#seats"))).when(k % 6 == 4, F.concat(F.lit("https://penncinema.com/show/"), k)).otherwise(F.concat(F.lit("https://pccmovies.com/checkout/"), k, F.lit("#x")))
+    )
+    routed = web.routed(_t(spark, sf_dir, "pages").select("page_id", url.alias("url")))
+    return routed.select("page_id", "platform", web.repaired_url(F.col("url"), F.col("platform")).alias("url"))
+
+
+_REPAIR = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'VIFF' WHEN 1 THEN 'VIFF' WHEN 2 THEN 'INDY_SYSTEMS' WHEN 3 THEN 'EVENT_CINEMAS' WHEN 4 THEN 'INDY_SYSTEMS' ELSE 'GENERIC' END AS platform,
+  CASE page_id % 6 WHEN 0 THEN 'https://viff.org/whats-on/film-' || page_id || '/' WHEN 1 THEN 'https://www.viff.org/cart/' || page_id WHEN 2 THEN 'http://wyomovies.com/show/' || page_id WHEN 3 THEN 'https://www.eventcinemas.com.au/m/' || page_id || '?a=b'
+  WHEN 4 THEN 'https://penncinema.com/show/' || page_id ELSE 'https://pccmovies.com/checkout/' || page_id || '#x' END AS url FROM pages"""
+
+
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _t(spark, sf_dir, "pages")
     return pages.select("page_id", *(c.alias(n) for n, c in web.facts(F.col("html")).items()), web.minutes(F.concat("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" 2h 5m"))).otherwise(""))).alias("minutes"))
@@ -407,7 +447,10 @@ QUERIES = {
     "mapping_patch": (lambda s, d: j.patched(_mappings(s, d), _patches(s, d)), f"WITH {_PATCHED} SELECT * FROM after"),
     "audit_trail": (audit_trail, f"WITH {_PATCHED}, a AS (SELECT * FROM after WHERE id % 13 <> 0 UNION ALL SELECT * REPLACE (id + 1000000 AS id) FROM after WHERE id % 17 = 0) SELECT coalesce(m.id, a.id) AS entity_id, CASE WHEN m.id IS NULL THEN 'create' WHEN a.id IS NULL THEN 'delete' ELSE 'update' END AS action, m.status AS before_status, a.status AS after_status, a.keyword AS after_keyword FROM m FULL JOIN a ON m.id = a.id WHERE m.id IS NULL OR a.id IS NULL OR m.version <> a.version"),
     "bulk_approve": (bulk_approve, f"WITH {_MAPPINGS} SELECT a.id, CASE WHEN m.id IS NULL THEN 'not_found' WHEN status = 'pending' THEN 'approved' ELSE 'already_' || status END AS outcome FROM (SELECT DISTINCT o_custkey AS id FROM orders) a LEFT JOIN m ON m.id = a.id"),
-    "mapping_page": (lambda s, d: j.offset_page(_mappings(s, d), ["tier", "keyword", "id"], 3, 20)[0], f"WITH {_MAPPINGS} SELECT * FROM m ORDER BY tier, keyword, id LIMIT 20 OFFSET 40"),
+    "mapping_page": (mapping_page, f"WITH {_MAPPINGS} SELECT *, (SELECT count(*) FROM m) AS total, greatest(1, (SELECT ceil(count(*) / 20)::BIGINT FROM m)) AS pages FROM m ORDER BY tier, keyword, id LIMIT 20 OFFSET 40"),
+    "owned_rows": (owned_rows, "SELECT DISTINCT l_orderkey AS row_id, (l_suppkey % 50 + 1)::BIGINT AS owner, o_orderkey IS NOT NULL AS found FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_custkey % 50 + 1 = l_suppkey % 50 + 1"),
+    "with_cover": (with_cover, "SELECT o_orderkey AS query_id, o_custkey AS movie_id, CASE WHEN c_custkey % 3 <> 0 THEN 'http://covers.example/' || c_custkey ELSE '' END AS cover FROM orders LEFT JOIN customer ON c_custkey = o_custkey"),
+    "downloads": (downloads, "SELECT event_id, CASE WHEN event_type = 'view' THEN 'not_ready' WHEN TIMESTAMP '2024-01-20 00:00:00' > ts + INTERVAL 7 DAY THEN 'gone' ELSE 'ok' END AS download FROM events"),
     "keyset_page": (lambda s, d: j.keyset_page(_mappings(s, d).select("id", "keyword"), "id", 30), f"WITH {_MAPPINGS}, p AS (SELECT id, keyword FROM m WHERE id > 30 ORDER BY id LIMIT 100) SELECT id, keyword, CASE WHEN count(*) OVER () = 100 THEN translate(to_base64(encode(CAST(max(id) OVER () AS VARCHAR))), '+/', '-_') END AS cursor FROM p"),
     "mapping_filters": (lambda s, d: _mappings(s, d).where(F.col("keyword").contains("a") & F.col("tier").isin(1, 2, 5) & F.col("status").isin("approved", "pending")).groupBy("tier", "status").agg(F.count("*").alias("n")), f"WITH {_MAPPINGS} SELECT tier, status, count(*) AS n FROM m WHERE contains(keyword, 'a') AND tier IN (1, 2, 5) AND status IN ('approved', 'pending') GROUP BY ALL"),
     "distinct_formats": (lambda s, d: _mappings(s, d).select("format").distinct().orderBy("format"), f"WITH {_MAPPINGS} SELECT DISTINCT format FROM m"),
@@ -423,6 +466,7 @@ QUERIES = {
     "post_lookup": (post_lookup, _LOOKUP),
     "anniversary": (anniversary, _ANNIVERSARY),
     "url_routes": (url_routes, _ROUTES),
+    "url_repair": (url_repair, _REPAIR),
     "page_facts": (page_facts, _FACTS),
     "movie_output": (movie_output, _MOVIE_OUT),
     "page_parts": (page_parts, _PARTS),
