@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,30 +44,39 @@ def _least(a: Column, b: Column) -> Column:
     return F.least(a, b).cast("double")
 
 
-def bound(q: str, t: str, shared: Column | None = None) -> Column:
+def common_letters(q: str, t: str) -> Column:
+    """Letters that the profiles in columns q and t can have in common, by their classes; to be a column of its own."""
+    return F.aggregate(F.zip_with(F.col(f"{q}.letters"), F.col(f"{t}.letters"), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+
+
+def bound(q: str, t: str, letters: Column, shared: Column | None = None) -> Column:
     """An upper bound on the weighted ratio of the profiles in columns q and t. t may bound a block from above: then it has
     the most letters of each class, blanks and words, the least set_size, and one size.
 
-    No ratio has more letters in common than the classes allow. shared: the length of the words in common, joined by
-    blanks, or 0; without it no word is in common.
+    No ratio has more letters in common than the classes allow (letters: common_letters). shared: the length of the words
+    in common, joined by blanks, or 0; without it no word is in common.
     """
-    a, b = (lambda n: F.col(f"{q}.{n}")), (lambda n: F.col(f"{t}.{n}"))
-    letters = reduce(lambda x, y: x + y, [F.least(a("letters")[k], b("letters")[k]) for k in range(CLASSES)])
-    plain = letters + F.least(a("blanks"), b("blanks"))
-    words = letters + F.greatest(F.lit(0), F.least(a("n_words"), b("n_words")) - 1)
-    whole = lambda c, x, y: F.least(F.lit(100.0), F.try_divide(F.lit(200.0) * c, x + y))
-    part = lambda c, n: F.least(F.lit(100.0), F.try_divide(F.lit(200.0) * c, n + c))
-    small, large = F.least(a("size"), b("size")), F.greatest(a("size"), b("size"))
-    by_set = whole(words, a("set_size"), b("set_size"))
-    by_part = part(words, F.least(a("set_size"), b("set_size")))
-    if shared is not None:
-        some = shared > 0
-        by_set = F.when(some, F.greatest(by_set, F.try_divide(F.lit(200.0) * shared, shared + F.least(a("set_size"), b("set_size"))))).otherwise(by_set)
-        by_part = F.when(some, F.lit(100.0)).otherwise(by_part)
-    weight = F.when(large <= 8 * small, 0.9).otherwise(0.6)
-    longer = F.greatest(weight * part(plain, small), 0.95 * weight * by_part)
-    even = F.greatest(whole(plain, a("size"), b("size")), F.when(large < 1.5 * small, 0.95 * by_set).otherwise(longer))
-    return F.when(small > 0, F.coalesce(even, F.lit(100.0))).otherwise(0.0) + 1e-6  # rounding
+
+    def of(letters: Column) -> Column:
+        a, b = (lambda n: F.col(f"{q}.{n}")), (lambda n: F.col(f"{t}.{n}"))
+        plain = letters + F.least(a("blanks"), b("blanks"))
+        words = letters + F.greatest(F.lit(0), F.least(a("n_words"), b("n_words")) - 1)
+        whole = lambda c, x, y: F.least(F.lit(100.0), F.try_divide(F.lit(200.0) * c, x + y))
+        part = lambda c, n: F.least(F.lit(100.0), F.try_divide(F.lit(200.0) * c, n + c))
+        small, large = F.least(a("size"), b("size")), F.greatest(a("size"), b("size"))
+        by_set = whole(words, a("set_size"), b("set_size"))
+        by_part = part(words, F.least(a("set_size"), b("set_size")))
+        if shared is not None:
+            some = shared > 0
+            by_set = F.when(some, F.greatest(by_set, F.try_divide(F.lit(200.0) * shared, shared + F.least(a("set_size"), b("set_size"))))).otherwise(by_set)
+            by_part = F.when(some, F.lit(100.0)).otherwise(by_part)
+        weight = F.when(large <= 8 * small, 0.9).otherwise(0.6)
+        longer = F.greatest(weight * part(plain, small), 0.95 * weight * by_part)
+        even = F.greatest(whole(plain, a("size"), b("size")), F.when(large < 1.5 * small, 0.95 * by_set).otherwise(longer))
+        return F.when(small > 0, F.coalesce(even, F.lit(100.0))).otherwise(0.0) + 1e-6  # rounding
+
+    # the letters are a variable of their own, so they are counted once and the generated code stays small
+    return F.get(F.transform(F.array(letters), of), F.lit(0))
 
 
 def _pack(df: DataFrame, name: str, *kept: str) -> DataFrame:
@@ -106,19 +114,20 @@ def scored_pairs(queries: DataFrame, titles: DataFrame, most: int) -> DataFrame:
     blocks = grouped.select("block", "rows", "letters", "blanks", "n_words", ends, "set_size", "low", "high")
     blocks = cut(_pack(blocks.withColumn("words", F.array().cast("array<string>")), "t", "block", "rows", "low", "high"), "fuzzy-blocks")
     # between the two ends any scale is possible, and the least size bounds each part
-    reach = F.when(F.col("low") == F.col("high"), bound("q", "t")).otherwise(100.0)
-    met = q.crossJoin(F.broadcast(blocks)).select("text", "block", reach.alias("reach")).groupBy("text", "block").agg(F.max("reach").alias("reach"))
+    reach = F.when(F.col("low") == F.col("high"), bound("q", "t", F.col("common"))).otherwise(100.0)
+    met = q.crossJoin(F.broadcast(blocks)).withColumn("common", common_letters("q", "t")).select("text", "block", reach.alias("reach")).groupBy("text", "block").agg(F.max("reach").alias("reach"))
     met = cut(met, "fuzzy-reach")
 
     posts = t.select("title", "n", "t", F.explode("t.words").alias("word"))
     sharing = q.select("text", "q", F.explode("q.words").alias("word")).join(posts, "word").groupBy("text", "title").agg(F.first("q").alias("q"), F.first("t").alias("t"), F.first("n").alias("n"))
     both = F.array_intersect("q.words", "t.words")
-    sharing = sharing.select("text", "title", "n", bound("q", "t", _joined_length(both)).alias("reach"))
+    sharing = sharing.withColumns({"common": common_letters("q", "t"), "shared": _joined_length(both)})
+    sharing = sharing.select("text", "title", "n", bound("q", "t", F.col("common"), F.col("shared")).alias("reach"))
     sharing = cut(sharing, "fuzzy-sharing")
 
     first = Window.partitionBy("text").orderBy(F.desc("reach"), "block")
     seeds = met.withColumn("k", F.row_number().over(first)).where(F.col("k") <= FIRST_BLOCKS).select("text", "block")
-    seeds = seeds.join(q, "text").join(t, "block").select("text", "title", "n", bound("q", "t").alias("reach"))
+    seeds = seeds.join(q, "text").join(t, "block").withColumn("common", common_letters("q", "t")).select("text", "title", "n", bound("q", "t", F.col("common")).alias("reach"))
     seeds = sharing.unionByName(seeds).dropDuplicates(["text", "title"])
     seeds = seeds.withColumn("k", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("reach"), "title"))).where(F.col("k") <= 2 * most)
     seeds = cut(seeds.select("text", "title", "n", wratio("text", "title").alias("score")), "fuzzy-seeds")
@@ -126,7 +135,8 @@ def scored_pairs(queries: DataFrame, titles: DataFrame, most: int) -> DataFrame:
     least = seeds.withColumn("filled", filled).where(F.col("filled") >= most).groupBy("text").agg(F.max("score").alias("least"))
     least = cut(q.select("text").join(least, "text", "left").select("text", F.coalesce("least", F.lit(0.0)).alias("least")), "fuzzy-least")
 
-    near = met.join(least, "text").where(F.col("reach") >= F.col("least")).join(q, "text").join(t, "block").where(bound("q", "t") >= F.col("least")).select("text", "title")
+    near = met.join(least, "text").where(F.col("reach") >= F.col("least")).join(q, "text").join(t, "block")
+    near = near.withColumn("common", common_letters("q", "t")).where(bound("q", "t", F.col("common")) >= F.col("least")).select("text", "title")
     near = near.unionByName(sharing.join(least, "text").where(F.col("reach") >= F.col("least")).select("text", "title")).distinct()
     rest = near.join(seeds.select("text", "title"), ["text", "title"], "left_anti").select("text", "title", wratio("text", "title").alias("score"))
     return seeds.select("text", "title", "score").unionByName(rest)

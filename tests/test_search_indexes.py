@@ -26,7 +26,8 @@ def test_bounds_are_never_below_the_ratio(spark):
     p = fuzzy_search.profiled(rows)
     pack = lambda n: p.select(F.col("text").alias(f"text_{n}"), F.struct("letters", "blanks", "words", "n_words", "size", "set_size").alias(n))
     both = F.array_intersect("q.words", "t.words")
-    pairs = pack("q").crossJoin(pack("t")).select("text_q", "text_t", F.size(both).alias("n"), fuzzy_search.bound("q", "t").alias("alone"), fuzzy_search.bound("q", "t", F.length(F.array_join(both, " "))).alias("any"))
+    pairs = pack("q").crossJoin(pack("t")).withColumn("common", fuzzy_search.common_letters("q", "t"))
+    pairs = pairs.select("text_q", "text_t", F.size(both).alias("n"), fuzzy_search.bound("q", "t", F.col("common")).alias("alone"), fuzzy_search.bound("q", "t", F.col("common"), F.length(F.array_join(both, " "))).alias("any"))
     checked = 0
     for r in pairs.collect():
         ratio = weighted_ratio(r["text_q"], r["text_t"])
