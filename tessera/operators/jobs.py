@@ -109,11 +109,14 @@ def bulk_approve(asked: DataFrame, items: DataFrame) -> DataFrame:
     return found.select("id", F.when(F.col("status").isNull(), "not_found").when(F.col("status") == "pending", "approved").otherwise(F.concat(F.lit("already_"), "status")).alias("outcome"))
 
 
-def audit_entries(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """entity_id, action, before_json, after_json for rows that differ between two states of a table with the same columns."""
-    b = before.select(F.col(key).alias("entity_id"), F.to_json(F.struct(*before.columns)).alias("before_json"))
-    a = after.select(F.col(key).alias("entity_id"), F.to_json(F.struct(*after.columns)).alias("after_json"))
-    both = b.join(a, "entity_id", "full").where(~F.col("before_json").eqNullSafe(F.col("after_json")))
+def audit_entries(before: DataFrame, after: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """entity_id, action, before_json, after_json for rows that differ between two states of a table with the same columns:
+    in any of them, or, if a column `version` is named that each change raises, in that one. Each row of a key that stands
+    in one state more than once is compared with each of the other."""
+    state = lambda df, n: df.select(F.col(key).alias("entity_id"), F.to_json(F.struct(*df.columns)).alias(f"{n}_json"), *([F.col(version).alias(f"_{n}")] if version else []))
+    b, a = ("_before", "_after") if version else ("before_json", "after_json")
+    both = state(before, "before").join(state(after, "after"), "entity_id", "full")
+    both = both.where(F.col("before_json").isNull() | F.col("after_json").isNull() | ~F.col(b).eqNullSafe(F.col(a)))
     return both.select("entity_id", F.when(F.col("before_json").isNull(), "create").when(F.col("after_json").isNull(), "delete").otherwise("update").alias("action"), "before_json", "after_json")
 
 

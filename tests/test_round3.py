@@ -27,3 +27,29 @@ def test_normal_forms_are_not_repeated_in_plans(spark, sf_dir):
 def test_candidates_have_small_plans(spark, sf_dir, name):
     plan = _plan(QUERIES[name][0](spark, sf_dir))
     assert len(plan) < 100_000 and "regexp_replace" not in plan
+
+
+def _as_sql(name: str, folder, df) -> None:
+    db = duckdb.connect()
+    for p in folder.glob("*.parquet"):
+        db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}/*.parquet')")
+    found = db.execute(QUERIES[name][1])
+    columns = [d[0] for d in found.description]
+    assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
+
+
+def test_audit_trail_where_new_ids_meet_old_ones(spark, tmp_path):
+    ids = [0, 13, 17, 34, 1_000_000, 1_000_013, 1_000_017, 1_000_034]
+    part = spark.createDataFrame([(i, f"name {i % 7}", f"Brand#{i % 5}") for i in ids], "p_partkey long, p_name string, p_brand string")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(i, f"Supplier {i}") for i in (0, 17, 34, 1_000_034)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    df = QUERIES["audit_trail"][0](spark, str(tmp_path))
+    assert df.where("entity_id > 1000000").count() > 0
+    _as_sql("audit_trail", tmp_path, df)
+
+
+def test_audit_by_columns_and_by_version(spark):
+    before, after = (spark.createDataFrame(rows, "id long, name string, version long") for rows in ([(1, "a", 1), (2, "b", 1), (3, "c", 1)], [(1, "x", 1), (2, "b", 2), (4, "d", 1)]))
+    got = lambda **how: sorted((r["entity_id"], r["action"]) for r in jobs.audit_entries(before, after, "id", **how).collect())
+    assert got() == [(1, "update"), (2, "update"), (3, "delete"), (4, "create")]
+    assert got(version="version") == [(2, "update"), (3, "delete"), (4, "create")]
