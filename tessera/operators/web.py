@@ -93,22 +93,33 @@ class _Page(HTMLParser):
                 break
 
 
-#: Characters of a page that are read.
+#: Characters of a page that are read where a page is fetched.
 MOST_HTML = 50_000
+_PARTS = T.StructType([T.StructField(n, T.StringType()) for n in ("og_image", "title", "heading")])
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("og_image", "title", "heading")]))
-def parts(html: pd.Series) -> pd.DataFrame:
-    """og_image, title and heading of the first MOST_HTML characters of each page, entities decoded and nested tags left
-    out: the title is the last one that isn't blank, the heading the first. Null pages have none."""
+def _found(html: pd.Series, most: int | None) -> pd.DataFrame:
     rows = []
     for text in html:
         page = _Page()
-        page.feed((text or "")[:MOST_HTML])
+        page.feed((text or "")[:most])
         rows.append(page.found)
     return pd.DataFrame(rows, columns=["og_image", "title", "heading"])
 
 
+@F.pandas_udf(_PARTS)
+def parts(html: pd.Series) -> pd.DataFrame:
+    """og_image, title and heading of the first MOST_HTML characters of each page, entities decoded and nested tags left
+    out: the title is the last one that isn't blank, the heading the first. Null pages have none."""
+    return _found(html, MOST_HTML)
+
+
+@F.pandas_udf(_PARTS)
+def whole_parts(html: pd.Series) -> pd.DataFrame:
+    """parts of whole pages of any length, for tables of pages that were fetched before."""
+    return _found(html, None)
+
+
 def outcome(parts: Column) -> Column:
     """SUCCESS where a page has an image or a title."""
     return F.when((F.coalesce(parts["og_image"], F.lit("")) != "") | parts["title"].isNotNull(), "SUCCESS").otherwise("FAILED_T1")

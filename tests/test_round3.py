@@ -53,3 +53,13 @@ def test_audit_by_columns_and_by_version(spark):
     got = lambda **how: sorted((r["entity_id"], r["action"]) for r in jobs.audit_entries(before, after, "id", **how).collect())
     assert got() == [(1, "update"), (2, "update"), (3, "delete"), (4, "create")]
     assert got(version="version") == [(2, "update"), (3, "delete"), (4, "create")]
+
+
+def test_page_parts_of_long_pages(spark, tmp_path):
+    rows = [(1, "x" * 60_000 + '<meta property="og:image" content="a">'), (2, None), (3, "y" * 49_990)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    df = QUERIES["page_parts"][0](spark, str(tmp_path))
+    assert {r["page_id"]: r["title"] for r in df.collect()} == {1: "End & 1", 2: "End & 2", 3: "End & 3"}
+    _as_sql("page_parts", tmp_path, df)
+    late = spark.createDataFrame([("x" * 60_000 + "<title>late</title>",)], "html string")
+    assert late.select(web.whole_parts("html")["title"], web.parts("html")["title"]).first()[:] == ("late", None)
