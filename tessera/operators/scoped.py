@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import similarity as sim
 from tessera.operators import retrieve
 from tessera.operators.written import cut
 
@@ -50,15 +49,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, cosine, rank: the k nearest of vectors (id, v, country) in the country of each of queries (query_id, v,
     country), or of all where it has none, each but itself.
 
-    Queries of a country meet its vectors by an equi-join; the others go the way of retrieve.nearest, block by block.
+    Both go the way of retrieve.nearest, blocks of queries against parts of vectors, the first country by country.
     """
-    q = queries.where("v is not null")
-    rows = vectors.where("v is not null and country is not null").select("id", "country", F.col("v").alias("_v"))
-    own = q.where("country is not null").select("query_id", "country", F.col("v").alias("_vq"))
-    scoped = own.join(rows, "country").where("id <> query_id").select("query_id", "id", sim.cosine(F.col("_vq"), F.col("_v")).alias("cosine"))
-    order = Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc(), "id")
-    scoped = scoped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    free = retrieve.nearest(q.where("country is null").select("query_id", "v"), vectors.where("v is not null").select("id", "v"), k)
+    q, rows = queries.where("v is not null"), vectors.where("v is not null")
+    scoped = retrieve.nearest(q.where("country is not null"), rows, k, by="country")
+    free = retrieve.nearest(q.where("country is null").select("query_id", "v"), rows.select("id", "v"), k)
     return scoped.unionByName(free)
 
 

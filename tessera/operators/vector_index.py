@@ -8,6 +8,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +147,73 @@ def _top(cosine: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and matrix of the vectors of each length; null vectors and those with a null in them are in none."""
+    sizes = set(pc.unique(pc.list_value_length(column)).to_pylist())
+    if len(sizes) == 1 and not column.null_count and not column.flatten().null_count:
+        n = sizes.pop()
+        return {n: (np.arange(len(column)), _matrix(column) if n else np.zeros((len(column), 0)))}
+    rows = [(at, v) for at, v in enumerate(column.to_pylist()) if v is not None and None not in v]
+    found = {}
+    for n in sizes - {None}:
+        own = [(at, v) for at, v in rows if len(v) == n]
+        if own:
+            found[n] = np.array([at for at, _ in own]), np.array([v for _, v in own], np.float64).reshape(len(own), n)
+    return found
+
+
+def _cosines(a: dict, b: dict, low: int, high: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of the rows low to high of a with the `width` rows of b, as similarity.cosine has them, and which are null: those of
+    vectors of two lengths. Without a vector, or with one of length 0, they are 0."""
+    cosine, missing = np.zeros((high - low, width)), np.zeros((high - low, width), bool)
+    for n, (at, m) in a.items():
+        own = (at >= low) & (at < high)
+        for other, (to, r) in b.items():
+            size = np.sqrt((m[own] * m[own]).sum(axis=1))[:, None] * np.sqrt((r * r).sum(axis=1))[None, :]
+            some = ~(size <= 0)
+            if n != other:
+                missing[np.ix_(at[own] - low, to)] = some
+                continue
+            found = np.divide(m[own] @ r.T, size, out=np.zeros_like(size), where=some)
+            if len(found) == high - low and len(to) == width:
+                cosine = found
+            else:
+                cosine[np.ix_(at[own] - low, to)] = found
+    return cosine, missing
+
+
+def exact_best(k: int):
+    """Queries (..., query_id, v) and rows (..., id, v) of one group to the k nearest rows of each query, each but itself: query_id,
+    id, cosine, by rounded cosine, then id."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        kinds = pa.schema([asked.schema.field("query_id"), rows.schema.field("id"), pa.field("cosine", pa.float64())])
+        if not asked.num_rows or not rows.num_rows:
+            return kinds.empty_table()
+        asked, rows = asked.combine_chunks(), rows.combine_chunks()
+        own, ids = (c.to_numpy(zero_copy_only=False) for c in (asked["query_id"].chunk(0), rows["id"].chunk(0)))
+        a, b = _by_length(asked["v"].chunk(0)), _by_length(rows["v"].chunk(0))
+        asking, taken, cosines, nulls = [], [], [], []
+        step = max(1, (1 << 21) // len(ids))
+        for low in range(0, len(own), step):
+            high = min(low + step, len(own))
+            cosine, missing = _cosines(a, b, low, high, len(ids))
+            order = np.where(np.isnan(cosine), 9.0, cosine)  # NaN comes first, null last
+            order[missing] = -3
+            itself = own[low:high, None] == ids[None, :]
+            order[itself] = -9
+            picked = _top(order, ids, min(k, len(ids)))
+            keep = ~np.take_along_axis(itself, picked, axis=1)
+            asking.append(np.repeat(np.arange(low, high), picked.shape[1])[keep.reshape(-1)])
+            taken.append(picked[keep])
+            cosines.append(np.take_along_axis(cosine, picked, axis=1)[keep])
+            nulls.append(np.take_along_axis(missing, picked, axis=1)[keep])
+        columns = [asked["query_id"].take(pa.array(np.concatenate(asking))), rows["id"].take(pa.array(np.concatenate(taken))), pa.array(np.concatenate(cosines), mask=np.concatenate(nulls))]
+        return pa.Table.from_arrays(columns, schema=kinds)
+
+    return run
+
+
 def search(queries: DataFrame, index: VectorIndex, k: int = 10, probes: int | None = None) -> DataFrame:
     """query_id, id, cosine, rank: the k nearest of the rows in the `probes` lists nearest to each query (query_id BIGINT, v),
     those of the index if not given, each but itself, of equal cosines the least ids. All lists give the exact result.

@@ -63,3 +63,45 @@ def test_page_parts_of_long_pages(spark, tmp_path):
     _as_sql("page_parts", tmp_path, df)
     late = spark.createDataFrame([("x" * 60_000 + "<title>late</title>",)], "html string")
     assert late.select(web.whole_parts("html")["title"], web.parts("html")["title"]).first()[:] == ("late", None)
+
+
+def _cosine(a, b):
+    norm = lambda v: None if v is None or None in v else math.sqrt(sum(x * x for x in v))
+    x, y = norm(a), norm(b)
+    if x is None or y is None or x * y == 0:
+        return 0.0
+    return None if len(a) != len(b) else sum(p * q for p, q in zip(a, b, strict=True)) / (x * y)
+
+
+def test_nearest_of_odd_vectors(spark, monkeypatch):
+    vectors = {i: [math.sin(i), math.cos(3 * i), float(i % 4)] for i in range(30)} | {30: None, 31: [0.0, 0.0, 0.0], 32: [1.0, 2.0], 33: [], 34: [1.0, None, 2.0], 35: [1.0, 2.0, 3.0], 36: [1.0, 2.0, 3.0], 37: [2.0, 4.0, 6.0]}
+    country = {i: (None, "A", "B")[i % 3] for i in vectors}
+    v = spark.createDataFrame([(i, x, country[i]) for i, x in vectors.items()], "id long, v array<double>, country string")
+    q = v.withColumnRenamed("id", "query_id")
+
+    def want(k, among):
+        out = []
+        for a in vectors:
+            near = [(b, _cosine(vectors[a], vectors[b])) for b in vectors if a != b and among(a, b)]
+            near.sort(key=lambda x: (x[1] is None, -round(x[1] or 0, 9), x[0]))
+            out += [(a, b, rank, None if c is None else round(c, 9) + 0.0) for rank, (b, c) in enumerate(near[:k], 1)]
+        return sorted(out, key=repr)
+
+    got = lambda df: sorted(((r["query_id"], r["id"], r["rank"], None if r["cosine"] is None else round(r["cosine"], 9) + 0.0) for r in df.collect()), key=repr)
+    for block, part in ((5000, 10_000), (7, 4)):
+        monkeypatch.setattr(retrieve, "NEAREST_BLOCK", block)
+        monkeypatch.setattr(retrieve, "NEAREST_PART", part)
+        for k in (5, 100):
+            found = retrieve.nearest(q, v, k)
+            assert "CoGroups" in found._jdf.queryExecution().executedPlan().toString()  # blocks of vectors meet, not rows
+            assert got(found) == want(k, lambda a, b: True)
+        own = retrieve.nearest(q, v, 5, by="country")
+        assert got(own) == sorted((r for r in want(5, lambda a, b: country[a] is not None and country[a] == country[b])), key=repr)
+    there = scoped.nearest(q, v, 3)
+    assert there.where(F.col("query_id") == 30).count() == 0
+
+
+def test_nearest_of_no_rows(spark):
+    v = spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
+    q = v.withColumnRenamed("id", "query_id")
+    assert retrieve.nearest(q, v.where("id > 1")).count() == retrieve.nearest(q.where("query_id > 1"), v).count() == retrieve.nearest(q, v).count() == 0
