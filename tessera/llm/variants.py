@@ -172,6 +172,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(*held(rest))
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """df, not to be broadcast: it grows with the words, and its file, by whose size Spark judges, is a small part of what the
+    driver would hold."""
+    return df.hint("merge")
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, other), both ways, of the distinct words that differ by exactly one inserted, deleted or replaced code point.
 
@@ -183,7 +189,7 @@ def near_words(words: DataFrame) -> DataFrame:
     n1, n2 = parts_for(words.count())
     keyed = words.select("word").mapInArrow(_keyed(n1, n2), "key long, word string, upper boolean")
     shared = keyed.groupBy("key").agg(F.count("*").alias("c"), F.max("upper").alias("any")).where("c > 1 and any").select("key", "c")
-    keyed = keyed.join(cut(shared, "shared-signatures"), "key")
+    keyed = keyed.join(_large(cut(shared, "shared-signatures")), "key")
     # part = a hash of the word; c words have p parts, and each pair of parts meets once
     p = F.ceil(F.col("c") * 2 / PART).cast("int")
     part = F.pmod(F.xxhash64("word", F.lit(3)), p).cast("int")
@@ -204,17 +210,17 @@ def grouped(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     Occurrences grow by ratio at each step, so roots are a few steps away; each pass doubles the steps.
     """
     known = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
-    near = near_words(words).join(known, "other").groupBy("word").agg(F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("best"), F.count("*").alias("n_near"))
-    base = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.minus") >= ratio * F.col("n"), F.struct(F.col("best.other").alias("form"), (-F.col("best.minus")).alias("form_n"))).alias("hit"))
+    near = near_words(words).join(_large(known), "other").groupBy("word").agg(F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("best"), F.count("*").alias("n_near"))
+    base = words.join(_large(near), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.minus") >= ratio * F.col("n"), F.struct(F.col("best.other").alias("form"), (-F.col("best.minus")).alias("form_n"))).alias("hit"))
     base = cut(base, "forms")
     roots = cut(base.where("hit is not null").select("word", F.col("hit.form").alias("root")), "roots")
     while True:
-        further = roots.join(roots.select(F.col("word").alias("_w"), F.col("root").alias("_r")), F.col("root") == F.col("_w"), "left")
+        further = roots.join(_large(roots.select(F.col("word").alias("_w"), F.col("root").alias("_r"))), F.col("root") == F.col("_w"), "left")
         further = cut(further.select("word", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")), "roots")
         roots = further.select("word", "root")
         if further.where("moved").isEmpty():
             break
-    out = base.join(roots, "word", "left")
+    out = base.join(_large(roots), "word", "left")
     return out.select("word", F.col("hit.form").alias("form"), F.coalesce("root", "word").alias("root"), "n", "n_near", F.col("hit.form_n").alias("form_n"))
 
 
