@@ -29,6 +29,11 @@ def test_candidates_have_small_plans(spark, sf_dir, name):
     assert len(plan) < 100_000 and "regexp_replace" not in plan
 
 
+@pytest.mark.parametrize("name", ["trigram_search", "plausible_pairs", "db_search_cascade"])
+def test_searches_do_not_repeat_the_normal_form(spark, sf_dir, name):
+    assert "germany" not in _plan(QUERIES[name][0](spark, sf_dir))
+
+
 def _as_sql(name: str, folder, df) -> None:
     db = duckdb.connect()
     for p in folder.glob("*.parquet"):
