@@ -93,6 +93,13 @@ def _joined_length(words: Column) -> Column:
     return F.length(F.array_join(words, " "))
 
 
+def _scored(pairs: DataFrame, *kept: str) -> DataFrame:
+    """pairs (text, title) with their score, dealt over tasks: few bytes of pairs are much work."""
+    spark = pairs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.repartition(tasks, "text", "title").select("text", "title", *kept, wratio("text", "title").alias("score"))
+
+
 def scored_pairs(queries: DataFrame, titles: DataFrame, most: int) -> DataFrame:
     """text, title, score: at least all pairs of distinct queries (text) and distinct titles (title, n: rows that it stands
     for) that are among the `most` best rows of a text, or tie with them.
@@ -112,7 +119,7 @@ def scored_pairs(queries: DataFrame, titles: DataFrame, most: int) -> DataFrame:
     # titles of one length have one size; beyond LONG a block gets both of its ends, each a bound of its own
     ends = F.explode(F.array_distinct(F.array("low", "high"))).alias("size")
     blocks = grouped.select("block", "rows", "letters", "blanks", "n_words", ends, "set_size", "low", "high")
-    blocks = cut(_pack(blocks.withColumn("words", F.array().cast("array<string>")), "t", "block", "rows", "low", "high"), "fuzzy-blocks")
+    blocks = _pack(blocks.withColumn("words", F.array().cast("array<string>")), "t", "block", "rows", "low", "high")
     # between the two ends any scale is possible, and the least size bounds each part
     reach = F.when(F.col("low") == F.col("high"), bound("q", "t", F.col("common"))).otherwise(100.0)
     met = q.crossJoin(F.broadcast(blocks)).withColumn("common", common_letters("q", "t")).select("text", "block", reach.alias("reach")).groupBy("text", "block").agg(F.max("reach").alias("reach"))
@@ -130,7 +137,7 @@ def scored_pairs(queries: DataFrame, titles: DataFrame, most: int) -> DataFrame:
     seeds = seeds.join(q, "text").join(t, "block").withColumn("common", common_letters("q", "t")).select("text", "title", "n", bound("q", "t", F.col("common")).alias("reach"))
     seeds = sharing.unionByName(seeds).dropDuplicates(["text", "title"])
     seeds = seeds.withColumn("k", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("reach"), "title"))).where(F.col("k") <= 2 * most)
-    seeds = cut(seeds.select("text", "title", "n", wratio("text", "title").alias("score")), "fuzzy-seeds")
+    seeds = cut(_scored(seeds, "n"), "fuzzy-seeds")
     filled = F.sum("n").over(Window.partitionBy("text").orderBy(F.desc("score"), "title").rowsBetween(Window.unboundedPreceding, 0))
     least = seeds.withColumn("filled", filled).where(F.col("filled") >= most).groupBy("text").agg(F.max("score").alias("least"))
     least = cut(q.select("text").join(least, "text", "left").select("text", F.coalesce("least", F.lit(0.0)).alias("least")), "fuzzy-least")
@@ -138,7 +145,7 @@ def scored_pairs(queries: DataFrame, titles: DataFrame, most: int) -> DataFrame:
     near = met.join(least, "text").where(F.col("reach") >= F.col("least")).join(q, "text").join(t, "block")
     near = near.withColumn("common", common_letters("q", "t")).where(bound("q", "t", F.col("common")) >= F.col("least")).select("text", "title")
     near = near.unionByName(sharing.join(least, "text").where(F.col("reach") >= F.col("least")).select("text", "title")).distinct()
-    rest = near.join(seeds.select("text", "title"), ["text", "title"], "left_anti").select("text", "title", wratio("text", "title").alias("score"))
+    rest = _scored(near.join(seeds.select("text", "title"), ["text", "title"], "left_anti"))
     return seeds.select("text", "title", "score").unionByName(rest)
 
 

@@ -1,9 +1,13 @@
-"""Searches read all parts once and keep their plans small."""
+"""Searches read all parts once, keep their plans small and deal out what is much work; the partial ratio against a plain loop."""
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
+from tessera.functions import fuzzy
+from tessera.operators import fuzzy_search
 from tessera.plans.registry import QUERIES
 
 
@@ -15,3 +19,27 @@ def _plan(df) -> str:
 def test_searches_write_what_they_use_again(spark, sf_dir, name):
     plan = _plan(QUERIES[name][0](spark, sf_dir))
     assert "p_partkey" not in plan and len(plan) < 30_000
+
+
+@pytest.mark.parametrize("name", ["candidates", "candidate_plausible", "candidate_rank", "candidate_decision", "candidate_evidence", "candidate_reasoning"])
+def test_candidates_write_what_each_search_finds(spark, sf_dir, name):
+    plan = _plan(QUERIES[name][0](spark, sf_dir))
+    assert "p_partkey" not in plan and len(plan) < 30_000
+
+
+def test_pairs_are_scored_over_tasks(spark, monkeypatch):
+    plans, cut = {}, fuzzy_search.cut
+    monkeypatch.setattr(fuzzy_search, "cut", lambda df, label: plans.update({label: _plan(df)}) or cut(df, label))
+    titles = spark.createDataFrame([(f"film number {i}", 1) for i in range(40)], "title string, n long")
+    rest = fuzzy_search.scored_pairs(spark.createDataFrame([("film 7",), ("number",)], "text string"), titles, 5)
+    assert "RepartitionByExpression" in plans["fuzzy-seeds"] and "RepartitionByExpression" in _plan(rest)
+
+
+def test_partial_ratio_of_every_stretch():
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("ab c") for _ in range(rng.randrange(n)))
+    for _ in range(3000):
+        short, long = sorted((text(8), text(20)), key=len)
+        n = len(short)
+        plain = max(fuzzy.indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long))) if n else 0.0 if long else 100.0
+        assert fuzzy._partial(short, long) == plain
