@@ -89,10 +89,10 @@ def _patterns(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Titles that contain q, in the scope of its country, in the order of retrieve.by_pattern."""
     texts = queries.select(F.lower("q").alias("_q"), "country").distinct()
     found = retrieve.matching_titles(texts.select("_q").distinct(), rows.select("title"))
-    hits = texts.join(found, "_q").join(rows, (F.lower("title") == F.col("t")) & _same("country", "scope"))
-    order = Window.partitionBy("_q", "country").orderBy(F.lower("title") != F.col("_q"), F.length("title"), "id")
+    hits = texts.join(found, "_q").join(rows.withColumn("_t", F.lower("title")), (F.col("_t") == F.col("t")) & _same("country", "scope"))
+    order = Window.partitionBy("_q", "country").orderBy(F.col("t") != F.col("_q"), F.length("title"), "id")
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("_q", F.col("country").alias("_c"), "id", "rank")
-    return queries.join(best, (F.lower("q") == F.col("_q")) & _same("country", "_c")).select("query_id", "id", "rank")
+    return queries.withColumn("_own", F.lower("q")).join(best, (F.col("_own") == F.col("_q")) & _same("country", "_c")).select("query_id", "id", "rank")
 
 
 def _trigrams(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tessera.functions import fuzzy
-from tessera.operators import fuzzy_search
+from tessera.operators import fuzzy_search, scoped
 from tessera.plans.registry import QUERIES
 
 
@@ -43,3 +43,20 @@ def test_partial_ratio_of_every_stretch():
         n = len(short)
         plain = max(fuzzy.indel_ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long))) if n else 0.0 if long else 100.0
         assert fuzzy._partial(short, long) == plain
+
+
+@pytest.mark.parametrize("name", ["candidates", "alias_join", "ilike_search"])
+def test_join_keys_are_columns(spark, sf_dir, name):
+    """A key that is an expression is evaluated where the table is held for a broadcast: in the driver, where the first
+    lower() of a session fills tables of all letters."""
+    joins = [x for x in QUERIES[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines() if "Join " in x or "BroadcastExchange" in x]
+    assert joins and not any("lower(" in x for x in joins)
+
+
+def test_scoped_join_keys_are_columns(spark):
+    q = spark.createDataFrame([(1, "Film", "DE")], "query_id long, q string, country string")
+    rows = spark.createDataFrame([(7, "A film", "DE")], "id long, title string, scope string")
+    found = scoped._patterns(q, rows, 5)
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 1)]
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not any("lower(" in x for x in joins)
