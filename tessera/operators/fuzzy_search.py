@@ -93,11 +93,11 @@ def _joined_length(words: Column) -> Column:
     return F.length(F.array_join(words, " "))
 
 
-def _scored(pairs: DataFrame, *kept: str) -> DataFrame:
-    """pairs (text, title) with their score, dealt over tasks: few bytes of pairs are much work."""
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """pairs (text, title) dealt over tasks, to be scored: few bytes of pairs are much work."""
     spark = pairs.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pairs.repartition(tasks, "text", "title").select("text", "title", *kept, wratio("text", "title").alias("score"))
+    return pairs.repartition(tasks, "text", "title")
 
 
 def scored_pairs(queries: DataFrame, titles: DataFrame, most: int) -> DataFrame:
@@ -137,16 +137,18 @@ def scored_pairs(queries: DataFrame, titles: DataFrame, most: int) -> DataFrame:
     seeds = seeds.join(q, "text").join(t, "block").withColumn("common", common_letters("q", "t")).select("text", "title", "n", bound("q", "t", F.col("common")).alias("reach"))
     seeds = sharing.unionByName(seeds).dropDuplicates(["text", "title"])
     seeds = seeds.withColumn("k", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("reach"), "title"))).where(F.col("k") <= 2 * most)
-    seeds = cut(_scored(seeds, "n"), "fuzzy-seeds")
+    seeds = cut(_dealt(seeds).select("text", "title", "n", wratio("text", "title").alias("score")), "fuzzy-seeds")
     filled = F.sum("n").over(Window.partitionBy("text").orderBy(F.desc("score"), "title").rowsBetween(Window.unboundedPreceding, 0))
     least = seeds.withColumn("filled", filled).where(F.col("filled") >= most).groupBy("text").agg(F.max("score").alias("least"))
-    least = cut(q.select("text").join(least, "text", "left").select("text", F.coalesce("least", F.lit(0.0)).alias("least")), "fuzzy-least")
+    least = cut(q.join(least, "text", "left").select("text", "q", F.coalesce("least", F.lit(0.0)).alias("least")), "fuzzy-least")
 
-    near = met.join(least, "text").where(F.col("reach") >= F.col("least")).join(q, "text").join(t, "block")
+    near = met.join(least, "text").where(F.col("reach") >= F.col("least")).join(t, "block")
     near = near.withColumn("common", common_letters("q", "t")).where(bound("q", "t", F.col("common")) >= F.col("least")).select("text", "title")
-    near = near.unionByName(sharing.join(least, "text").where(F.col("reach") >= F.col("least")).select("text", "title")).distinct()
-    rest = _scored(near.join(seeds.select("text", "title"), ["text", "title"], "left_anti"))
-    return seeds.select("text", "title", "score").unionByName(rest)
+    near = near.unionByName(sharing.join(least.select("text", "least"), "text").where(F.col("reach") >= F.col("least")).select("text", "title"))
+    # pairs meet where they are scored, and those of the seeds have their score
+    pairs = _dealt(near.withColumn("score", F.lit(None).cast("double")).unionByName(seeds.select("text", "title", "score")))
+    pairs = pairs.groupBy("text", "title").agg(F.max("score").alias("score"))
+    return pairs.withColumn("score", F.coalesce("score", wratio(F.when(F.col("score").isNull(), F.col("text")), F.col("title"))))
 
 
 def best(queries: DataFrame, catalog: DataFrame, most: int) -> DataFrame:

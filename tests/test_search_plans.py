@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tessera.functions import fuzzy
-from tessera.operators import fuzzy_search, scoped
+from tessera.operators import fuzzy_search, retrieve, scoped
 from tessera.plans.registry import QUERIES
 
 
@@ -60,3 +60,21 @@ def test_scoped_join_keys_are_columns(spark):
     assert [tuple(r) for r in found.collect()] == [(1, 7, 1)]
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
     assert joins and not any("lower(" in x for x in joins)
+
+
+def test_candidates_meet_in_few_joins(spark, sf_dir, monkeypatch):
+    """Each join of small tables is a job, a broadcast and a thread of the driver: installments are looked up, both windows share a shuffle, and the plans that are written stay small."""
+    plans, cut = {}, retrieve.cut
+    monkeypatch.setattr(retrieve, "cut", lambda df, label: plans.update({label: _plan(df)}) or cut(df, label))
+    plan = _plan(QUERIES["candidates"][0](spark, sf_dir))
+    assert plan.count("Join ") == 3 and plan.count("Window ") == 2 and plan.count("RepartitionByExpression [query_id") == 1
+    assert set(plans) == {"bm25-hits", "hybrid-hits", "fuzzy-hits"} and plans["hybrid-hits"].count("Join ") == 3
+
+
+def test_seeds_keep_their_score(spark):
+    """Pairs that were scored first are not joined away, and each pair comes once with its ratio."""
+    titles = spark.createDataFrame([(f"film number {i}", 1) for i in range(40)], "title string, n long")
+    found = fuzzy_search.scored_pairs(spark.createDataFrame([("film 7",), ("number",)], "text string"), titles, 5)
+    rows = [tuple(r) for r in found.select("text", "title", "score").collect()]
+    assert "LeftAnti" not in _plan(found) and len(rows) == len({r[:2] for r in rows}) >= 10
+    assert all(score == fuzzy.weighted_ratio(text, title) for text, title, score in rows)
