@@ -79,12 +79,11 @@ _AGAIN = f"""WITH {_INTL.split("asked AS")[0]} rows AS (SELECT p_partkey AS quer
 
 
 def country_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 and vectors together, within the country of each query; the vector of a part is that of its number."""
+    """BM25 and vectors together, within the country of each query; the vector of a part and of its query is that of its number."""
     v = inputs.table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("v"))
     rows = _catalog(spark, sf_dir)
     vectors = rows.join(v, F.col("id") == F.col("vec_id")).select("id", "v", "country")
-    # queries with a vector, one in fifty of its numbers
-    asked = _queries(spark, sf_dir).join(v.where("vec_id % 50 < 2"), F.col("query_id") == F.col("vec_id"), "left").select("query_id", "q", "v", "country")
+    asked = _queries(spark, sf_dir).join(v, F.col("query_id") == F.col("vec_id"), "left").select("query_id", "q", "v", "country")
     return scoped.hybrid(asked, rows, vectors).withColumns({"raw": F.round("raw", 6), "score": F.round("score", 6)})
 
 
@@ -96,7 +95,7 @@ _HYBRID = rf"""WITH {_INTL}, d AS (SELECT id, country, list_filter(regexp_split_
   top AS (SELECT *, row_number() OVER (PARTITION BY q, country ORDER BY round(bm25, 6) DESC, id) AS n FROM sc QUALIFY n <= 20),
   lexical AS (SELECT query_id, id, bm25 FROM asked JOIN top ON asked.q = top.q AND asked.country IS NOT DISTINCT FROM top.country),
   near AS (SELECT query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS n
-    FROM asked JOIN embeddings a ON a.vec_id = query_id AND a.vec_id % 50 < 2 JOIN intl i ON asked.country IS NULL OR asked.country = i.country JOIN embeddings b ON b.vec_id = i.id WHERE b.vec_id <> query_id QUALIFY n <= 20),
+    FROM asked JOIN embeddings a ON a.vec_id = query_id JOIN intl i ON asked.country IS NULL OR asked.country = i.country JOIN embeddings b ON b.vec_id = i.id WHERE b.vec_id <> query_id QUALIFY n <= 20),
   h AS (SELECT coalesce(l.query_id, n.query_id) AS query_id, coalesce(l.id, n.id) AS id, coalesce(bm25, 0) + CASE WHEN cosine IS NULL THEN 0 ELSE 1 / (1 + acos(greatest(-1, least(1, cosine)))) END AS raw FROM lexical l FULL JOIN near n ON l.query_id = n.query_id AND l.id = n.id)
   SELECT query_id, id, round(raw, 6) AS raw, round(least(raw, 1.0) * 0.6, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, id) AS rank FROM h QUALIFY rank <= 10"""
 

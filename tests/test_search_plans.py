@@ -78,3 +78,10 @@ def test_seeds_keep_their_score(spark):
     rows = [tuple(r) for r in found.select("text", "title", "score").collect()]
     assert "LeftAnti" not in _plan(found) and len(rows) == len({r[:2] for r in rows}) >= 10
     assert all(score == fuzzy.weighted_ratio(text, title) for text, title, score in rows)
+
+
+def test_country_hybrid_asks_with_every_vector(spark, sf_dir, duck):
+    """Empty texts are found by their vectors only: each that has one, and all rows to search, has its ten."""
+    rows = QUERIES["country_hybrid"][0](spark, sf_dir).where("query_id % 15 = 2 and query_id % 2 = 1").groupBy("query_id").count().collect()
+    asked = duck.execute("SELECT p_partkey FROM part JOIN embeddings ON vec_id = p_partkey WHERE p_partkey % 15 = 2 AND p_partkey % 2 = 1").fetchall()
+    assert asked and {tuple(r) for r in rows} == {(k, 10) for (k,) in asked}
